@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -73,6 +74,12 @@ def drop(df: DataFrame | None) -> None:
         _written[:] = [x for x in _written if x[1] != path]
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps, which it does when their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words(text):
     """Array of the words of a text column; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP, -1), lambda w: w != "")
