@@ -68,9 +68,14 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(scores)
 
 
-def best_score(a: str, b: str) -> int:
-    """The largest of the four ratios, each cut to a whole number."""
-    return max(int(f(a, b)) for f in (ratio, partial_ratio, token_set_ratio, token_sort_ratio))
+def best_score(a: str, b: str, enough: int = 101) -> int:
+    """The largest of the four ratios, each cut to a whole number; the costly ones are left out once one is ``enough``."""
+    best = 0
+    for f in (ratio, token_sort_ratio, token_set_ratio, partial_ratio):
+        best = max(best, int(f(a, b)))
+        if best >= enough:
+            break
+    return best
 
 
 @F.pandas_udf(T.IntegerType())

@@ -140,12 +140,9 @@ def normalize_interval(start_ms: Column, end_ms: Column, start: Column, end: Col
 
 def alpha_token(n: Column) -> Column:
     """A number in base 26 with the digits a to z, at least four of them; negative ones count as 0."""
-    digits = [F.floor(F.greatest(n, F.lit(0)) / F.lit(26**k)).cast("bigint") for k in range(14)]
-    letters = [F.chr(d % 26 + 97) for d in digits]
-    out = F.concat(*reversed(letters[:4]))
-    for k in range(4, 14):
-        out = F.when(digits[k] > 0, F.concat(letters[k], out)).otherwise(out)
-    return out
+    left = [F.floor(F.greatest(n, F.lit(0)) / F.lit(26**k)).cast("bigint") for k in range(14)]
+    letters = [F.chr(d % 26 + 97) for d in left]
+    return F.concat(*[x if k < 4 else F.when(left[k] > 0, x).otherwise("") for k, x in reversed(list(enumerate(letters)))])
 
 
 def stable_name(*parts: Column) -> Column:

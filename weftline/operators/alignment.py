@@ -51,10 +51,10 @@ class Aligner:
             out.append([k for k in dict.fromkeys(each) if k <= min(most, len(self.words) - self.cursor)])
         return out
 
-    def _score(self, norm: str, bare: str, at: int, k: int, enough: int) -> int:
-        score = best_score(norm, " ".join(self.text[at : at + k]))
+    def _score(self, norm: str, bare: str, at: int, k: int, enough: int, stop: int = 101) -> int:
+        score = best_score(norm, " ".join(self.text[at : at + k]), stop)
         if score < enough and bare and (other := "".join(self.bare[at : at + k])):
-            score = max(score, best_score(bare, other))
+            score = max(score, best_score(bare, other, stop))
         return score
 
     def _end(self, tokens: list[str], at: int, k: int) -> int:
@@ -99,7 +99,7 @@ class Aligner:
                     if left < 0:
                         return None
                     left -= 1
-                    if self._score(norm, bare, i, k, enough) >= enough:
+                    if self._score(norm, bare, i, k, enough, enough) >= enough:
                         return self._take(tokens, i, k)
         return None
 

@@ -12,9 +12,9 @@ from .registry import query
 from .tables import IV, intervals, table
 
 
-@query("project_computed", "SELECT o_orderkey, round(o_totalprice * 0.9, 2) AS net, upper(o_orderstatus) || '-' || o_orderpriority AS tag FROM orders")
+@query("project_computed", "SELECT o_orderkey, o_totalprice * 0.9::DOUBLE AS net, upper(o_orderstatus) || '-' || o_orderpriority AS tag FROM orders")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 0.9, 2).alias("net"), F.concat_ws("-", F.upper("o_orderstatus"), "o_orderpriority").alias("tag"))
+    return table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") * 0.9).alias("net"), F.concat_ws("-", F.upper("o_orderstatus"), "o_orderpriority").alias("tag"))
 
 
 @query("filter_not_ready", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL OR l.quality = 0")
@@ -282,7 +282,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "total_duration",
-    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN floor(value)::BIGINT WHEN event_id % 3 = 1 THEN round_even(value * 1000, 0)::BIGINT END AS total_ms FROM events",
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN nullif(floor(value)::BIGINT, 0) WHEN event_id % 3 = 1 THEN round_even(value * 1000, 0)::BIGINT END AS total_ms FROM events",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
@@ -352,8 +352,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "repair_processed",
-    """WITH f AS (SELECT user_id, event_type, min(event_id) AS at FROM events GROUP BY ALL), l AS (SELECT user_id, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id)
-    SELECT user_id, array_to_string(list(event_type ORDER BY at), ',') AS files FROM f JOIN l USING (user_id) WHERE at <= (SELECT at FROM f g WHERE g.user_id = l.user_id AND g.event_type = l.last) GROUP BY user_id""",
+    """WITH f AS (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY ALL), l AS (SELECT user_id, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id)
+    SELECT user_id, array_to_string(list(event_type ORDER BY first_id), ',') AS files FROM f JOIN l USING (user_id) WHERE first_id <= (SELECT first_id FROM f g WHERE g.user_id = l.user_id AND g.event_type = l.last) GROUP BY user_id""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     """The list of processed sources by first appearance, cut behind the source of the last item."""

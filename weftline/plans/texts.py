@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fuzzy, scalars as S, sequences as Q, text as X
+from ..functions.sequences import _words, coalesce_short, resegment, split_sentences
 from ..operators import alignment as A
 from ..operators import dataflow as D
+from ..operators.alignment import map_orders
 from ..sources import files, pages as P
 from ..streaming.progress import stream_progress
 from .registry import query
@@ -114,11 +117,9 @@ _MERGED = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.Str
 
 
 def _coalesced(least: int, bucketed: bool):
-    import pandas as pd
-
     @F.pandas_udf(_MERGED)
     def run(texts: pd.Series, buckets: pd.Series) -> pd.Series:
-        merge = lambda t, b: [{"text": x, "rows": n} for x, n in Q.coalesce_short(list(t), least, buckets=list(b) if bucketed else None)]
+        merge = lambda t, b: [{"text": x, "rows": n} for x, n in coalesce_short(list(t), least, buckets=list(b) if bucketed else None)]
         return pd.Series([merge(t, b) for t, b in zip(texts, buckets, strict=True)])
 
     return run
@@ -273,7 +274,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("decode_fallback")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("doc_id") % 2 == 0, F.encode(F.lit("Привет, мир"), "windows-1251")).otherwise(F.col("text").cast("binary"))
+    raw = F.when(F.col("doc_id") % 2 == 0, F.lit("Привет, мир".encode("cp1251"))).otherwise(F.col("text").cast("binary"))
     return _docs(spark, d).select("doc_id", X.decode_fallback(raw).alias("text"))
 
 
@@ -315,11 +316,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Every English document aligned to words made from it, each eleventh of them misheard."""
-    docs = _docs(spark, d).where("lang = 'en'")
-    words = A.timed_words(docs).withColumn("text", F.when(F.col("pos") % 11 == 5, F.reverse("text")).otherwise(F.col("text")))
+    """Every conversation aligned to words made from it, each 37th of them misheard."""
+    docs = _turns(spark, d).select(F.col("conv_id").alias("doc_id"), F.array_join("texts", "\n").alias("text"))
+    words = A.timed_words(docs).withColumn("text", F.when(F.col("pos") % 37 == 5, F.reverse("text")).otherwise(F.col("text")))
     sentences = docs.select("doc_id", F.posexplode(Q.split_sentences_col("text")).alias("idx", "text"))
-    return A.align_words(sentences, words, recover=8)
+    return A.align_words(sentences, words)
 
 
 @query("align_words")
@@ -341,14 +342,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("map_orders")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Which turn of a conversation each of its sentences comes from."""
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("sentence", T.StringType()), T.StructField("order", T.LongType())])))
     def run(texts: pd.Series) -> pd.Series:
         out = []
         for ts in texts:
-            sentences = [s for t in ts for s in Q.split_sentences(t)]
-            orders = A.map_orders([Q._words(s) for s in sentences], [(k, Q._words(t)) for k, t in enumerate(ts)])
+            sentences = [s for t in ts for s in split_sentences(t)]
+            orders = map_orders([_words(s) for s in sentences], [(k, _words(t)) for k, t in enumerate(ts)])
             out.append([{"sentence": s, "order": o} for s, o in zip(sentences, orders, strict=True)])
         return pd.Series(out)
 
@@ -381,11 +380,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("resegment")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Turns of a conversation, 60 ms a character, as parts of 3 to 8 seconds."""
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("ms", T.LongType())])))
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"text": t, "ms": m} for t, m in Q.resegment([(t, 60 * len(t)) for t in ts], 3000, 8000)] for ts in texts])
+        return pd.Series([[{"text": t, "ms": m} for t, m in resegment([(t, 60 * len(t)) for t in ts], 3000, 8000)] for ts in texts])
 
     return _turns(spark, d).select("conv_id", F.posexplode(run("texts")).alias("pos", "r")).select("conv_id", "pos", "r.*")
 
