@@ -37,7 +37,7 @@ def round_int(c: Column, default: int = 0) -> Column:
 def clamp_int(c: Column, low: int, high: int, default: int) -> Column:
     """Floor within bounds; the default where it is no finite number."""
     x = F.floor(finite(c)).cast("bigint")
-    return F.coalesce(F.least(F.greatest(x, F.lit(low).cast("bigint")), F.lit(high).cast("bigint")), F.lit(default).cast("bigint"))
+    return F.when(x.isNull(), F.lit(default).cast("bigint")).otherwise(F.least(F.greatest(x, F.lit(low).cast("bigint")), F.lit(high).cast("bigint")))
 
 
 # Words that read as no. Everything else that is present reads as yes.
