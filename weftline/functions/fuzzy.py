@@ -33,14 +33,22 @@ def partial_ratio(a: str, b: str) -> float:
     if not short:
         return 100.0 if not long else 0.0
     n = len(short)
-    letters = set(short)
+    where: dict[str, int] = {}
+    for i, c in enumerate(short):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << n) - 1
     best = 0.0
     for at in range(1 - n, len(long)):
         window = long[max(0, at) : at + n]
-        if window[-1] in letters or window[0] in letters:
-            best = max(best, ratio(short, window))
-            if best == 100.0:
-                break
+        if (window[-1] not in where and window[0] not in where) or 200 * min(n, len(window)) / (n + len(window)) <= best:
+            continue
+        row = full
+        for c in window:
+            hit = row & where.get(c, 0)
+            row = (row + hit | row - hit) & full
+        best = max(best, 200.0 * (n - row.bit_count()) / (n + len(window)))
+        if best == 100.0:
+            break
     return best
 
 
@@ -68,14 +76,22 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(scores)
 
 
-def best_score(a: str, b: str, enough: int = 101) -> int:
-    """The largest of the four ratios, each cut to a whole number; the costly ones are left out once one is ``enough``."""
+def best_score(a: str, b: str, enough: int = 101, floor: int = 0) -> int:
+    """The largest of the four ratios, each cut to a whole number.
+
+    The costly ones are left out once one is ``enough``; the partial ratio
+    also where it cannot reach ``floor``, as no window has a longer common
+    subsequence than the whole strings.
+    """
     best = 0
-    for f in (ratio, token_sort_ratio, token_set_ratio, partial_ratio):
+    for f in (ratio, token_sort_ratio, token_set_ratio):
         best = max(best, int(f(a, b)))
         if best >= enough:
-            break
-    return best
+            return best
+    n, common = min(len(a), len(b)), lcs_length(a, b)
+    if common and 200 * common / (n + common) < max(floor, best):
+        return best
+    return max(best, int(partial_ratio(a, b)))
 
 
 @F.pandas_udf(T.IntegerType())

@@ -52,9 +52,9 @@ class Aligner:
         return out
 
     def _score(self, norm: str, bare: str, at: int, k: int, enough: int, stop: int = 101) -> int:
-        score = best_score(norm, " ".join(self.text[at : at + k]), stop)
+        score = best_score(norm, " ".join(self.text[at : at + k]), stop, enough)
         if score < enough and bare and (other := "".join(self.bare[at : at + k])):
-            score = max(score, best_score(bare, other, stop))
+            score = max(score, best_score(bare, other, stop, enough))
         return score
 
     def _end(self, tokens: list[str], at: int, k: int) -> int:

@@ -13,6 +13,8 @@ from .registry import query
 from .tables import IV, intervals, table
 
 _BUCKET = 3_600_000
+#: Line numbers repeat within some orders; these columns put the lines in one order.
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 
 
 @query(
@@ -25,10 +27,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return I.gap_overlap_audit(intervals(spark, d), ["user_id"], tie=["event_id"])
 
 
-@query("prefix_starts", "SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lineitem")
+@query("prefix_starts", "SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lineitem")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q"))
-    return I.prefix_starts(lines, ["l_orderkey"], ["l_linenumber"], "q").select("l_orderkey", "l_linenumber", "start")
+    lines = table(spark, d, "lineitem").select(*_LINE, F.col("l_quantity").cast("bigint").alias("q"))
+    return I.prefix_starts(lines, ["l_orderkey"], _LINE[1:], "q").select("l_orderkey", "l_linenumber", "start")
 
 
 @query("slot_lengths", f"WITH {IV} SELECT event_id, greatest(coalesce(lead(st) OVER (PARTITION BY user_id ORDER BY st, event_id), en) - st, 1)::BIGINT AS slot FROM iv")
@@ -63,14 +65,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "frame_drift",
-    """WITH f AS (SELECT l_orderkey, l_linenumber, (l_quantity * 37)::BIGINT AS ms FROM lineitem),
+    """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, (l_quantity * 37)::BIGINT AS ms FROM lineitem),
     g AS (SELECT *, greatest(round_even(ms * (24 / 1000), 0)::BIGINT, 1) AS frames FROM f),
-    h AS (SELECT *, round_even((sum(ms) OVER w)::BIGINT * (24 / 1000), 0)::BIGINT - (sum(frames) OVER w)::BIGINT AS drift FROM g WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
+    h AS (SELECT *, round_even((sum(ms) OVER w)::BIGINT * (24 / 1000), 0)::BIGINT - (sum(frames) OVER w)::BIGINT AS drift FROM g WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity))
     SELECT l_orderkey, l_linenumber, frames, drift, greatest(frames - drift, 1) AS final_frames FROM h""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 37).cast("bigint").alias("ms"))
-    return I.frame_drift(lines, ["l_orderkey"], ["l_linenumber"], "ms", 24).drop("ms")
+    lines = table(spark, d, "lineitem").select(*_LINE, (F.col("l_quantity") * 37).cast("bigint").alias("ms"))
+    return I.frame_drift(lines, ["l_orderkey"], _LINE[1:], "ms", 24).select("l_orderkey", "l_linenumber", "frames", "drift", "final_frames")
 
 
 @query(
@@ -117,7 +119,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return D.union_first_wins(frames, ["k"], ["src"])
 
 
-@query("mode_first_seen", "SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS at FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, at) = 1")
+@query("mode_first_seen", "SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first_id) = 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return I.mode_first_seen(table(spark, d, "events"), ["user_id"], "event_type", "event_id")
 
@@ -213,8 +215,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "nearest_match",
-    f"""WITH {IV}, l AS (SELECT user_id, event_id, event_type, st FROM iv WHERE event_id % 4 = 0), r AS (SELECT user_id, event_id AS rid, event_type, st AS at FROM iv WHERE event_id % 4 = 1),
-    j AS (SELECT l.*, rid, abs(at - st) AS distance, row_number() OVER (PARTITION BY l.event_id ORDER BY (r.event_type = l.event_type) DESC, abs(at - st), at, rid) AS k FROM l LEFT JOIN r USING (user_id))
+    f"""WITH {IV}, l AS (SELECT user_id, event_id, event_type, st FROM iv WHERE event_id % 4 = 0), r AS (SELECT user_id, event_id AS rid, event_type, st AS t FROM iv WHERE event_id % 4 = 1),
+    j AS (SELECT l.*, rid, abs(t - st) AS distance, row_number() OVER (PARTITION BY l.event_id ORDER BY (r.event_type = l.event_type) DESC, abs(t - st), t, rid) AS k FROM l LEFT JOIN r USING (user_id))
     SELECT event_id, rid AS nearest_id, distance FROM j WHERE k = 1""".replace("LEFT JOIN r USING (user_id)", "LEFT JOIN r ON l.user_id = r.user_id"),
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
