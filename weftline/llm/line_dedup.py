@@ -2,9 +2,9 @@
 
 A line's set is its distinct lower-cased words. Words are ordered by rarity,
 and two sets can only reach the threshold if they share a word among the
-first few of each (prefix filter), where enough words are left behind it
-(positional filter) and their sizes are close (length filter). What passes is
-verified on the full sets. The order has to be the same everywhere, not
+first few of each (prefix filter; alike sets share several), where enough
+words stand before and behind it (positional filter), their sizes are close
+(length filter) and few of 32 parities differ. What passes is verified on the full sets. The order has to be the same everywhere, not
 exact: word counts over all documents, in a table of fixed size indexed by
 hash, rank the words, and equal ranks go by hash.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import GAP, cut, release
 
 #: Counters of the table of word counts (one for each value of a hash's low bits).
-COUNTERS = 1 << 17
+COUNTERS = 1 << 16
 #: Bits of the table that tells which lines take part in a candidate pair (by hash).
 _MARKS = 1 << 20
 _SPACE = " \t\r\x0b\x0c"
@@ -32,23 +32,18 @@ def _tokens(line):
 
 
 def rarity(docs: DataFrame, text_col: str):
-    """A function from a word's hash to its rank of rarity, 0 to 255: four steps for each doubling of its counter.
+    """A function from a word's hash to its rank of rarity: four steps for each doubling of its counter.
 
     The counters are summed over all documents; the table is of fixed size
-    and goes into the plan as an array of longs, eight ranks in each.
+    and goes into the plan as an array.
     """
     each = docs.select(F.explode(F.split(F.lower(F.col(text_col)), GAP, -1)).alias("w"))
     by = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("at")).agg(F.count("*").alias("c"))
-    packed = [0] * (COUNTERS // 8)
+    ranks = [0] * COUNTERS
     for at, c in by.collect():  # COUNTERS rows at most
-        packed[at // 8] |= min(255, int(4 * math.log2(c + 1))) << (8 * (at % 8))
-    table = F.split(F.lit(",".join(str(x - 2**64 if x >= 2**63 else x) for x in packed)), ",").cast("array<bigint>")
-
-    def rank(h):
-        at = h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
-        return F.call_function("shiftrightunsigned", F.get(table, F.shiftright(at, 3)), at.bitwiseAND(F.lit(7)) * 8).bitwiseAND(F.lit(255))
-
-    return rank
+        ranks[at] = int(4 * math.log2(c + 1))
+    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    return lambda h: F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,23 +68,38 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     rank = rarity(docs, text_col)
-    lines = _lines(docs, id_col, text_col).withColumn("toks", _tokens(F.col("line"))).where(F.size("toks") > 0)
-    key = lambda h: F.shiftleft(rank(h), 32).bitwiseOR(F.shiftrightunsigned(h, 32))  # noqa: E731  rarest first
-    keyed = lines.select("id", "pos", F.size("toks").alias("n"), F.sort_array(F.transform("toks", key)).alias("keys"), F.aggregate("toks", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h)).alias("k2"))
-    keyed = keyed.select("id", "pos", "n", F.xxhash64("keys").alias("k1"), "k2", F.slice("keys", F.lit(1), F.col("n") - _need(F.col("n"), percent) + 1).alias("prefix"))
+    words = F.split(F.btrim(F.lower("line"), F.lit(_SPACE)), GAP, -1)
+    key = lambda w: F.shiftleft(rank(F.xxhash64(w)), 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 32))  # noqa: E731  rarest first
+    keyed = _lines(docs, id_col, text_col).where(F.btrim("line", F.lit(_SPACE)) != "").select("id", "pos", F.sort_array(F.array_distinct(F.transform(words, key))).alias("keys"))
+    keyed = keyed.withColumn("n", F.size("keys"))
+    # one parity for each of 32 classes of words: two sets differ in at least as many words as parities
+    flip = lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(31)).cast("int")))
+    keyed = keyed.select("id", "pos", "n", F.aggregate("keys", F.lit(0).cast("bigint"), flip).alias("parity"), F.xxhash64("keys").alias("k1"), F.xxhash64(F.lit(7), "keys").alias("k2"), F.slice("keys", F.lit(1), F.col("n") - _need(F.col("n"), percent) + 1).alias("prefix"))
     lines = cut(keyed)
     release(spark)
-    classes = lines.groupBy("k1", "k2", "n").agg(F.min(_rank()).alias("first"), F.first("prefix").alias("prefix"))
+    classes = lines.groupBy("k1", "k2", "n").agg(F.min(_rank()).alias("first"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
     classes = cut(classes)
     release(spark)
-    # entries of the index: the size in the high bits, the place in the prefix in the low ones
-    entry = classes.select("k1", "n", F.posexplode("prefix").alias("at", "key")).select("key", "k1", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at")).alias("e"))
-    x, y = entry.select("key", F.col("k1").alias("a"), F.col("e").alias("ea")), entry.select("key", F.col("k1").alias("b"), F.col("e").alias("eb"))
+    # entries of the index: the size in the high bits, the place in the prefix in the low ones; of the key
+    # 32 bits are enough, as a pair too many is only verified in vain
+    key32 = F.xxhash64("key").bitwiseAND(F.lit(2**32 - 1)).alias("key")
+    entry = classes.select("k1", "n", "parity", F.posexplode("prefix").alias("at", "key")).select(key32, "k1", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at")).alias("e"), "parity")
+    x, y = (entry.select("key", F.col("k1").alias(c), F.col("e").alias(f"e{c}"), F.col("parity").alias(f"p{c}")) for c in "ab")
     size = lambda e: F.shiftright(e, 32)
-    left = lambda e: F.shiftright(e, 32) - F.col(e).bitwiseAND(F.lit(2**32 - 1))  # noqa: E731  words from here on
-    smaller = (size("ea") < size("eb")) | ((size("ea") == size("eb")) & (F.col("a") < F.col("b")))
-    fit = (size("ea") * 100 >= size("eb") * percent) & (F.least(left("ea"), left("eb")) * (100 + percent) >= (size("ea") + size("eb")) * percent)
-    pairs = cut(x.join(y, "key").where(smaller & fit).select("a", "b").distinct())
+    place = lambda e: F.col(e).bitwiseAND(F.lit(2**32 - 1))
+    na, nb = size("ea"), size("eb")
+    smaller = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
+    # sets that reach the threshold share `both` words, rounded up
+    both = lambda na, nb: F.ceil((na + nb) * percent / (100 + percent) - F.lit(1e-9))
+    # so many there have to be before the shared word and from it on, and no more may differ than the rest
+    reach = F.least(place("ea"), place("eb")) + F.least(na - place("ea"), nb - place("eb")) >= both(na, nb)
+    alike = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= na + nb - 2 * both(na, nb)
+    met = x.join(y, "key").where(smaller & (na * 100 >= nb * percent) & reach & alike)
+    met = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(na).alias("na"), F.min(nb).alias("nb"))
+    # prefixes share as many words as they are longer than what may be missing
+    total = both(F.col("na"), F.col("nb"))
+    shared = F.least(total - _need(F.col("na"), percent), total - _need(F.col("nb"), percent)) + 1
+    pairs = cut(met.where(F.col("c") >= shared).select("a", "b"))
     release(spark)
     # the sets of the lines that take part, looked up in the texts
     part = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
@@ -105,7 +115,7 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     release(spark)
     sx = sets.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("n").alias("na"), F.col("first").alias("fa"), F.col("toks").alias("ta"))
     sy = sets.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("n").alias("nb"), F.col("first").alias("fb"), F.col("toks").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
+    both = F.size(F.array_intersect("ta", "tb"))  # the full sets
     hit = pairs.join(sx, "a").join(sy, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent)
     later = hit.select(F.when(F.col("fa") < F.col("fb"), F.struct(F.col("b").alias("k1"), F.col("b2").alias("k2"), F.col("nb").alias("n"))).otherwise(F.struct(F.col("a").alias("k1"), F.col("a2").alias("k2"), F.col("na").alias("n"))).alias("c")).select("c.*").distinct()
     status = classes.select("k1", "k2", "n", "first").join(later.withColumn("late", F.lit(True)), ["k1", "k2", "n"], "left")
@@ -136,3 +146,27 @@ def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
     cols = [text.alias(c) if c == text_col else F.col(c) for c in own]
     return out.select(*cols, F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce("_gone", F.array().cast("array<int>")).alias("removed"))
+
+
+#: DuckDB's form of :func:`deduplicate_lines` over ``documents``, with the columns of its query.
+SQL = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+l AS (
+  SELECT doc_id, i - 1 AS pos, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(lines[i]), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS words
+  FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+c AS (
+  SELECT words, len(words) AS n, min((doc_id, pos)) AS first, row_number() OVER () AS id FROM l WHERE len(words) > 0 GROUP BY words),
+e AS (SELECT id, n, unnest(words) AS word FROM c),
+f AS (SELECT word, count(*) AS df FROM e GROUP BY word),
+p AS (
+  SELECT id, n, word FROM (SELECT e.*, row_number() OVER (PARTITION BY id ORDER BY df, word) AS k FROM e JOIN f USING (word)) WHERE k <= n - (80 * n + 99) // 100 + 1),
+m AS (SELECT DISTINCT a.id AS x, b.id AS y FROM p a JOIN p b USING (word) WHERE a.id <> b.id AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80),
+h AS (
+  SELECT DISTINCT y AS id FROM m JOIN c a ON a.id = x JOIN c b ON b.id = y
+  WHERE a.first < b.first AND 100 * len(list_intersect(a.words, b.words)) >= 80 * (a.n + b.n - len(list_intersect(a.words, b.words)))),
+g AS (
+  SELECT doc_id, list(pos ORDER BY pos) AS gone FROM l JOIN c USING (words) LEFT JOIN h USING (id) WHERE h.id IS NOT NULL OR (doc_id, pos) <> c.first GROUP BY doc_id),
+o AS (SELECT doc_id, lines, coalesce(gone, []) AS gone FROM d LEFT JOIN g USING (doc_id)),
+k AS (SELECT *, array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) AS text FROM o)
+SELECT doc_id, len(lines) AS n_lines, len(gone) AS n_removed, array_to_string(gone, ',') AS removed, length(text) AS n_chars, md5(text) AS text_md5 FROM k
+"""
