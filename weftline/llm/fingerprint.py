@@ -29,14 +29,17 @@ def _contributions(text):
     paragraphs = F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
     def of(p):
-        w = F.filter(F.split(p, GAP, -1), lambda x: x != "")
+        words = F.array_remove(F.split(p, GAP, -1), "")
 
-        def pair(x, i):
-            h = F.xxhash64(x, F.get(w, i + 1))
-            return F.struct(h.bitwiseAND(F.lit(LIKENESS - 1)).cast("int").alias("lane"), (F.shiftrightunsigned(h, 62).bitwiseAND(F.lit(1)) * 2 - 1).cast("long").alias("value"))
+        def pairs(w):  # as a lambda's variable the words are split once, not once for each of them
+            def pair(x, i):
+                h = F.xxhash64(x, F.get(w, i + 1))
+                return F.struct(h.bitwiseAND(F.lit(LIKENESS - 1)).cast("int").alias("lane"), (F.shiftrightunsigned(h, 62).bitwiseAND(F.lit(1)) * 2 - 1).cast("long").alias("value"))
+
+            return F.transform(w, pair)
 
         whole = F.array(*[F.struct(F.lit(LIKENESS + k).alias("lane"), F.xxhash64(F.lit(k), p).bitwiseAND(F.lit(2**_ID_MOD - 1)).alias("value")) for k in range(IDENTITY)])
-        return F.concat(F.transform(w, pair), whole)
+        return F.concat(F.flatten(F.transform(F.array(words), pairs)), whole)
 
     return F.flatten(F.transform(paragraphs, of))
 
@@ -158,21 +161,70 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("next_text"), F.lit(1), tail))
     rows = rows.select("id", "next_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    both = rows.select("id", "next_id", "n_chars", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"))
-    both = both.select("id", "next_id", "n_chars", F.col("x.kind").alias("kind"), F.when(F.col("x.kind") == 1, F.sha2(F.col("x.t"), 256)).alias("sha"), F.col("x.t").alias("t"))
-    carry = ("next_id", "n_chars", "sha")
-    vec = cut(_vectors(paragraph_lanes(both, ["id", "kind"], "t", carry), ["id", "kind"], carry))
+    # as four longs the digest keeps the aggregation on hashes, which strings would put on sorts
+    half = lambda k: F.conv(F.substring("sha", 1 + 8 * k, 8), 16, 10).cast("bigint")
+    rows = rows.withColumn("sha", F.sha2("edited", 256))
+    carry = ["n_chars", "s0", "s1", "s2", "s3"]
+    rows = rows.select("id", "next_id", "n_chars", *[F.shiftleft(half(2 * k), 32).bitwiseOR(half(2 * k + 1)).alias(f"s{k}") for k in range(4)], F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"))
+    each = rows.select("id", "next_id", *carry, F.col("x.kind").alias("kind"), F.explode(_contributions(F.col("x.t"))).alias("c"))
+    each = each.select("id", "next_id", *carry, F.shiftright("c.lane", 4).alias("grp"), (F.col("kind") * GROUP + F.col("c.lane").bitwiseAND(F.lit(GROUP - 1))).alias("at"), F.col("c.value").alias("value"))
+    # one row for each 16 lanes of both texts; what a document has once goes with its identity lanes
+    last = F.col("grp") == LIKENESS // GROUP
+    sums = [F.sum(F.when(F.col("at") == j, F.col("value")).otherwise(0)).alias(f"{'te'[j // GROUP]}{j % GROUP}") for j in range(2 * GROUP)]
+    lanes = cut(each.groupBy("id", "next_id", "grp").agg(*sums, *[F.max(F.when(last, F.col(c))).alias(c) for c in carry]))
     release(docs.sparkSession)
-    own = vec.where("kind = 0").select("id", "next_id", "n_chars", F.col("vec").alias("v"))
-    other = vec.where("kind = 1").select("id", F.col("sha").alias("edited_sha256"), F.col("vec").alias("e"))
-    after = vec.where("kind = 0").select(F.col("id").alias("next_id"), F.col("vec").alias("x"))
-    out = own.join(other, "id").join(after, "next_id")
-    return out.select(
+    after = lanes.select(F.col("id").alias("next_id"), "grp", *[F.col(f"t{k}").alias(f"x{k}") for k in range(GROUP)])
+    # a next text may have no word pair in some lanes, but always has identity lanes
+    both = lanes.join(after, ["next_id", "grp"], "left")
+
+    def lane(c: str, k: int):
+        """A likeness lane as a signed number of 16 bits."""
+        return F.pmod(F.coalesce(F.col(f"{c}{k}"), F.lit(0).cast("long")) + 2 ** (_LIKE_MOD - 1), F.lit(2**_LIKE_MOD)) - 2 ** (_LIKE_MOD - 1)
+
+    def squares(f):
+        out = f(0)
+        for k in range(1, GROUP):
+            out = out + f(k)
+        return F.sum(F.when(last, F.lit(0).cast("long")).otherwise(out))
+
+    apart = lambda a, b: squares(lambda k: (lane(a, k) - lane(b, k)) * (lane(a, k) - lane(b, k)))
+    norm = lambda a: squares(lambda k: lane(a, k) * lane(a, k))
+    same = lambda a, b: F.min(_all_equal(a, b))
+
+    def _all_equal(a: str, b: str):
+        out = F.lit(True)
+        for k in range(GROUP):
+            out = out & (F.coalesce(F.col(f"{a}{k}"), F.lit(0).cast("long")) == F.coalesce(F.col(f"{b}{k}"), F.lit(0).cast("long")))
+        return out
+
+    def digits(c: str):
+        short = F.concat(*[F.lpad(F.hex(F.pmod(F.col(f"{c}{k}"), F.lit(2**_LIKE_MOD))), 4, "0") for k in range(GROUP)])
+        long = F.concat(*[F.lpad(F.hex(F.pmod(F.col(f"{c}{k}"), F.lit(2**_ID_MOD))), 8, "0") for k in range(GROUP)])
+        return F.when(last, long).otherwise(short)
+
+    def text_of(c: str):
+        """All groups in order; lanes that nothing was added to are zeros."""
+        got = F.map_from_entries(F.collect_list(F.struct("grp", digits(c).alias("d"))))
+        return got.alias(f"d_{c}")
+
+    by = both.groupBy("id").agg(
+        *[F.max(c).alias(c) for c in carry], text_of("t"), text_of("e"), norm("t").alias("nt"), norm("e").alias("ne"), norm("x").alias("nx"),
+        apart("t", "e").alias("te"), apart("t", "x").alias("tx"), same("t", "e").alias("same_e"), same("t", "x").alias("same_x"),
+    )
+    # groups that only the next text has words in
+    more = after.join(lanes.select("id", "next_id", "grp"), ["next_id", "grp"], "left_anti")
+    more = more.groupBy("next_id").agg(norm("x").alias("mx")).join(lanes.where(last).select("id", "next_id"), "next_id").select(F.col("id"), "mx")
+    by = by.join(more, "id", "left").withColumn("mx", F.coalesce("mx", F.lit(0).cast("long")))
+    zeros = F.lit("0" * (4 * GROUP))
+    joined = lambda c: F.lower(F.concat(*[F.coalesce(F.try_element_at(F.col(f"d_{c}"), F.lit(g)), zeros) for g in range(LIKENESS // GROUP + 1)]))
+    near = lambda a, b, d, eq: F.when(eq, 1.0).when(a + b == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - d / (a + b)))
+    return by.select(
         F.col("id").alias("doc_id"),
         "n_chars",
-        "edited_sha256",
-        to_text(F.col("v")).alias("fingerprint"),
-        to_text(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("v"), F.col("e")).alias("near_edited"),
-        likeness(F.col("v"), F.col("x")).alias("near_next"),
+        F.lower(F.concat(*[F.lpad(F.hex(f"s{k}"), 16, "0") for k in range(4)])).alias("edited_sha256"),
+        joined("t").alias("fingerprint"),
+        joined("e").alias("edited_fingerprint"),
+        near(F.col("nt"), F.col("ne"), F.col("te"), F.col("same_e")).alias("near_edited"),
+        near(F.col("nt"), F.col("nx") + F.col("mx"), F.col("tx") + F.col("mx"), F.col("same_x") & (F.col("mx") == 0)).alias("near_next"),
     )
+
