@@ -24,47 +24,44 @@ IDENTITY, LIKENESS, GROUP = 16, 256, 16
 _ID_MOD, _LIKE_MOD = 31, 16
 
 
-def _contributions(text):
-    """array of (lane, value): what each paragraph of a text adds to which lane."""
-    paragraphs = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def _units(rows: DataFrame, cols: list[str], text_col: str) -> DataFrame:
+    """(cols, p, h): for each paragraph p one row with a null h, which stands for itself, and one with the hash of each of its word pairs.
 
-    def of(p):
-        words = F.array_remove(F.split(p, GAP, -1), "")
-
-        def pairs(w):  # as a lambda's variable the words are split once, not once for each of them
-            def pair(x, i):
-                h = F.xxhash64(x, F.get(w, i + 1))
-                return F.struct(h.bitwiseAND(F.lit(LIKENESS - 1)).cast("int").alias("lane"), (F.shiftrightunsigned(h, 62).bitwiseAND(F.lit(1)) * 2 - 1).cast("long").alias("value"))
+    The last word's pair is the word alone. Only the pairs' hashes are made
+    in a lambda; lanes and signs are taken from them in generated code.
+    """
+    words = F.array_remove(F.split("p", GAP, -1), "")
 
-            return F.transform(w, pair)
+    def pairs(w):  # as a lambda's variable the words are split once, not once for each of them
+        return F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1)))
 
-        whole = F.array(*[F.struct(F.lit(LIKENESS + k).alias("lane"), F.xxhash64(F.lit(k), p).bitwiseAND(F.lit(2**_ID_MOD - 1)).alias("value")) for k in range(IDENTITY)])
-        return F.concat(F.flatten(F.transform(F.array(words), pairs)), whole)
+    hashes = F.concat(F.array(F.lit(None).cast("bigint")), F.flatten(F.transform(F.array(words), pairs)))
+    each = rows.select(*cols, F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("p"))
+    each = each.select(*cols, "p", F.explode(hashes).alias("h"))
+    grp = F.when(F.col("h").isNull(), F.lit(LIKENESS // GROUP)).otherwise(F.shiftright("h", 4).bitwiseAND(F.lit(LIKENESS // GROUP - 1)).cast("int"))
+    at = F.coalesce(F.col("h").bitwiseAND(F.lit(GROUP - 1)).cast("int"), F.lit(-1))
+    return each.select(*cols, "p", grp.alias("grp"), at.alias("at"), (F.shiftrightunsigned("h", 62).bitwiseAND(F.lit(1)) * 2 - 1).alias("sign"))
 
-    return F.flatten(F.transform(paragraphs, of))
 
+def _lane_sum(k: int, own):
+    """What a unit adds to lane k of its group, where ``own`` holds: a hash of the whole paragraph, or a pair's sign."""
+    whole = F.xxhash64(F.lit(k), "p").bitwiseAND(F.lit(2**_ID_MOD - 1))
+    return F.sum(F.when(own & (F.col("at") < 0), whole).when(own & (F.col("at") == k), F.col("sign")).otherwise(0))
 
-def paragraph_lanes(rows: DataFrame, keys: list[str], text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, grp, l0 .. l15, carry): sums of the lanes of each row's text, 16 lanes in a row, pre-aggregated before the shuffle.
 
-    The columns of ``carry`` go with the group of identity lanes, which every
-    text has; they are null in the others.
-    """
-    each = rows.select(*keys, *carry, F.explode(_contributions(F.col(text_col))).alias("c"))
-    each = each.select(*keys, *carry, F.shiftright("c.lane", 4).alias("grp"), F.col("c.lane").bitwiseAND(F.lit(GROUP - 1)).alias("at"), F.col("c.value").alias("value"))
-    last = F.col("grp") == LIKENESS // GROUP
-    sums = [F.sum(F.when(F.col("at") == k, F.col("value")).otherwise(0)).alias(f"l{k}") for k in range(GROUP)]
-    return each.groupBy(*keys, "grp").agg(*sums, *[F.max(F.when(last, F.col(c))).alias(c) for c in carry])
+def paragraph_lanes(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """(keys, grp, l0 .. l15): sums of the lanes of each row's text, 16 lanes in a row, pre-aggregated before the shuffle."""
+    return _units(rows, keys, text_col).groupBy(*keys, "grp").agg(*[_lane_sum(k, F.lit(True)).alias(f"l{k}") for k in range(GROUP)])
 
 
-def _vectors(lanes: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, carry, vec): all lanes of a key in order, reduced by their moduli, as an array of 272 ints."""
+def _vectors(lanes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, vec): all lanes of a key in order, reduced by their moduli, as an array of 272 ints."""
     groups = (LIKENESS + IDENTITY) // GROUP
     mod = F.when(F.col("grp") < LIKENESS // GROUP, F.lit(2**_LIKE_MOD)).otherwise(F.lit(2**_ID_MOD))
     ls = F.array(*[F.pmod(F.col(f"l{k}"), mod).cast("int") for k in range(GROUP)])
-    by = lanes.select(*keys, *carry, "grp", ls.alias("ls")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("grp", "ls"))).alias("m"), *[F.max(c).alias(c) for c in carry])
+    by = lanes.select(*keys, "grp", ls.alias("ls")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("grp", "ls"))).alias("m"))
     zero = F.array(*[F.lit(0)] * GROUP)
-    return by.select(*keys, *carry, F.flatten(F.array(*[F.coalesce(F.try_element_at(F.col("m"), F.lit(g)), zero) for g in range(groups)])).alias("vec"))
+    return by.select(*keys, F.flatten(F.array(*[F.coalesce(F.try_element_at(F.col("m"), F.lit(g)), zero) for g in range(groups)])).alias("vec"))
 
 
 def to_text(vec):
@@ -166,11 +163,11 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     rows = rows.withColumn("sha", F.sha2("edited", 256))
     carry = ["n_chars", "s0", "s1", "s2", "s3"]
     rows = rows.select("id", "next_id", "n_chars", *[F.shiftleft(half(2 * k), 32).bitwiseOR(half(2 * k + 1)).alias(f"s{k}") for k in range(4)], F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"))
-    each = rows.select("id", "next_id", *carry, F.col("x.kind").alias("kind"), F.explode(_contributions(F.col("x.t"))).alias("c"))
-    each = each.select("id", "next_id", *carry, F.shiftright("c.lane", 4).alias("grp"), (F.col("kind") * GROUP + F.col("c.lane").bitwiseAND(F.lit(GROUP - 1))).alias("at"), F.col("c.value").alias("value"))
+    rows = rows.select("id", "next_id", *carry, F.col("x.kind").alias("kind"), F.col("x.t").alias("t"))
+    each = _units(rows, ["id", "next_id", *carry, "kind"], "t")
     # one row for each 16 lanes of both texts; what a document has once goes with its identity lanes
     last = F.col("grp") == LIKENESS // GROUP
-    sums = [F.sum(F.when(F.col("at") == j, F.col("value")).otherwise(0)).alias(f"{'te'[j // GROUP]}{j % GROUP}") for j in range(2 * GROUP)]
+    sums = [_lane_sum(k, F.col("kind") == j).alias(f"{'te'[j]}{k}") for j in (0, 1) for k in range(GROUP)]
     lanes = cut(each.groupBy("id", "next_id", "grp").agg(*sums, *[F.max(F.when(last, F.col(c))).alias(c) for c in carry]))
     release(docs.sparkSession)
     after = lanes.select(F.col("id").alias("next_id"), "grp", *[F.col(f"t{k}").alias(f"x{k}") for k in range(GROUP)])
