@@ -204,8 +204,8 @@ def encode_sampled(docs: DataFrame, vocabulary: Vocabulary, *, key_col: str = "d
     """The columns of ``docs`` with ``pieces`` (array of ids), ``n_pieces`` and ``lossless`` put last.
 
     ``lossless`` says whether the ids decode to the very text; it is true for
-    every text but null (a null text has no pieces and null there). An empty
-    text has none either. Characters outside the vocabulary, and the
+    every text but null (a null text has null pieces, 0 of them, and null
+    there). An empty text has none. Characters outside the vocabulary, and the
     vocabulary's own mark for a space, go by their bytes. Rows with equal
     keys and texts get equal pieces; a null key is a key. Very long texts are
     cut in chunks, not in pieces of text. Columns of ``docs`` with the names
@@ -222,7 +222,8 @@ def encode_sampled(docs: DataFrame, vocabulary: Vocabulary, *, key_col: str = "d
                 ids, offsets = sampler(texts, part.column(part.schema.get_field_index(key_col)).to_pylist())
                 whole = ids.tolist()
                 same = [None if t is None else vocabulary.decode(whole[a:b]) == t for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                cols = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), pa.array(np.diff(offsets)), pa.array(same, pa.bool_())]
+                nulls = pa.array([t is None for t in texts], pa.bool_())
+                cols = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids), mask=nulls), pa.array(np.diff(offsets)), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, "pieces", "n_pieces", "lossless"])
 
     src = docs.select(*kept).withColumn(text_col, F.col(text_col).cast("string"))
