@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, release
 from .components import connected_components
 
 _U = np.uint64
@@ -33,7 +33,7 @@ class _WordHash(dict):
     """64-bit hash of each word, kept while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -148,10 +148,10 @@ def near_duplicates(
     percent: int = 80,
     bands: int = 64,
     rows: int = 8,
-    pivot_rounds: int = 3,
+    partners: int = 3,
     spread: float = 6.0,
 ) -> DataFrame:
-    """One row per document: id, n_shingles, class_id, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept, class_id.
 
     ``class_id`` is the smallest id with the same shingle set, ``component_id``
     the smallest id that links reach, ``kept`` whether the document is it.
@@ -166,58 +166,46 @@ def near_duplicates(
     columns of ``docs`` are not looked at. An empty table gives no rows.
     """
     n_words = bands * rows // 64
-    floor = percent / 100 - spread * 0.6 / np.sqrt(bands * rows)
+    floor = float(percent / 100 - spread * 0.6 / np.sqrt(bands * rows))
     sk = cut(sketches(docs, id_col, text_col, ngram, bands, rows))
-    classes = sk.where("id is not null and n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("class_id"))
-    reps = sk.join(classes.select(F.col("class_id").alias("id"), "k1", "k2", "n"), ["id", "k1", "k2", "n"], "left_semi").select("id", "keys", "bits").dropDuplicates(["id"])
-    rows_of = reps.select("id", F.explode("keys").alias("key"))
-    many = rows_of.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select((F.col("key").bitwiseXOR(F.lit(1))).alias("k"))
-    member = cut(rows_of.select("id", F.col("key").bitwiseXOR(F.lit(1)).alias("k")).join(many, "k", "left_semi"))
+    known = sk.where("id is not null and n > 0")
+    classes = cut(known.groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys"), F.min_by("bits", "id").alias("bits")))
+    rows_of = classes.select("id", F.explode("keys").alias("k"))
+    # buckets of more than one class, with their smallest one, back to their classes; the key under a
+    # mask gives the rows an exchange of their own, which adaptive execution can split where it is hot
+    many = rows_of.groupBy("k").agg(F.count("*").alias("c"), F.min("id").alias("p")).where("c > 1").select(F.col("k").bitwiseXOR(F.lit(1)).alias("k"), "p")
+    member = cut(rows_of.select("id", F.col("k").bitwiseXOR(F.lit(1)).alias("k")).join(many, "k"))
     pool = member.select("id").distinct()
-    bits = cut(sk.select("id", "bits").join(pool, "id", "left_semi").dropDuplicates(["id"]))
     texts = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(pool, "id", "left_semi").dropDuplicates(["id"]))
-    comp = pool.select("id", F.col("id").alias("comp"))
-    tried = links = None
+    bits = classes.select("id", "bits")
 
     def estimated(pairs: DataFrame) -> DataFrame:
         ba, bb = (bits.select(F.col("id").alias(x), F.col("bits").alias(f"b{x}")) for x in "ab")
-        return pairs.join(ba, "a").join(bb, "b").select("a", "b", _equal_bits("ba", "bb", n_words).alias("est")).where(F.col("est") >= float(floor))
-
-    def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
-        """Components once the links are added, worked out on the components, not on the nodes."""
-        ends = links.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("src")), "a").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("dst")), "b")
-        new = connected_components(ends)
-        return cut(comp.join(new.select(F.col("node").alias("comp"), "component"), "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")))
-
-    for step in range(pivot_rounds + 1):
-        known = member.join(comp, "id")
-        mixed = known.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(step))).alias("p")).where("lo <> hi")
-        mixed = mixed.select(F.col("k").bitwiseXOR(F.lit(2)).alias("k2"), "p")
-        inside = known.withColumn("k2", F.col("k").bitwiseXOR(F.lit(2)))
-        if step < pivot_rounds:  # each class against the likeliest partner among the pivots of its buckets
-            pairs = inside.join(mixed, "k2").where("comp <> p.comp").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), F.col("id").alias("of"))
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            of = pairs.distinct()
-            best = of.join(estimated(of.select("a", "b").distinct()), ["a", "b"]).groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p"))
-            todo = best.select("p.a", "p.b").distinct()
-        else:  # what is left: pairs of different components in one bucket
-            left = cut(inside.join(mixed.select("k2"), "k2", "left_semi").select("k", "id", "comp"))
-            x, y = (left.select("k", F.col("id").alias(n), F.col("comp").alias(f"c{n}")) for n in "ab")
-            pairs = x.join(y, "k").where("a < b and ca <> cb").select("a", "b").distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            todo = estimated(pairs).select("a", "b")
-        todo = cut(todo)
-        new = cut(_confirm(todo, texts, ngram, percent))
-        if not todo.take(1) and step < pivot_rounds:
-            continue
-        tried = todo if tried is None else tried.unionByName(todo)
-        links = new if links is None else links.unionByName(new)
-        if new.take(1):
-            comp = merged(comp, new)
-    out = sk.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left").join(comp.select(F.col("id").alias("class_id"), "comp"), "class_id", "left")
-    alone = F.when(F.col("n") > 0, F.coalesce("comp", "class_id", "id")).otherwise(F.col("id"))
+        return pairs.join(bb, "b").join(ba, "a").select("a", "b", _equal_bits("ba", "bb", n_words).alias("est")).where(F.col("est") >= floor)
+
+    # each class against the likeliest of the first ones of its buckets
+    first = estimated(member.where("p < id").select(F.col("id").alias("a"), F.col("p").alias("b")).distinct())
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.col("est").desc(), "b"))
+    tried = cut(first.withColumn("best", best).where(F.col("best") <= partners).select("a", "b"))
+    links = cut(_confirm(tried, texts, ngram, percent))
+    found = cut(connected_components(links, "a", "b"))
+    release(docs.sparkSession)
+    # what is left: pairs of different components in one bucket, other than those
+    comp = F.coalesce("component", "id").alias("comp")
+    known = member.join(found.withColumnRenamed("node", "id"), "id", "left").select("k", "id", comp)
+    mixed = known.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("k").bitwiseXOR(F.lit(2)).alias("k2"))
+    left = known.withColumn("k2", F.col("k").bitwiseXOR(F.lit(2))).join(mixed, "k2", "left_semi").select("k", "id", "comp")
+    left = cut(left.join(bits, "id"))
+    x, y = (left.select("k", F.col("id").alias(n), F.col("comp").alias(f"c{n}"), F.col("bits").alias(f"b{n}")) for n in "ab")
+    alike = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (_equal_bits("ba", "bb", n_words) >= floor)
+    pairs = x.join(y, (x["k"] == y["k"]) & alike).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    more = cut(_confirm(pairs, texts, ngram, percent))
+    if more.take(1):
+        found = cut(connected_components(links.unionByName(more), "a", "b"))
+    release(docs.sparkSession)
+    classes = classes.select("k1", "k2", "n", F.col("id").alias("class_id")).join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
+    out = sk.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
+    alone = F.when(F.col("n") > 0, F.coalesce("component", "class_id", "id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
@@ -225,3 +213,20 @@ def near_duplicates(
         F.coalesce(F.col("id") == alone, F.lit(True)).alias("kept"),
         F.when(F.col("id").isNull(), None).otherwise(F.coalesce("class_id", "id")).alias("class_id"),
     )
+
+
+#: DuckDB's form of :func:`near_duplicates` over ``documents`` on two-word shingles: every pair that shares one, counted.
+SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * shared >= 80 * (nx.n + ny.n - shared)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(node, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.y FROM r JOIN e ON r.reach = e.x),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.node = doc_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, topk
+from . import line_dedup, minhash, mixing, sharding, topk
 from .common import held_out, table
 from .fingerprint import edited_fingerprints
 from .html_extract import extract_main_text
@@ -20,7 +20,7 @@ SHARD_BYTES = 1 << 20
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents on two-word shingles at a similarity of 0.8."""
-    return near_duplicates(table(spark, sf_dir, "documents"), ngram=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), ngram=2, percent=80).drop("class_id")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_shards, op4_line_dedup, op5_exact_topk, op6_mix_sources, op7_main_text, op8_sampled_pieces, op9_language, op10_fingerprints)}
 
 ORACLE: dict[str, str] = {
+    "op1_minhash_dedup": minhash.SQL,
+    "op4_line_dedup": line_dedup.SQL,
     "op3_shards": sharding.SQL.replace("{limit}", str(SHARD_BYTES)),
     "op5_exact_topk": topk.SQL,
     "op6_mix_sources": mixing.SQL,
