@@ -149,6 +149,7 @@ def near_duplicates(
     bands: int = 64,
     rows: int = 8,
     partners: int = 3,
+    rounds: int = 2,
     spread: float = 6.0,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, class_id.
@@ -183,15 +184,33 @@ def near_duplicates(
         ba, bb = (bits.select(F.col("id").alias(x), F.col("bits").alias(f"b{x}")) for x in "ab")
         return pairs.join(bb, "b").join(ba, "a").select("a", "b", _equal_bits("ba", "bb", n_words).alias("est")).where(F.col("est") >= floor)
 
+    def likeliest(pairs: DataFrame) -> DataFrame:
+        """Of rows (of, a, b) the few of the highest estimate for each ``of``."""
+        w = Window.partitionBy("of").orderBy(F.col("est").desc(), "a", "b")
+        return pairs.join(estimated(pairs.select("a", "b").distinct()), ["a", "b"]).withColumn("best", F.row_number().over(w)).where(F.col("best") <= partners).select("a", "b").distinct()
+
     # each class against the likeliest of the first ones of its buckets
-    first = estimated(member.where("p < id").select(F.col("id").alias("a"), F.col("p").alias("b")).distinct())
-    best = F.row_number().over(Window.partitionBy("a").orderBy(F.col("est").desc(), "b"))
-    tried = cut(first.withColumn("best", best).where(F.col("best") <= partners).select("a", "b"))
+    tried = cut(likeliest(member.where("p < id").select(F.col("id").alias("of"), F.col("id").alias("a"), F.col("p").alias("b")).distinct()))
     links = cut(_confirm(tried, texts, ngram, percent))
     found = cut(connected_components(links, "a", "b"))
     release(docs.sparkSession)
-    # what is left: pairs of different components in one bucket, other than those
     comp = F.coalesce("component", "id").alias("comp")
+    for step in range(rounds):
+        # classes outside their bucket's first component against one class of each other component in it
+        known = member.join(found.withColumnRenamed("node", "id"), "id", "left").select("k", "id", comp)
+        reps = known.groupBy("k", "comp").agg(F.min_by("id", F.xxhash64("id", F.lit(step))).alias("p"))
+        mixed = known.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("k").bitwiseXOR(F.lit(4)).alias("k4"), "lo")
+        outside = known.withColumn("k4", F.col("k").bitwiseXOR(F.lit(4))).join(mixed, "k4").where("comp <> lo").select("k4", "id", "comp")
+        others = reps.select(F.col("k").bitwiseXOR(F.lit(4)).alias("k4"), "p", F.col("comp").alias("pc"))
+        pairs = outside.join(others, "k4").where("comp <> pc").select(F.col("id").alias("of"), F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
+        todo = cut(likeliest(pairs.join(tried, ["a", "b"], "left_anti")))
+        new = cut(_confirm(todo, texts, ngram, percent))
+        tried, links = tried.unionByName(todo), links.unionByName(new)
+        if not new.take(1):
+            break
+        found = cut(connected_components(links, "a", "b"))
+        release(docs.sparkSession)
+    # what is left: pairs of different components in one bucket, other than those
     known = member.join(found.withColumnRenamed("node", "id"), "id", "left").select("k", "id", comp)
     mixed = known.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("k").bitwiseXOR(F.lit(2)).alias("k2"))
     left = known.withColumn("k2", F.col("k").bitwiseXOR(F.lit(2))).join(mixed, "k2", "left_semi").select("k", "id", "comp")
