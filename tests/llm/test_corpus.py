@@ -14,7 +14,7 @@ from weftline.llm.components import connected_components
 from weftline.llm.html_extract import extract_main_text, page_lines, shared_lines
 from weftline.llm.langid import fit_dictionaries, identify_language
 from weftline.llm.line_dedup import deduplicate_lines
-from weftline.llm.minhash import near_duplicates
+from weftline.llm.minhash import Sketcher, near_duplicates
 from weftline.llm.pieces import Sampler, Vocabulary, decode_pieces, encode_sampled
 from weftline.llm.toxicity import fit_toxicity, isotonic, score_toxicity
 
@@ -71,6 +71,26 @@ def test_near_duplicates_equal_brute_force(docs):
     assert got == want
 
 
+def test_estimates_of_small_sets_keep_their_deviation():
+    sk, rng = Sketcher(64, 8), np.random.default_rng(11)
+    for n in (5, 10):
+        est = []
+        for _ in range(500):
+            x = rng.integers(0, 2**64 - 1, n, dtype=np.uint64)
+            a, b = sk.bits(np.stack([sk.minima(x), sk.minima(x[: n - n // 5])])).view(np.uint64)
+            est.append(1 - 2 * int(np.bitwise_count(a ^ b).sum()) / 512)
+        assert abs(np.mean(est) - 0.8) < 0.01 and np.std(est) < 0.032 and min(est) >= 0.641
+
+
+def test_near_duplicates_of_short_texts_equal_brute_force(spark):
+    rows = []
+    for i in range(300):  # 5 and 4 shingles of two words: exactly 0.8
+        words = [f"w{i}x{k}" for k in range(6)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:5]))]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), ngram=2)
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in out.collect()} == components(rows, 2)
+
+
 def test_near_duplicates_of_odd_rows(odd):
     out = near_duplicates(odd).collect()
     assert len(out) == odd.count()

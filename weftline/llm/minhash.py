@@ -2,9 +2,9 @@
 
 Every text is reduced once, in Arrow batches, to the minima of
 ``bands * rows`` permutations of its shingle set: ``bands`` keys of ``rows``
-full minima each find candidates, and the lowest bit of every minimum is
-packed into a signature, whose equal bits give a collision-corrected
-estimate of the similarity in the JVM. What the estimate leaves is confirmed
+full minima each find candidates, and one bit of every minimum, mixed with a
+salt of its permutation, is packed into a signature, whose equal bits give a
+collision-corrected estimate of the similarity in the JVM. What the estimate leaves is confirmed
 on the full shingle sets, so the links that count are exact.
 
 Groups of copies never become all their pairs: equal shingle sets are one
@@ -61,7 +61,7 @@ def shingle_hashes(text: str | None, ngram: int, cache: dict) -> np.ndarray:
 
 
 class Sketcher:
-    """Minima, band keys and packed low bits of shingle sets."""
+    """Minima, band keys and packed bits of shingle sets."""
 
     def __init__(self, bands: int, rows: int, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -69,6 +69,7 @@ class Sketcher:
         self.odd = (rng.integers(0, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
         self.mult = rng.integers(0, 2**63, rows, dtype=np.uint64) * _U(2) + _U(1)
         self.salt = rng.integers(0, 2**63, bands, dtype=np.uint64)
+        self.bit_salt = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
 
     def minima(self, x: np.ndarray, chunk: int = 512) -> np.ndarray:
         h = (x >> _U(32)).astype(np.uint32)
@@ -83,8 +84,12 @@ class Sketcher:
         return _mix((per * self.mult).sum(axis=2, dtype=np.uint64) + self.salt).view(np.int64)
 
     def bits(self, m: np.ndarray) -> np.ndarray:
-        """The lowest bit of every minimum, packed in int64 words."""
-        return np.packbits((m & np.uint32(1)).astype(bool), axis=1).view(np.int64)
+        """One bit of every minimum, packed in int64 words.
+
+        Odd multipliers keep an element's lowest bit in all permutations, so
+        the bit is taken after mixing with a salt for each of them.
+        """
+        return np.packbits((_mix(m.astype(np.uint64) + self.bit_salt) & _U(1)).astype(bool), axis=1).view(np.int64)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, ngram: int, bands: int, rows: int) -> DataFrame:
