@@ -232,6 +232,24 @@ def test_shared_lines_is_a_longest_common_subsequence():
         assert len(got) == t[-1, -1] and all(a[i] in rest for i in got)
 
 
+def test_shared_lines_of_very_long_pages_are_exact():
+    blocks = [x for i in range(12_000) for x in (i, -1)]  # each followed by the same line
+    mine = [-2, *blocks[:12_000], -3, *blocks[12_000:], -4]
+    assert len(shared_lines(mine, [-5, *blocks])) == 24_000
+    assert len(shared_lines([*blocks[2:], 0, -1], blocks)) == 23_998  # no common start to trim
+
+
+def test_divided_alignments_equal_whole_ones(monkeypatch):
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a, b = (rng.integers(0, 6, rng.integers(0, 60)).tolist() for _ in "ab")
+        monkeypatch.setattr("weftline.llm.html_extract._ROW_BITS", 10**9)
+        want = shared_lines(a, b)
+        monkeypatch.setattr("weftline.llm.html_extract._ROW_BITS", 20)
+        got, rest = shared_lines(a, b), iter(b)
+        assert len(got) == len(want) and got == sorted(set(got)) and all(a[i] in rest for i in got)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return Vocabulary.load()
