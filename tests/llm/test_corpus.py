@@ -334,6 +334,24 @@ def test_fingerprints_of_edits(spark, docs):
     assert np.mean([r.near_edited for r in out.values()]) > 0.6 > 0.3 > np.mean([r.near_next for r in out.values()])
 
 
+def test_fingerprints_of_odd_and_repeated_rows(spark, odd):
+    more = spark.createDataFrame([(5, "another text"), (5, None), (None, "text without an id"), (None, None), (0, "x y z w"), (5000, "far a b c d"), (5000, "far a b")], "doc_id long, text string")
+    df = odd.select("doc_id", "text").unionByName(more)
+    rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1].encode()))
+    known = [r for r in rows if r[0] is not None]
+    after = [*known[1:], known[0], *rows[len(known) :]]
+    want = []
+    for (i, t), (_, nxt) in zip(rows, after, strict=True):
+        q = len(t) // 4
+        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest(), t == nxt))
+    out = fingerprint.edited_fingerprints(df).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in out) == sorted(w[:3] for w in want)
+    assert sum(r.near_next == 1.0 for r in out) >= sum(w[3] for w in want)
+    assert all(0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 for r in out)
+    assert all(r.near_next == 1.0 and r.edited_fingerprint == r.fingerprint for r in out if r.doc_id is None and r.n_chars == 0)
+    assert len(fingerprint.edited_fingerprints(df.where("doc_id is null")).collect()) == 3
+
+
 def test_fingerprints_ignore_order_and_add_up(spark):
     df = spark.createDataFrame([(1, "a b\nc d\nc d"), (2, "c d\na b\nc d"), (3, "a b"), (4, "c d\nc d"), (5, None), (6, "")], "doc_id long, text string")
     vec = fingerprint.fingerprints(df)

@@ -116,20 +116,37 @@ _BLOCK_BITS = 10
 
 
 def next_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, next_id, next_text) in ascending order of the ids; the last one's next is the first.
+    """(id, row, text, next_id, next_row, next_text) in ascending order of ids and, among equal ids, of texts; the last one's next is the first.
 
     Ids fall in blocks of 1,024 consecutive values, so a window over a block
-    is of bounded size however ids are spread. Each block also gets a copy of
-    the row that comes after it; which row that is, is found on the blocks'
-    first ids, by blocks of blocks, until one small window holds all.
+    is of bounded size however ids are spread, if they are unique. Each block
+    also gets a copy of the row that comes after it; which row that is, is
+    found on the blocks' first ids, by blocks of blocks, until one small
+    window holds all. ``row`` numbers the rows of a block from 1, so that id
+    and row name a row where ids repeat. A null id has no place in the order:
+    its row is its own next one, and its number is negative.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
-    firsts = rows.groupBy(F.shiftright("id", _BLOCK_BITS).alias("blk")).agg(F.min("id").alias("first"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    known = rows.where("id is not null")
+    firsts = known.groupBy(F.shiftright("id", _BLOCK_BITS).alias("blk")).agg(F.min("id").alias("first"))
     after = next_of(firsts)
-    extra = rows.join(after.select("blk", F.col("next_first").alias("id")), "id").select("blk", "id", "text", F.lit(True).alias("copy"))
-    every = rows.select(F.shiftright("id", _BLOCK_BITS).alias("blk"), "id", "text", F.lit(False).alias("copy")).unionByName(extra)
-    w = Window.partitionBy("blk").orderBy(F.col("copy"), F.col("id"))
-    return every.select("*", F.lead("id").over(w).alias("next_id"), F.lead("text").over(w).alias("next_text")).where("not copy").drop("blk", "copy")
+    extra = known.join(after.select("blk", F.col("next_first").alias("id")), "id").groupBy("blk", "id").agg(F.min("text").alias("text"))
+    spread = F.when(F.col("id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << _BLOCK_BITS))).otherwise(F.lit(0).cast("long"))
+    every = rows.select(F.shiftright("id", _BLOCK_BITS).alias("blk"), spread.alias("part"), "id", "text", F.lit(False).alias("copy"))
+    every = every.unionByName(extra.select("blk", F.lit(0).cast("long").alias("part"), "id", "text", F.lit(True).alias("copy")))
+    w = Window.partitionBy("blk", "part").orderBy(F.col("copy"), F.col("id"), F.col("text"))
+    at = F.row_number().over(w).cast("long")
+    every = every.select("*", at.alias("at"), F.lead("id").over(w).alias("next_id"), F.lead("copy").over(w).alias("to_copy"), F.lead("text").over(w).alias("next_text")).where("not copy")
+    none = F.col("id").isNull()
+    row = F.when(none, -(F.shiftleft("part", 48) + F.col("at"))).otherwise(F.col("at"))
+    return every.select(
+        "id",
+        row.alias("row"),
+        "text",
+        F.when(~none, F.col("next_id")).alias("next_id"),
+        F.when(none, row).when(F.col("to_copy"), F.lit(1).cast("long")).otherwise(F.col("at") + 1).alias("next_row"),
+        F.when(none, F.col("text")).otherwise(F.col("next_text")).alias("next_text"),
+    )
 
 
 def next_of(firsts: DataFrame) -> DataFrame:
@@ -146,33 +163,38 @@ def next_of(firsts: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edit replaces the last quarter of a text, in code points, by the
     first as many of the next document's (all, if it has fewer). Null texts
-    are empty. Null ids have no place in the order and are left out. A single
-    document is its own next one. Equal texts have equal fingerprints.
+    are empty. Rows that repeat an id stay rows of their own, in order of
+    their texts, and the next of each but the last is the next of them. Null
+    ids have no place in the order: each such row is its own next document. A
+    single document is its own next one. Equal texts have equal fingerprints.
     """
     rows = next_rows(docs, id_col=id_col, text_col=text_col)
     n = F.length("text")
     tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("next_text"), F.lit(1), tail))
-    rows = rows.select("id", "next_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    # null ids, whose rows' numbers are negative, go by 0, as joins do not meet on nulls
+    key, nxt = ["id", "row"], ["next_id", "next_row"]
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("id", "next_id")})
+    rows = rows.select(*key, *nxt, n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     # as four longs the digest keeps the aggregation on hashes, which strings would put on sorts
     half = lambda k: F.conv(F.substring("sha", 1 + 8 * k, 8), 16, 10).cast("bigint")
     rows = rows.withColumn("sha", F.sha2("edited", 256))
     carry = ["n_chars", "s0", "s1", "s2", "s3"]
-    rows = rows.select("id", "next_id", "n_chars", *[F.shiftleft(half(2 * k), 32).bitwiseOR(half(2 * k + 1)).alias(f"s{k}") for k in range(4)], F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"))
-    rows = rows.select("id", "next_id", *carry, F.col("x.kind").alias("kind"), F.col("x.t").alias("t"))
-    each = _units(rows, ["id", "next_id", *carry, "kind"], "t")
+    rows = rows.select(*key, *nxt, "n_chars", *[F.shiftleft(half(2 * k), 32).bitwiseOR(half(2 * k + 1)).alias(f"s{k}") for k in range(4)], F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"))
+    rows = rows.select(*key, *nxt, *carry, F.col("x.kind").alias("kind"), F.col("x.t").alias("t"))
+    each = _units(rows, [*key, *nxt, *carry, "kind"], "t")
     # one row for each 16 lanes of both texts; what a document has once goes with its identity lanes
     last = F.col("grp") == LIKENESS // GROUP
     sums = [_lane_sum(k, F.col("kind") == j).alias(f"{'te'[j]}{k}") for j in (0, 1) for k in range(GROUP)]
-    lanes = cut(each.groupBy("id", "next_id", "grp").agg(*sums, *[F.max(F.when(last, F.col(c))).alias(c) for c in carry]))
+    lanes = cut(each.groupBy(*key, *nxt, "grp").agg(*sums, *[F.max(F.when(last, F.col(c))).alias(c) for c in carry]))
     release(docs.sparkSession)
-    after = lanes.select(F.col("id").alias("next_id"), "grp", *[F.col(f"t{k}").alias(f"x{k}") for k in range(GROUP)])
+    after = lanes.select(F.col("id").alias("next_id"), F.col("row").alias("next_row"), "grp", *[F.col(f"t{k}").alias(f"x{k}") for k in range(GROUP)])
     # a next text may have no word pair in some lanes, but always has identity lanes
-    both = lanes.join(after, ["next_id", "grp"], "left")
+    both = lanes.join(after, [*nxt, "grp"], "left")
 
     def lane(c: str, k: int):
         """A likeness lane as a signed number of 16 bits."""
@@ -204,19 +226,19 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         got = F.map_from_entries(F.collect_list(F.struct("grp", digits(c).alias("d"))))
         return got.alias(f"d_{c}")
 
-    by = both.groupBy("id").agg(
+    by = both.groupBy(*key).agg(
         *[F.max(c).alias(c) for c in carry], text_of("t"), text_of("e"), norm("t").alias("nt"), norm("e").alias("ne"), norm("x").alias("nx"),
         apart("t", "e").alias("te"), apart("t", "x").alias("tx"), same("t", "e").alias("same_e"), same("t", "x").alias("same_x"),
     )
     # groups that only the next text has words in
-    more = after.join(lanes.select("id", "next_id", "grp"), ["next_id", "grp"], "left_anti")
-    more = more.groupBy("next_id").agg(norm("x").alias("mx")).join(lanes.where(last).select("id", "next_id"), "next_id").select(F.col("id"), "mx")
-    by = by.join(more, "id", "left").withColumn("mx", F.coalesce("mx", F.lit(0).cast("long")))
+    more = after.join(lanes.select(*nxt, "grp"), [*nxt, "grp"], "left_anti")
+    more = more.groupBy(*nxt).agg(norm("x").alias("mx")).join(lanes.where(last).select(*key, *nxt), nxt).select(*key, "mx")
+    by = by.join(more, key, "left").withColumn("mx", F.coalesce("mx", F.lit(0).cast("long")))
     zeros = F.lit("0" * (4 * GROUP))
     joined = lambda c: F.lower(F.concat(*[F.coalesce(F.try_element_at(F.col(f"d_{c}"), F.lit(g)), zeros) for g in range(LIKENESS // GROUP + 1)]))
     near = lambda a, b, d, eq: F.when(eq, 1.0).when(a + b == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - d / (a + b)))
     return by.select(
-        F.col("id").alias("doc_id"),
+        F.when(F.col("row") > 0, F.col("id")).alias("doc_id"),
         "n_chars",
         F.lower(F.concat(*[F.lpad(F.hex(f"s{k}"), 16, "0") for k in range(4)])).alias("edited_sha256"),
         joined("t").alias("fingerprint"),
