@@ -120,3 +120,11 @@ def test_stream_replay_equals_batch(spark, sf_dir, tmp_path):
         e.where(f"event_id % 2 = {k} or {k} = 1").write.mode("append").parquet(str(tmp_path / "in"))
     got = rows(stream_progress(spark, str(tmp_path / "in")).select("user_id", "last_event"))
     assert got == rows(e.groupBy("user_id").agg(F.max("event_id")))
+
+
+def test_alpha_token_has_a_row_for_every_order(spark, tmp_path):
+    from weftline.plans import registry
+
+    spark.createDataFrame([(1,), (456_975,), (456_976,), (26**5,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.token for r in registry.QUERIES["alpha_token"](spark, str(tmp_path)).collect()}
+    assert got == {1: "aaab", 456_975: "zzzz", 456_976: "baaaa", 26**5: "baaaaa"}

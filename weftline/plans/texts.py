@@ -198,7 +198,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("alpha_token", "SELECT o_orderkey, chr((97 + o_orderkey // 17576 % 26)::INT) || chr((97 + o_orderkey // 676 % 26)::INT) || chr((97 + o_orderkey // 26 % 26)::INT) || chr((97 + o_orderkey % 26)::INT) AS token FROM orders WHERE o_orderkey < 456976")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where("o_orderkey < 456976").select("o_orderkey", S.alpha_token(F.col("o_orderkey")).alias("token"))
+    return table(spark, d, "orders").select("o_orderkey", S.alpha_token(F.col("o_orderkey")).alias("token"))
 
 
 @query("stable_name", "SELECT doc_id, left(md5(lang || '|' || doc_id || '|' || source), 8) AS name FROM documents")
