@@ -128,3 +128,12 @@ def test_alpha_token_has_a_row_for_every_order(spark, tmp_path):
     spark.createDataFrame([(1,), (456_975,), (456_976,), (26**5,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.o_orderkey: r.token for r in registry.QUERIES["alpha_token"](spark, str(tmp_path)).collect()}
     assert got == {1: "aaab", 456_975: "zzzz", 456_976: "baaaa", 26**5: "baaaaa"}
+
+
+def test_caption_rows_keep_whole_texts(spark, tmp_path):
+    from weftline.plans import registry
+
+    long = "word " * 50 + "end"
+    spark.createDataFrame([(1, 0, long), (1, 1, "a  b\nc")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [(r.pos, r.text) for r in registry.QUERIES["caption_rows"](spark, str(tmp_path)).orderBy("pos").collect()]
+    assert got == [(0, long), (1, "a b c")]

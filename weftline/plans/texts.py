@@ -241,7 +241,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("caption_rows")
 def _(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("a"))
-    events = F.transform("a", lambda x: F.struct((x.turn * 61_000).alias("tStartMs"), F.array(F.struct(F.left(x.text, F.lit(20)).alias("utf8")), F.struct(F.lit("\n").alias("utf8"))).alias("segs")))
+    events = F.transform("a", lambda x: F.struct((x.turn * 61_000).alias("tStartMs"), F.array(F.struct(x.text.alias("utf8")), F.struct(F.lit("\n").alias("utf8"))).alias("segs")))
     return c.select("conv_id", F.posexplode(P.caption_rows(F.to_json(F.struct(events.alias("events"))))).alias("pos", "r")).select("conv_id", "pos", "r.timestamp", "r.text")
 
 
