@@ -14,7 +14,7 @@ from weftline.llm.components import connected_components
 from weftline.llm.html_extract import extract_main_text, page_lines, shared_lines
 from weftline.llm.langid import fit_dictionaries, identify_language
 from weftline.llm.line_dedup import deduplicate_lines
-from weftline.llm.minhash import Sketcher, near_duplicates
+from weftline.llm.minhash import Sketcher, near_duplicates, parities
 from weftline.llm.pieces import Sampler, Vocabulary, decode_pieces, encode_sampled
 from weftline.llm.toxicity import fit_toxicity, isotonic, score_toxicity
 
@@ -91,6 +91,27 @@ def test_near_duplicates_of_short_texts_equal_brute_force(spark):
     assert {r.doc_id: (r.component_id, r.n_shingles) for r in out.collect()} == components(rows, 2)
 
 
+def test_pairs_at_the_threshold_are_all_linked(spark):
+    rows = []
+    for shared, either in ((4, 5), (8, 10), (12, 15), (80, 100)):
+        for _ in range(1000):
+            i = len(rows)
+            words = [f"w{i}x{k}" for k in range(either + 1)]
+            rows += [(i, " ".join(words)), (i + 1, " ".join(words[: shared + 1]))]
+    out = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), ngram=2).collect()}
+    missed = [i for i in out if out[i] != i - i % 2]
+    assert not missed, f"{len(missed)} of {len(out) // 2}"
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (5, 100, 3000):
+        x = rng.integers(0, 2**64 - 1, n, dtype=np.uint64)
+        y = np.concatenate([x[n // 5 :], rng.integers(0, 2**64 - 1, n // 7, dtype=np.uint64)])
+        apart = int(np.bitwise_count((parities(x) ^ parities(y)).view(np.uint64)).sum())
+        assert apart <= n // 5 + n // 7 and apart % 2 == (n // 5 + n // 7) % 2
+
+
 def test_near_duplicates_of_odd_rows(odd):
     out = near_duplicates(odd).collect()
     assert len(out) == odd.count()
@@ -255,17 +276,45 @@ def vocabulary():
     return Vocabulary.load()
 
 
+def ids_of(sampler, texts, keys, **bounds):
+    """Brute batching: ids of each text, its parts joined."""
+    out = [[] for _ in texts]
+    for r, ids, same in sampler(texts, keys, **bounds):
+        assert same
+        out[r] += ids.tolist()
+    return out
+
+
 def test_pieces_are_lossless_and_repeatable(spark, odd, docs, vocabulary):
-    for df in (odd, docs):
-        out = encode_sampled(df, vocabulary, rows=7)
+    for df in (odd, docs, odd.where("false")):
+        out = encode_sampled(df, vocabulary)
         assert out.where("text is not null and not lossless").count() == 0 and out.count() == df.count()
         back = decode_pieces(out.withColumnRenamed("text", "before"), vocabulary)
         assert back.where("not (before <=> text)").count() == 0
     again = {r.doc_id: r.pieces for r in encode_sampled(docs.repartition(5), vocabulary).collect()}
-    assert again == {r.doc_id: r.pieces for r in encode_sampled(docs, vocabulary, rows=3).collect()}
+    assert again == {r.doc_id: r.pieces for r in encode_sampled(docs, vocabulary).collect()}
     assert encode_sampled(docs, vocabulary, seed=1).first().pieces != encode_sampled(docs, vocabulary).first().pieces
 
 
+def test_pieces_do_not_depend_on_batches(docs, vocabulary):
+    texts = [t for t in ODD_TEXTS if t] + [r.text for r in docs.limit(40).collect()]
+    s = Sampler(vocabulary)
+    whole = ids_of(s, texts, list(range(len(texts))))
+    for bounds in ({"distinct_chars": 1}, {"chunks": 5_000}, {"distinct_chars": 700, "chunks": 9_000}):
+        assert ids_of(s, texts, list(range(len(texts))), **bounds) == whole
+    assert [ids_of(s, [t], [k])[0] for k, t in enumerate(texts)] == whole
+
+
+def test_pieces_of_very_long_texts_and_runs(vocabulary):
+    import resource
+
+    s = Sampler(vocabulary)
+    for text in ("some words of a very long text, " * 400_000, "x" * 300_000, " " * 300_000, "\n" * 100_000):
+        ids = ids_of(s, [text], [0])[0]
+        assert vocabulary.decode(ids) == text
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 4 * 2**20  # KB; the test's own lists included
+
+
 def test_samples_follow_the_lattice(vocabulary):
     """Shares of the segmentations of one word against all of them, listed."""
     s = Sampler(vocabulary)
@@ -277,10 +326,9 @@ def test_samples_follow_the_lattice(vocabulary):
 
     want = {tuple(ids[p] for p in seg): np.exp(sum(vocabulary.log_weight[ids[p]] for p in seg)) for seg in all_of(word)}
     total, n = sum(want.values()), 20_000
-    out, off = s(["then"] * n, list(range(n)))
     seen = defaultdict(int)
-    for a, b in zip(off[:-1], off[1:], strict=True):
-        seen[tuple(out[a:b].tolist())] += 1
+    for ids in ids_of(s, ["then"] * n, list(range(n))):
+        seen[tuple(ids)] += 1
     assert set(seen) <= set(want)
     assert all(abs(seen[k] / n - w / total) < 0.02 for k, w in want.items())
 
@@ -352,6 +400,30 @@ def test_fingerprints_of_odd_and_repeated_rows(spark, odd):
     assert len(fingerprint.edited_fingerprints(df.where("doc_id is null")).collect()) == 3
 
 
+def test_likeness_is_that_of_signed_pair_counts(spark):
+    """Lanes and likeness from their definition, in plain Python, over the hashes that Spark gives."""
+    texts = {1: "a b c d\ne f\n\ta  b", 2: "a b c d\nx y z", 3: "", 4: "a b " * 40, 5: "q"}
+    units = [(i, p, w, (*ws, None)[k + 1]) for i, t in texts.items() for p in t.split("\n") for ws in [p.split()] for k, w in enumerate(ws)]
+    h = spark.createDataFrame(units, "id long, p string, w string, w2 string").select("id", F.xxhash64("w", "w2").alias("h")).collect()
+    lanes = {i: np.zeros(256, np.int64) for i in texts}
+    for r in h:
+        lanes[r.id][r.h & 255] += 1 if (r.h >> 62) & 1 else -1
+    own = {i: np.zeros(16, np.int64) for i in texts}
+    for r in spark.createDataFrame([(i, p) for i, t in texts.items() for p in t.split("\n")], "id long, p string").select("id", *[F.xxhash64(F.lit(k), "p").alias(f"h{k}") for k in range(16)]).collect():
+        own[r.id] += np.array([r[f"h{k}"] & (2**31 - 1) for k in range(16)])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    vec = fingerprint.fingerprints(df)
+    got = {r.id: r.vec for r in vec.collect()}
+    for i in texts:
+        want = [(int(lanes[i][2 * k]) + (int(lanes[i][2 * k + 1]) << 32) + 2**63) % 2**64 - 2**63 for k in range(128)]
+        assert got[i] == want + [int(x) % 2**31 for x in own[i]]
+    pairs = vec.select(F.col("id").alias("i"), F.col("vec").alias("a")).crossJoin(vec.select(F.col("id").alias("j"), F.col("vec").alias("b")))
+    for r in pairs.select("i", "j", fingerprint.likeness(F.col("a"), F.col("b")).alias("s")).collect():
+        x, y = lanes[r.i], lanes[r.j]
+        norm = int((x * x).sum() + (y * y).sum())
+        assert abs(r.s - (1.0 if r.i == r.j or not norm else max(0.0, 1 - float(((x - y) ** 2).sum()) / norm))) < 1e-12
+
+
 def test_fingerprints_ignore_order_and_add_up(spark):
     df = spark.createDataFrame([(1, "a b\nc d\nc d"), (2, "c d\na b\nc d"), (3, "a b"), (4, "c d\nc d"), (5, None), (6, "")], "doc_id long, text string")
     vec = fingerprint.fingerprints(df)

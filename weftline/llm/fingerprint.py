@@ -7,10 +7,14 @@ adding or subtracting its vector. The vector has two kinds of lanes:
 
 * 16 *identity* lanes modulo 2^31, which are hashes of the whole paragraph:
   496 bits that differ for different multisets of paragraphs;
-* 256 *likeness* lanes modulo 2^16, to which each pair of neighbouring words
-  of the paragraph adds +1 or -1 in one lane of its hash. Their inner products
-  estimate how many word pairs two texts share, which whole-paragraph hashes
-  cannot tell.
+* 256 *likeness* lanes, two in each of 128 sums modulo 2^64, to which each
+  pair of neighbouring words of the paragraph adds +1 or -1 in one lane of its
+  hash. Their inner products estimate how many word pairs two texts share,
+  which whole-paragraph hashes cannot tell. A lane has 32 bits, and no text
+  has 2^31 words, so that lanes cannot run into each other.
+
+A text and its edit have most paragraphs in common; those are hashed once and
+counted for both.
 """
 
 from __future__ import annotations
@@ -18,59 +22,83 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, cut, release
+from .common import cut, split_words
 
-IDENTITY, LIKENESS, GROUP = 16, 256, 16
-_ID_MOD, _LIKE_MOD = 31, 16
+IDENTITY, LIKENESS = 16, 256
+_ID_MOD = 31
+#: Sums that hold the likeness lanes.
+_PAIRS = LIKENESS // 2
+#: Sums (longs) of one row: a group of 32 likeness lanes, or all identity lanes, which are the last group.
+_SUMS = 16
+_GROUPS = _PAIRS // _SUMS
 
 
-def _units(rows: DataFrame, cols: list[str], text_col: str) -> DataFrame:
-    """(cols, p, h): for each paragraph p one row with a null h, which stands for itself, and one with the hash of each of its word pairs.
+def _paragraphs(text):
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
-    The last word's pair is the word alone. Only the pairs' hashes are made
-    in a lambda; lanes and signs are taken from them in generated code.
-    """
-    words = F.array_remove(F.split("p", GAP, -1), "")
 
-    def pairs(w):  # as a lambda's variable the words are split once, not once for each of them
-        return F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1)))
+def _units(each: DataFrame, cols: list[str]) -> DataFrame:
+    """From rows (cols, p): for each paragraph p one row that stands for itself (a negative ``at``) and one for each of its word pairs.
 
-    hashes = F.concat(F.array(F.lit(None).cast("bigint")), F.flatten(F.transform(F.array(words), pairs)))
-    each = rows.select(*cols, F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("p"))
-    each = each.select(*cols, "p", F.explode(hashes).alias("h"))
-    grp = F.when(F.col("h").isNull(), F.lit(LIKENESS // GROUP)).otherwise(F.shiftright("h", 4).bitwiseAND(F.lit(LIKENESS // GROUP - 1)).cast("int"))
-    at = F.coalesce(F.col("h").bitwiseAND(F.lit(GROUP - 1)).cast("int"), F.lit(-1))
-    return each.select(*cols, "p", grp.alias("grp"), at.alias("at"), (F.shiftrightunsigned("h", 62).bitwiseAND(F.lit(1)) * 2 - 1).alias("sign"))
+    A row has its group, the place of its sum and what it adds there. The last
+    word's pair is the word alone. There is no lambda here, so that all of it
+    is generated code.
+    """
+    each = each.select(*cols, "p", F.array_remove(split_words(F.col("p")), "").alias("w"))
+    none = F.struct(F.lit(None).cast("string").alias("w"), F.lit(None).cast("string").alias("w2"))
+    pairs = F.arrays_zip(F.col("w"), F.slice("w", 2, F.size("w")).alias("w2"))
+    each = each.select(*cols, "p", F.explode(F.concat(F.array(none), pairs)).alias("u"))
+    each = each.select(*cols, "p", F.when(F.col("u.w").isNotNull(), F.xxhash64("u.w", "u.w2")).alias("h"))
+    lane = F.col("h").bitwiseAND(F.lit(LIKENESS - 1))
+    one = F.shiftrightunsigned("h", 62).bitwiseAND(F.lit(1)) * 2 - 1
+    return each.select(
+        *cols,
+        "p",
+        F.coalesce(F.shiftright(lane, 5).cast("int"), F.lit(_GROUPS)).alias("grp"),
+        F.coalesce(F.shiftright(lane, 1).bitwiseAND(F.lit(_SUMS - 1)).cast("int"), F.lit(-1)).alias("at"),
+        F.when(lane.bitwiseAND(F.lit(1)) == 1, F.shiftleft(one, 32)).otherwise(one).alias("adds"),
+    )
 
 
-def _lane_sum(k: int, own):
-    """What a unit adds to lane k of its group, where ``own`` holds: a hash of the whole paragraph, or a pair's sign."""
+def _sum(k: int, own):
+    """Sum k of a row's group over the units where ``own`` holds: hashes of whole paragraphs, or what pairs add."""
     whole = F.xxhash64(F.lit(k), "p").bitwiseAND(F.lit(2**_ID_MOD - 1))
-    return F.sum(F.when(own & (F.col("at") < 0), whole).when(own & (F.col("at") == k), F.col("sign")).otherwise(0))
+    return F.sum(F.when(own & (F.col("at") < 0), whole).when(own & (F.col("at") == k), F.col("adds")).otherwise(0))
+
+
+def _reduced(vec):
+    return F.concat(F.slice(vec, 1, _PAIRS), F.transform(F.slice(vec, 1 + _PAIRS, IDENTITY), lambda x: F.pmod(x, F.lit(2**_ID_MOD))))
 
 
 def paragraph_lanes(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """(keys, grp, l0 .. l15): sums of the lanes of each row's text, 16 lanes in a row, pre-aggregated before the shuffle."""
-    return _units(rows, keys, text_col).groupBy(*keys, "grp").agg(*[_lane_sum(k, F.lit(True)).alias(f"l{k}") for k in range(GROUP)])
+    """(keys, grp, l0 .. l15): the sums of each row's text by groups, pre-aggregated before the shuffle."""
+    each = rows.select(*keys, F.explode(_paragraphs(F.col(text_col).cast("string"))).alias("p"))
+    return _units(each, keys).groupBy(*keys, "grp").agg(*[_sum(k, F.lit(True)).alias(f"l{k}") for k in range(_SUMS)])
 
 
-def _vectors(lanes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, vec): all lanes of a key in order, reduced by their moduli, as an array of 272 ints."""
-    groups = (LIKENESS + IDENTITY) // GROUP
-    mod = F.when(F.col("grp") < LIKENESS // GROUP, F.lit(2**_LIKE_MOD)).otherwise(F.lit(2**_ID_MOD))
-    ls = F.array(*[F.pmod(F.col(f"l{k}"), mod).cast("int") for k in range(GROUP)])
-    by = lanes.select(*keys, "grp", ls.alias("ls")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("grp", "ls"))).alias("m"))
-    zero = F.array(*[F.lit(0)] * GROUP)
-    return by.select(*keys, F.flatten(F.array(*[F.coalesce(F.try_element_at(F.col("m"), F.lit(g)), zero) for g in range(groups)])).alias("vec"))
+def _packed(c: str):
+    """Aggregate: the groups ``c``0 .. ``c``15 of a key one after the other; groups without words are zeros."""
+    got = F.map_from_entries(F.collect_list(F.struct("grp", F.array(*[F.col(f"{c}{k}") for k in range(_SUMS)]))))
+    zero = F.array(*[F.lit(0).cast("long")] * _SUMS)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_GROUPS)), lambda g: F.coalesce(F.try_element_at(got, g), zero)))
 
 
 def to_text(vec):
-    """A fingerprint as lowercase hex: likeness lanes of 4 digits, then identity lanes of 8."""
-    return F.lower(F.array_join(F.transform(vec, lambda x, i: F.lpad(F.hex(x), F.when(i < LIKENESS, 4).otherwise(8), F.lit("0"))), ""))
+    """A fingerprint as lowercase hex: likeness sums of 16 digits, then identity lanes of 8."""
+    pairs, own = F.slice(vec, 1, _PAIRS), F.slice(vec, 1 + _PAIRS, IDENTITY)
+    digits = lambda a, n: F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), n, "0")), "")
+    return F.lower(F.concat(digits(pairs, 16), digits(own, 8)))
+
 
+def _lanes_squared(s):
+    """The squares of both lanes of a sum: the low lane is its low half, signed, the high lane the rest."""
+    low = F.shiftright(F.shiftleft(s, 32), 32)
+    high = F.shiftright(s - low, 32)
+    return (low * low + high * high).cast("double")
 
-def _signed(vec):
-    return F.transform(F.slice(vec, 1, LIKENESS), lambda x: F.when(x >= 2 ** (_LIKE_MOD - 1), x - 2**_LIKE_MOD).otherwise(x).cast("long"))
+
+def _square(vec):
+    return F.aggregate(F.slice(vec, 1, _PAIRS), F.lit(0.0), lambda total, s: total + _lanes_squared(s))
 
 
 def likeness(a, b):
@@ -80,35 +108,29 @@ def likeness(a, b):
     is an unbiased estimate of a count of word pairs. The standard error for
     unrelated texts is about 1/16. Two fingerprints without words are alike.
     """
-    x, y = _signed(a), _signed(b)
-    zero = F.lit(0).cast("long")
-    norm = F.aggregate(x, zero, lambda s, v: s + v * v) + F.aggregate(y, zero, lambda s, v: s + v * v)
-    apart = F.aggregate(F.zip_with(x, y, lambda u, v: (u - v) * (u - v)), zero, lambda s, v: s + v)
+    norm = _square(a) + _square(b)
+    apart = _square(F.zip_with(a, b, lambda x, y: x - y))
     return F.when(a == b, 1.0).when(norm == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - apart / norm))
 
 
-def _reduced(lanes):
-    return F.transform(lanes, lambda s, i: F.pmod(s, F.when(i < LIKENESS, F.lit(2**_LIKE_MOD)).otherwise(F.lit(2**_ID_MOD))).cast("int"))
-
-
 def add(a, b):
     """The fingerprint of both texts' paragraphs together (insertion)."""
-    return _reduced(F.zip_with(a, b, lambda x, y: x.cast("long") + y))
+    return _reduced(F.zip_with(a, b, lambda x, y: x + y))
 
 
 def subtract(a, b):
     """The fingerprint of a text's paragraphs without those of ``b`` (deletion)."""
-    return _reduced(F.zip_with(a, b, lambda x, y: x.cast("long") - y))
+    return _reduced(F.zip_with(a, b, lambda x, y: x - y))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, vec) of every row with an id that occurs once; null texts count as empty (one empty paragraph).
 
     Rows that repeat an id add up, as the hash of both rows' paragraphs.
-    Only sums move: 17 rows of 16 lanes for each document, however long.
+    Only sums move: 9 rows of 16 for each document, however long.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return _vectors(paragraph_lanes(src, ["id"], "text"), ["id"])
+    return paragraph_lanes(src, ["id"], "text").groupBy("id").agg(_packed("l").alias("packed")).select("id", _reduced(F.col("packed")).alias("vec"))
 
 
 #: Ids of one block are neighbours; 2^10 of them at most if ids are unique.
@@ -119,34 +141,30 @@ def next_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """(id, row, text, next_id, next_row, next_text) in ascending order of ids and, among equal ids, of texts; the last one's next is the first.
 
     Ids fall in blocks of 1,024 consecutive values, so a window over a block
-    is of bounded size however ids are spread, if they are unique. Each block
-    also gets a copy of the row that comes after it; which row that is, is
-    found on the blocks' first ids, by blocks of blocks, until one small
-    window holds all. ``row`` numbers the rows of a block from 1, so that id
-    and row name a row where ids repeat. A null id has no place in the order:
-    its row is its own next one, and its number is negative.
+    is of bounded size however ids are spread, if they are unique; the whole
+    texts are shuffled once, by block. The last row of a block gets the first
+    one of the next block there is, which is found on the blocks' first ids,
+    by blocks of blocks, until one small window holds all. ``row`` numbers the
+    rows of a block from 1, so that id and row name a row where ids repeat. A
+    null id has no place in the order: its row is its own next one, and its
+    number is negative.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    known = rows.where("id is not null")
-    firsts = known.groupBy(F.shiftright("id", _BLOCK_BITS).alias("blk")).agg(F.min("id").alias("first"))
-    after = next_of(firsts)
-    extra = known.join(after.select("blk", F.col("next_first").alias("id")), "id").groupBy("blk", "id").agg(F.min("text").alias("text"))
-    spread = F.when(F.col("id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << _BLOCK_BITS))).otherwise(F.lit(0).cast("long"))
-    every = rows.select(F.shiftright("id", _BLOCK_BITS).alias("blk"), spread.alias("part"), "id", "text", F.lit(False).alias("copy"))
-    every = every.unionByName(extra.select("blk", F.lit(0).cast("long").alias("part"), "id", "text", F.lit(True).alias("copy")))
-    w = Window.partitionBy("blk", "part").orderBy(F.col("copy"), F.col("id"), F.col("text"))
-    at = F.row_number().over(w).cast("long")
-    every = every.select("*", at.alias("at"), F.lead("id").over(w).alias("next_id"), F.lead("copy").over(w).alias("to_copy"), F.lead("text").over(w).alias("next_text")).where("not copy")
-    none = F.col("id").isNull()
-    row = F.when(none, -(F.shiftleft("part", 48) + F.col("at"))).otherwise(F.col("at"))
-    return every.select(
-        "id",
-        row.alias("row"),
-        "text",
-        F.when(~none, F.col("next_id")).alias("next_id"),
-        F.when(none, row).when(F.col("to_copy"), F.lit(1).cast("long")).otherwise(F.col("at") + 1).alias("next_row"),
-        F.when(none, F.col("text")).otherwise(F.col("next_text")).alias("next_text"),
-    )
+    known = rows.where("id is not null").withColumn("blk", F.shiftright("id", _BLOCK_BITS))
+    after = next_of(known.groupBy("blk").agg(F.min("id").alias("first")))
+    w = Window.partitionBy("blk").orderBy("id", "text")
+    row = known.withColumn("row", F.row_number().over(w).cast("long"))
+    heads = row.where("row = 1").select(F.col("blk").alias("next_blk"), F.col("id").alias("head_id"), F.col("text").alias("head_text"))
+    heads = heads.join(after.select("blk", F.shiftright("next_first", _BLOCK_BITS).alias("next_blk")), "next_blk").drop("next_blk")
+    row = row.withColumns({"next_id": F.lead("id").over(w), "next_text": F.lead("text").over(w)}).join(heads, "blk", "left")
+    last = F.col("next_id").isNull()
+    ordered = row.select(
+        "id", "row", "text", F.coalesce("next_id", "head_id").alias("next_id"), F.when(last, 1).otherwise(F.col("row") + 1).cast("long").alias("next_row"), F.when(last, F.col("head_text")).otherwise(F.col("next_text")).alias("next_text")
+    )
+    lone = rows.where("id is null").withColumn("part", F.pmod(F.xxhash64("text"), F.lit(1 << _BLOCK_BITS)))
+    at = -(F.shiftleft("part", 48) + F.row_number().over(Window.partitionBy("part").orderBy("text")))
+    lone = lone.select("id", at.alias("row"), "text").select("id", "row", "text", F.col("id").alias("next_id"), F.col("row").alias("next_row"), F.col("text").alias("next_text"))
+    return ordered.unionByName(lone)
 
 
 def next_of(firsts: DataFrame) -> DataFrame:
@@ -170,80 +188,48 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     are empty. Rows that repeat an id stay rows of their own, in order of
     their texts, and the next of each but the last is the next of them. Null
     ids have no place in the order: each such row is its own next document. A
-    single document is its own next one. Equal texts have equal fingerprints.
+    single document is its own next one. An empty table gives no rows. Other
+    columns of ``docs`` are not looked at. Equal texts have equal fingerprints.
     """
     rows = next_rows(docs, id_col=id_col, text_col=text_col)
     n = F.length("text")
     tail = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("next_text"), F.lit(1), tail))
+    head = F.substring(F.col("text"), F.lit(1), n - tail)
     # null ids, whose rows' numbers are negative, go by 0, as joins do not meet on nulls
     key, nxt = ["id", "row"], ["next_id", "next_row"]
-    rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("id", "next_id")})
-    rows = rows.select(*key, *nxt, n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    rows = rows.select(*[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in (*key, *nxt)], n.cast("long").alias("n_chars"), "text", head.alias("head"), F.concat(head, F.substring(F.col("next_text"), F.lit(1), tail)).alias("edited"))
     # as four longs the digest keeps the aggregation on hashes, which strings would put on sorts
     half = lambda k: F.conv(F.substring("sha", 1 + 8 * k, 8), 16, 10).cast("bigint")
-    rows = rows.withColumn("sha", F.sha2("edited", 256))
     carry = ["n_chars", "s0", "s1", "s2", "s3"]
-    rows = rows.select(*key, *nxt, "n_chars", *[F.shiftleft(half(2 * k), 32).bitwiseOR(half(2 * k + 1)).alias(f"s{k}") for k in range(4)], F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"))
-    rows = rows.select(*key, *nxt, *carry, F.col("x.kind").alias("kind"), F.col("x.t").alias("t"))
-    each = _units(rows, [*key, *nxt, *carry, "kind"], "t")
-    # one row for each 16 lanes of both texts; what a document has once goes with its identity lanes
-    last = F.col("grp") == LIKENESS // GROUP
-    sums = [_lane_sum(k, F.col("kind") == j).alias(f"{'te'[j]}{k}") for j in (0, 1) for k in range(GROUP)]
-    lanes = cut(each.groupBy(*key, *nxt, "grp").agg(*sums, *[F.max(F.when(last, F.col(c))).alias(c) for c in carry]))
-    release(docs.sparkSession)
-    after = lanes.select(F.col("id").alias("next_id"), F.col("row").alias("next_row"), "grp", *[F.col(f"t{k}").alias(f"x{k}") for k in range(GROUP)])
-    # a next text may have no word pair in some lanes, but always has identity lanes
-    both = lanes.join(after, [*nxt, "grp"], "left")
-
-    def lane(c: str, k: int):
-        """A likeness lane as a signed number of 16 bits."""
-        return F.pmod(F.coalesce(F.col(f"{c}{k}"), F.lit(0).cast("long")) + 2 ** (_LIKE_MOD - 1), F.lit(2**_LIKE_MOD)) - 2 ** (_LIKE_MOD - 1)
-
-    def squares(f):
-        out = f(0)
-        for k in range(1, GROUP):
-            out = out + f(k)
-        return F.sum(F.when(last, F.lit(0).cast("long")).otherwise(out))
-
-    apart = lambda a, b: squares(lambda k: (lane(a, k) - lane(b, k)) * (lane(a, k) - lane(b, k)))
-    norm = lambda a: squares(lambda k: lane(a, k) * lane(a, k))
-    same = lambda a, b: F.min(_all_equal(a, b))
-
-    def _all_equal(a: str, b: str):
-        out = F.lit(True)
-        for k in range(GROUP):
-            out = out & (F.coalesce(F.col(f"{a}{k}"), F.lit(0).cast("long")) == F.coalesce(F.col(f"{b}{k}"), F.lit(0).cast("long")))
-        return out
-
-    def digits(c: str):
-        short = F.concat(*[F.lpad(F.hex(F.pmod(F.col(f"{c}{k}"), F.lit(2**_LIKE_MOD))), 4, "0") for k in range(GROUP)])
-        long = F.concat(*[F.lpad(F.hex(F.pmod(F.col(f"{c}{k}"), F.lit(2**_ID_MOD))), 8, "0") for k in range(GROUP)])
-        return F.when(last, long).otherwise(short)
-
-    def text_of(c: str):
-        """All groups in order; lanes that nothing was added to are zeros."""
-        got = F.map_from_entries(F.collect_list(F.struct("grp", digits(c).alias("d"))))
-        return got.alias(f"d_{c}")
-
-    by = both.groupBy(*key).agg(
-        *[F.max(c).alias(c) for c in carry], text_of("t"), text_of("e"), norm("t").alias("nt"), norm("e").alias("ne"), norm("x").alias("nx"),
-        apart("t", "e").alias("te"), apart("t", "x").alias("tx"), same("t", "e").alias("same_e"), same("t", "x").alias("same_x"),
+    # paragraphs that end before the cut are those of both texts
+    shared = F.size(_paragraphs(F.col("head"))) - 1
+    rows = rows.select(*key, *nxt, "n_chars", F.sha2("edited", 256).alias("sha"), _paragraphs(F.col("text")).alias("pt"), _paragraphs(F.col("edited")).alias("pe"), shared.alias("m"))
+    kinds = F.array(
+        *[F.struct(F.lit(kind).alias("kind"), ps.alias("ps")) for kind, ps in ((0, F.slice("pt", F.lit(1), F.col("m"))), (1, F.slice("pt", F.col("m") + 1, F.size("pt"))), (2, F.slice("pe", F.col("m") + 1, F.size("pe"))))]
     )
-    # groups that only the next text has words in
-    more = after.join(lanes.select(*nxt, "grp"), [*nxt, "grp"], "left_anti")
-    more = more.groupBy(*nxt).agg(norm("x").alias("mx")).join(lanes.where(last).select(*key, *nxt), nxt).select(*key, "mx")
-    by = by.join(more, key, "left").withColumn("mx", F.coalesce("mx", F.lit(0).cast("long")))
-    zeros = F.lit("0" * (4 * GROUP))
-    joined = lambda c: F.lower(F.concat(*[F.coalesce(F.try_element_at(F.col(f"d_{c}"), F.lit(g)), zeros) for g in range(LIKENESS // GROUP + 1)]))
-    near = lambda a, b, d, eq: F.when(eq, 1.0).when(a + b == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - d / (a + b)))
-    return by.select(
+    rows = rows.select(*key, *nxt, "n_chars", *[F.shiftleft(half(2 * k), 32).bitwiseOR(half(2 * k + 1)).alias(f"s{k}") for k in range(4)], F.explode(kinds).alias("x"))
+    each = _units(rows.select(*key, *nxt, *carry, F.col("x.kind").alias("kind"), F.explode("x.ps").alias("p")), [*key, *nxt, *carry, "kind"])
+    # one row for each group of both texts; what a document has once goes with its identity lanes
+    last, carry = F.col("grp") == _GROUPS, [*nxt, *carry]
+    sums = [_sum(k, F.col("kind") != unlike).alias(f"{c}{k}") for c, unlike in (("t", 2), ("e", 1)) for k in range(_SUMS)]
+    lanes = cut(each.groupBy(*key, "grp").agg(*sums, *[F.max(F.when(last, F.col(c))).alias(c) for c in carry]))
+    whole = lanes.groupBy(*key).agg(*[F.max(c).alias(c) for c in carry], _packed("t").alias("t"), _packed("e").alias("e"))
+    after = lanes.groupBy(*key).agg(_packed("t").alias("x")).select(F.col("id").alias("next_id"), F.col("row").alias("next_row"), "x")
+    # the squares of likeness(), summed over rows, which is generated code; both joins are on one exchange of `whole`
+    pair = F.explode(F.arrays_zip(*[F.slice(c, 1, _PAIRS).alias(c) for c in "tex"])).alias("p")
+    flag = lambda c: F.col("t") == F.col(c)
+    each = whole.join(after, nxt).select(*key, *carry, flag("e").alias("same_e"), flag("x").alias("same_x"), pair)
+    t, e, x = (F.col(f"p.{c}") for c in "tex")
+    squares = {"nt": t, "ne": e, "nx": x, "te": t - e, "tx": t - x}
+    near = each.groupBy(*key, *carry).agg(F.min("same_e").alias("same_e"), F.min("same_x").alias("same_x"), *[F.sum(_lanes_squared(v)).alias(k) for k, v in squares.items()])
+    alike = lambda same, d, norm: F.when(F.col(same), 1.0).when(norm == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col(d) / norm))
+    near = near.select(*key, *carry, alike("same_e", "te", F.col("nt") + F.col("ne")).alias("near_edited"), alike("same_x", "tx", F.col("nt") + F.col("nx")).alias("near_next"))
+    return whole.join(near, [*nxt, *[c for c in (*key, *carry) if c not in nxt]]).select(
         F.when(F.col("row") > 0, F.col("id")).alias("doc_id"),
         "n_chars",
         F.lower(F.concat(*[F.lpad(F.hex(f"s{k}"), 16, "0") for k in range(4)])).alias("edited_sha256"),
-        joined("t").alias("fingerprint"),
-        joined("e").alias("edited_fingerprint"),
-        near(F.col("nt"), F.col("ne"), F.col("te"), F.col("same_e")).alias("near_edited"),
-        near(F.col("nt"), F.col("nx") + F.col("mx"), F.col("tx") + F.col("mx"), F.col("same_x") & (F.col("mx") == 0)).alias("near_next"),
+        to_text(_reduced(F.col("t"))).alias("fingerprint"),
+        to_text(_reduced(F.col("e"))).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
     )
-

@@ -2,52 +2,73 @@
 
 A line's set is its distinct lower-cased words. Words are ordered by rarity,
 and two sets can only reach the threshold if they share a word among the
-first few of each (prefix filter; alike sets share several), where enough
-words stand before and behind it (positional filter), their sizes are close
-(length filter) and few of 32 parities differ. What passes is verified on the full sets. The order has to be the same everywhere, not
-exact: word counts over all documents, in a table of fixed size indexed by
-hash, rank the words, and equal ranks go by hash.
+first few of each (prefix filter), where enough words stand before and behind
+it (positional filter), their sizes are close (length filter) and few of 64
+parities differ (two sets differ in at least as many words as parities). What
+passes is verified on the full sets.
+
+A line goes if *any* earlier line matches it, so no list of all pairs is made:
+semi-joins, which stop at a row's first partner, find the sets that have a
+candidate at all, then those with a verified earlier match under two of their
+prefix words. Only what has candidates but no such match is paired one by one.
+
+The order has to be the same everywhere, not exact: word counts over all
+documents, in a table of fixed size indexed by hash, rank the words, and equal
+ranks go by hash. Words above one in 2^18 have a counter that
+they dominate at any scale; rarer ones may share theirs, which costs
+candidates, not results.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, cut, release
+from .common import cut, drop, free_names, split_words
 
-#: Counters of the table of word counts (one for each value of a hash's low bits).
-COUNTERS = 1 << 16
+#: Counters of the table of word counts, as a power of two: one for each value of a hash's low bits.
+COUNTER_BITS = 18
 #: Bits of the table that tells which lines take part in a candidate pair (by hash).
 _MARKS = 1 << 20
 _SPACE = " \t\r\x0b\x0c"
+#: Prefix words under which sets are verified where they meet.
+_VERIFY_KEYS = 2
 
 
 def _tokens(line):
-    """Distinct 64-bit hashes of a line's words."""
-    w = F.split(F.btrim(F.lower(line), F.lit(_SPACE)), GAP, -1)
-    return F.when(F.btrim(line, F.lit(_SPACE)) == "", F.array().cast("array<long>")).otherwise(F.array_distinct(F.transform(w, lambda x: F.xxhash64(x))))
+    """64-bit hashes of a line's words; repeated ones and that of an empty string are still there."""
+    return F.transform(split_words(F.lower(line)), lambda x: F.xxhash64(x))
+
+
+def _distinct(toks):
+    return F.array_distinct(F.array_remove(toks, F.xxhash64(F.lit(""))))
+
 
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """One row with the array of ``size`` longs that rows (at, w) fill; zero where there is none."""
+    every = rows.sparkSession.range(0, size, 1, 1).join(rows, F.col("id") == F.col("at"), "left")
+    return cut(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w")))), lambda s: s.w).alias("all")))
 
-def rarity(docs: DataFrame, text_col: str):
-    """A function from a word's hash to its rank of rarity: four steps for each doubling of its counter.
 
-    The counters are summed over all documents; the table is of fixed size
+def rarity(docs: DataFrame, text_col: str, bits: int = COUNTER_BITS):
+    """A function from a word's hash to its key: the rank of rarity in the high 8 bits, 56 bits of the hash below.
+
+    Three steps of rank for each doubling of the counter, which is summed over
+    all documents. The table is of fixed size, whatever the number of words,
     and goes into the plan as an array.
     """
-    each = docs.select(F.explode(F.split(F.lower(F.col(text_col)), GAP, -1)).alias("w"))
-    by = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("at")).agg(F.count("*").alias("c"))
-    ranks = [0] * COUNTERS
-    for at, c in by.collect():  # COUNTERS rows at most
-        ranks[at] = int(4 * math.log2(c + 1))
-    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
-    return lambda h: F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int"))
+    slot = lambda h: h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    each = docs.select(F.explode(split_words(F.lower(F.col(text_col)))).alias("w"))
+    by = each.groupBy(slot(F.xxhash64("w")).alias("at")).agg(F.count("*").alias("c"))
+    ranks = _packed(by.select("at", F.least(F.lit(127), F.floor(3 * F.log2(F.col("c")))).cast("long").alias("w")), 1 << bits)
+    table = F.split(F.lit(ranks.select(F.array_join(F.col("all").cast("array<string>"), ",")).first()[0]), ",").cast("array<tinyint>")
+    drop(ranks)
+    return lambda h: F.shiftleft(F.get(table, slot(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("pos", "line")).where("id is not null")
+    each = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("pos", "line"))
+    return each.where(F.col("id").isNotNull() & (F.btrim("line", F.lit(_SPACE)) != ""))
 
 
 def _rank():
@@ -60,68 +81,83 @@ def _need(n, percent: int):
     return F.floor((n * percent + 99) / F.lit(100)).cast("int")
 
 
-def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def _side(entry: DataFrame, end: str) -> DataFrame:
+    return entry.select("key", *[F.col(c).alias(f"{c}_{end}") for c in entry.columns if c != "key"])
+
+
+def _close(percent: int):
+    """Length and parity filters on sets ``_a`` and ``_b``."""
+    na, nb = F.col("n_a"), F.col("n_b")
+    # no more words may differ than both have beside those that they must share
+    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) * (100 + percent) <= (na + nb) * (100 - percent))
+
+
+def _candidate(percent: int):
+    """Length, parity and positional filters on rows ``_a`` and ``_b`` of one prefix word."""
+    na, nb, at_a, at_b = (F.col(c) for c in ("n_a", "n_b", "at_a", "at_b"))
+    # so many words have to be before the shared one and from it on
+    reach = F.least(at_a, at_b) + F.least(na - at_a, nb - at_b)
+    return _close(percent) & (reach * (100 + percent) >= (na + nb) * percent)
+
+
+def _verified(percent: int):
+    """The threshold itself, on the full sets."""
+    both = F.size(F.array_intersect("toks_a", "toks_b"))
+    return both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent
+
+
+def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, bits: int = COUNTER_BITS) -> DataFrame:
     """(id, pos) of every line that an earlier line matches, itself removed or not.
 
     Lines of one set are a class from the start, which its first line stands
-    for: only first lines are joined, all later ones are matches.
+    for: only first lines are joined, all later ones are matches. A class is
+    named by its size and two hashes of 64 bits; words are compared by 56 bits of
+    their hashes to find candidates, and by 64 to verify them.
     """
-    spark = docs.sparkSession
-    rank = rarity(docs, text_col)
-    words = F.split(F.btrim(F.lower("line"), F.lit(_SPACE)), GAP, -1)
-    key = lambda w: F.shiftleft(rank(F.xxhash64(w)), 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 32))  # noqa: E731  rarest first
-    keyed = _lines(docs, id_col, text_col).where(F.btrim("line", F.lit(_SPACE)) != "").select("id", "pos", F.sort_array(F.array_distinct(F.transform(words, key))).alias("keys"))
-    keyed = keyed.withColumn("n", F.size("keys"))
-    # one parity for each of 32 classes of words: two sets differ in at least as many words as parities
-    flip = lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(31)).cast("int")))
-    keyed = keyed.select("id", "pos", "n", F.aggregate("keys", F.lit(0).cast("bigint"), flip).alias("parity"), F.xxhash64("keys").alias("k1"), F.xxhash64(F.lit(7), "keys").alias("k2"), F.slice("keys", F.lit(1), F.col("n") - _need(F.col("n"), percent) + 1).alias("prefix"))
-    lines = cut(keyed)
-    release(spark)
-    classes = lines.groupBy("k1", "k2", "n").agg(F.min(_rank()).alias("first"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    classes = cut(classes)
-    release(spark)
-    # entries of the index: the size in the high bits, the place in the prefix in the low ones; of the key
-    # 32 bits are enough, as a pair too many is only verified in vain
-    key32 = F.xxhash64("key").bitwiseAND(F.lit(2**32 - 1)).alias("key")
-    entry = classes.select("k1", "n", "parity", F.posexplode("prefix").alias("at", "key")).select(key32, "k1", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at")).alias("e"), "parity")
-    x, y = (entry.select("key", F.col("k1").alias(c), F.col("e").alias(f"e{c}"), F.col("parity").alias(f"p{c}")) for c in "ab")
-    size = lambda e: F.shiftright(e, 32)
-    place = lambda e: F.col(e).bitwiseAND(F.lit(2**32 - 1))
-    na, nb = size("ea"), size("eb")
-    smaller = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
-    # sets that reach the threshold share `both` words, rounded up
-    both = lambda na, nb: F.ceil((na + nb) * percent / (100 + percent) - F.lit(1e-9))
-    # so many there have to be before the shared word and from it on, and no more may differ than the rest
-    reach = F.least(place("ea"), place("eb")) + F.least(na - place("ea"), nb - place("eb")) >= both(na, nb)
-    alike = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= na + nb - 2 * both(na, nb)
-    met = x.join(y, "key").where(smaller & (na * 100 >= nb * percent) & reach & alike)
-    met = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(na).alias("na"), F.min(nb).alias("nb"))
-    # prefixes share as many words as they are longer than what may be missing
-    total = both(F.col("na"), F.col("nb"))
-    shared = F.least(total - _need(F.col("na"), percent), total - _need(F.col("nb"), percent)) + 1
-    pairs = cut(met.where(F.col("c") >= shared).select("a", "b"))
-    release(spark)
-    # the sets of the lines that take part, looked up in the texts
-    part = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    part = cut(classes.select("k1", "k2", "n", "first").join(part, "k1", "left_semi"))
-    mark = F.xxhash64("first").bitwiseAND(F.lit(_MARKS - 1))
-    bits = part.groupBy(F.shiftright(mark, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(first) & 63 as int))")).alias("w"))
-    bits = spark.range(0, _MARKS // 64, 1, 1).join(bits, F.col("id") == F.col("at"), "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0)).alias("w")))), lambda s: s.w).alias("bits"))
-    bits = cut(bits)
-    seen = _lines(docs, id_col, text_col).withColumn("first", _rank())
-    word = F.get(bits.scalar(), F.shiftright(mark, 6).cast("int"))
-    seen = seen.where(word.bitwiseAND(F.expr("shiftleft(1L, cast(xxhash64(first) & 63 as int))")) != 0)
-    sets = cut(seen.select("first", "line").join(part, "first").select("k1", "k2", "n", "first", _tokens(F.col("line")).alias("toks")))
-    release(spark)
-    sx = sets.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("n").alias("na"), F.col("first").alias("fa"), F.col("toks").alias("ta"))
-    sy = sets.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("n").alias("nb"), F.col("first").alias("fb"), F.col("toks").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))  # the full sets
-    hit = pairs.join(sx, "a").join(sy, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent)
-    later = hit.select(F.when(F.col("fa") < F.col("fb"), F.struct(F.col("b").alias("k1"), F.col("b2").alias("k2"), F.col("nb").alias("n"))).otherwise(F.struct(F.col("a").alias("k1"), F.col("a2").alias("k2"), F.col("na").alias("n"))).alias("c")).select("c.*").distinct()
-    status = classes.select("k1", "k2", "n", "first").join(later.withColumn("late", F.lit(True)), ["k1", "k2", "n"], "left")
+    name, first = ["k1", "k2", "n"], ["doc", "line"]
+    rarest = rarity(docs, text_col, bits)
+    flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int")))
+    lines = _lines(docs, id_col, text_col).select("id", "pos", F.transform(_distinct(_tokens(F.col("line"))), rarest).alias("keys"))
+    lines = lines.select("id", "pos", F.sort_array("keys").alias("keys"), F.size("keys").alias("n"))
+    prefix = F.slice("keys", F.lit(1), F.col("n") - _need(F.col("n"), percent) + 1)
+    short = F.transform(prefix, lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))  # to meet on, 31 bits are enough: a pair too many is verified in vain
+    lines = cut(lines.select("id", "pos", "n", F.xxhash64("keys").alias("k1"), F.xxhash64(F.lit(7), "keys").alias("k2"), F.aggregate("keys", F.lit(0).cast("bigint"), flip).alias("parity"), short.alias("prefix")))
+    classes = lines.groupBy(*name).agg(F.min(_rank()).alias("at"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    at = F.pmod("at", F.lit(10**10).cast("decimal(11,0)"))
+    classes = cut(classes.select(*name, ((F.col("at") - at) / F.lit(10**10).cast("decimal(11,0)")).cast("long").alias("doc"), at.cast("int").alias("line"), "parity", "prefix"))
+    entry = classes.select("k1", "n", "parity", F.posexplode("prefix").alias("at", "key"))
+    # sets with any candidate; both sides are one exchange
+    x, y = _side(entry, "a"), _side(entry, "b")
+    active = x.join(y, (x["key"] == y["key"]) & (F.col("k1_a") != F.col("k1_b")) & _candidate(percent), "left_semi").select(F.col("k1_a").alias("k1")).distinct()
+    active = cut(classes.join(active, "k1", "left_semi"))
+    # their words, looked up in the texts
+    mark = F.xxhash64("doc", "line").bitwiseAND(F.lit(_MARKS - 1))
+    bit = F.expr("shiftleft(1L, cast(xxhash64(doc, line) & 63 as int))")
+    marks = _packed(active.groupBy(F.shiftright(mark, 6).alias("at")).agg(F.bit_or(bit).alias("w")), _MARKS // 64)
+    seen = _lines(docs, id_col, text_col).select(F.col("id").alias("doc"), F.col("pos").alias("line"), F.col("line").alias("text"))
+    seen = seen.where(F.get(marks.scalar(), F.shiftright(mark, 6).cast("int")).bitwiseAND(bit) != 0)
+    sets = cut(seen.join(active, first).select(*active.columns, _distinct(_tokens(F.col("text"))).alias("toks")).dropDuplicates(name))
+    # a verified earlier match under one of a few prefix words, the same for sets alike: least by hash
+    few = F.slice(F.array_sort(F.transform("prefix", lambda x: F.xxhash64(x))), 1, _VERIFY_KEYS)
+    keyed = sets.select(*name, *first, "parity", "toks", F.explode(few).alias("key"))
+    x, y = _side(keyed, "a"), _side(keyed, "b")
+    earlier = (F.col("doc_b") < F.col("doc_a")) | ((F.col("doc_b") == F.col("doc_a")) & (F.col("line_b") < F.col("line_a")))
+    late = x.join(y, (x["key"] == y["key"]) & earlier & _close(percent) & _verified(percent), "left_semi").select(*[F.col(f"{c}_a").alias(c) for c in name]).distinct()
+    late = cut(late)
+    # the others with every candidate
+    entry = active.join(late.withColumn("late", F.lit(True)), name, "left").select(*name, *first, "parity", "late", F.posexplode("prefix").alias("at", "key"))
+    x, y = _side(entry.where("late is null").drop("late"), "a"), _side(entry.drop("late"), "b")
+    pairs = x.join(y, (x["key"] == y["key"]) & earlier & _candidate(percent))
+    pairs = pairs.select(*[f"{c}_{end}" for end in "ab" for c in name]).distinct()
+    sa, sb = (sets.select(*[F.col(c).alias(f"{c}_{end}") for c in (*name, "toks")]) for end in "ab")
+    more = pairs.join(sa, [f"{c}_a" for c in name]).join(sb, [f"{c}_b" for c in name]).where(_verified(percent)).select(*[F.col(f"{c}_a").alias(c) for c in name]).distinct()
+    late = cut(late.unionByName(more))
     # classes of one line that nothing matches say nothing: what is left is joined to the lines
-    out = lines.select("id", "pos", "k1", "k2", "n").join(status, ["k1", "k2", "n"]).where(F.coalesce("late", F.lit(False)) | (_rank() != F.col("first")))
-    return out.select("id", "pos")
+    status = classes.select(*name, *first).join(late.withColumn("late", F.lit(True)), name, "left")
+    out = lines.select("id", "pos", *name).join(status, name).where(F.coalesce("late", F.lit(False)) | (F.col("id") != F.col("doc")) | (F.col("pos") != F.col("line")))
+    out = cut(out.select("id", "pos"))
+    drop(lines, classes, active, marks, sets, late)
+    return out
 
 
 def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -133,19 +169,20 @@ def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     they stay and match nothing. A document whose lines all go keeps its row,
     with an empty text. Null texts stay null. Rows with a null id keep their
     text. Rows that repeat an id have their lines numbered alike; one such
-    line goes if any of them is matched earlier. Columns named n_lines or
-    removed are replaced.
+    line goes if any of them is matched earlier. An empty table gives no rows.
+    Columns named n_lines or removed are replaced; no other name matters.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "removed")]
+    id_, gone_ = free_names(docs, "id", "gone")
     gone = matched_lines(docs, id_col=id_col, text_col=text_col, percent=percent)
-    gone = gone.groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
-    out = docs.select(*own).join(gone, F.col(id_col).cast("long") == F.col("_id"), "left")
+    gone = gone.groupBy(F.col("id").alias(id_)).agg(F.array_sort(F.collect_set("pos")).alias(gone_))
+    out = docs.select(*own).join(gone, F.col(id_col).cast("long") == F.col(id_), "left")
     parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("_gone"), s.i)), lambda s: s.x), "\n")
-    text = F.when(F.col("_gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept)
+    kept = F.array_join(F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col(gone_), s.i)), lambda s: s.x), "\n")
+    text = F.when(F.col(gone_).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept)
     n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
     cols = [text.alias(c) if c == text_col else F.col(c) for c in own]
-    return out.select(*cols, F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce("_gone", F.array().cast("array<int>")).alias("removed"))
+    return out.select(*cols, F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(gone_, F.array().cast("array<int>")).alias("removed"))
 
 
 #: DuckDB's form of :func:`deduplicate_lines` over ``documents``, with the columns of its query.

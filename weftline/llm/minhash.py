@@ -4,8 +4,11 @@ Every text is reduced once, in Arrow batches, to the minima of
 ``bands * rows`` permutations of its shingle set: ``bands`` keys of ``rows``
 full minima each find candidates, and one bit of every minimum, mixed with a
 salt of its permutation, is packed into a signature, whose equal bits give a
-collision-corrected estimate of the similarity in the JVM. What the estimate leaves is confirmed
-on the full shingle sets, so the links that count are exact.
+collision-corrected estimate of the similarity in the JVM. Beside it stand 1,024
+parities of the set, by hash of the shingle: two sets differ in at least as
+many shingles as parities, which rules out pairs for certain, and is nearly the
+exact difference for sets of some hundreds. What both leave is confirmed on
+the full shingle sets, so the links that count are exact.
 
 Groups of copies never become all their pairs: equal shingle sets are one
 class from the start; then each class is tried against one partner from its
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, drop
 from .components import connected_components
 
 _U = np.uint64
@@ -60,6 +63,16 @@ def shingle_hashes(text: str | None, ngram: int, cache: dict) -> np.ndarray:
     return np.unique(x)
 
 
+#: Parities of a set, and the size from which a set is large enough for the estimate to rule out a pair.
+PARITIES, LARGE = 1_024, 64
+
+
+def parities(x: np.ndarray) -> np.ndarray:
+    """For each of ``PARITIES`` classes of shingles whether the set has an odd number of them, packed in int64 words."""
+    odd = np.bincount((x & _U(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 class Sketcher:
     """Minima, band keys and packed bits of shingle sets."""
 
@@ -93,7 +106,7 @@ class Sketcher:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, ngram: int, bands: int, rows: int) -> DataFrame:
-    """id, n (set size), k1 and k2 (which name the set), band keys and packed bits of each text."""
+    """id, n (set size), k1 and k2 (which name the set), band keys, packed bits and parities of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, sk = _WordHash(), Sketcher(bands, rows)
@@ -107,11 +120,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, ngram: int, bands: int
                 k2 = np.array([_mix(x ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
                 keys, bits = sk.keys(m), sk.bits(m)
                 wide = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(k1), pa.array(k2), wide(keys), wide(bits)], names=["id", "n", "k1", "k2", "keys", "bits"])
+                odd = np.stack([parities(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(k1), pa.array(k2), wide(keys), wide(bits), wide(odd)], names=["id", "n", "k1", "k2", "keys", "bits", "odd"])
 
     if rows * bands % 64:
         raise ValueError("bands * rows must be a multiple of 64")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, k1 long, k2 long, keys array<long>, bits array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, k1 long, k2 long, keys array<long>, bits array<long>, odd array<long>")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
@@ -135,13 +149,29 @@ def _confirm(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> Da
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _equal_bits(x: str, y: str, n_words: int):
+def _differing(x: str, y: str, n_words: int):
+    """Bits in which two packed columns differ."""
+    out = F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0]))
+    for k in range(1, n_words):
+        out = out + F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k]))
+    return out
+
+
+def _estimate(x: str, y: str, n_words: int):
     """Share of equal bits, corrected for the half that agrees by chance: the estimated similarity."""
-    same = None
-    for k in range(n_words):
-        d = F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k]))
-        same = d if same is None else same + d
-    return 1 - F.lit(2.0) * same / F.lit(64.0 * n_words)
+    return 1 - F.lit(2.0) * _differing(x, y, n_words) / F.lit(64.0 * n_words)
+
+
+def _may_link(percent: int, floor: float, n_words: int):
+    """Of a pair with sizes na, nb, parities oa, ob and bits ba, bb: whether nothing rules it out.
+
+    Sizes and parities rule out for certain; the estimate, for sets of
+    ``LARGE`` shingles and more, where it falls below ``floor``.
+    """
+    small, most = F.least("na", "nb"), F.greatest("na", "nb")
+    sizes = small * 100 >= most * percent
+    apart = _differing("oa", "ob", PARITIES // 64) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    return sizes & apart & ((small < LARGE) | (_estimate("ba", "bb", n_words) >= floor))
 
 
 def near_duplicates(
@@ -162,8 +192,10 @@ def near_duplicates(
     the smallest id that links reach, ``kept`` whether the document is it.
     Two sets are linked where 100 * |both| >= percent * |either|. With 64
     bands of 8 rows a pair at 0.8 stays unseen with probability 8e-6; the
-    estimate has a standard deviation of about 0.026, and a pair is left out
-    without confirmation only ``spread`` of them below the threshold.
+    estimate has a standard deviation of about 0.026, and a pair of sets of
+    ``LARGE`` shingles or more is left out without confirmation only
+    ``spread`` of them below the threshold, a smaller one only where sizes
+    or parities prove that it is no link.
 
     Null, empty and blank texts have an empty set and are linked with
     nothing. A null id is kept, alone, with a null component. Rows that
@@ -174,7 +206,8 @@ def near_duplicates(
     floor = float(percent / 100 - spread * 0.6 / np.sqrt(bands * rows))
     sk = cut(sketches(docs, id_col, text_col, ngram, bands, rows))
     known = sk.where("id is not null and n > 0")
-    classes = cut(known.groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys"), F.min_by("bits", "id").alias("bits")))
+    wide = ["keys", "bits", "odd"]
+    classes = cut(known.groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), *[F.min_by(c, "id").alias(c) for c in wide]))
     rows_of = classes.select("id", F.explode("keys").alias("k"))
     # buckets of more than one class, with their smallest one, back to their classes; the key under a
     # mask gives the rows an exchange of their own, which adaptive execution can split where it is hot
@@ -182,32 +215,31 @@ def near_duplicates(
     member = cut(rows_of.select("id", F.col("k").bitwiseXOR(F.lit(1)).alias("k")).join(many, "k"))
     pool = member.select("id").distinct()
     texts = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(pool, "id", "left_semi").dropDuplicates(["id"]))
-    bits = classes.select("id", "bits")
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        ba, bb = (bits.select(F.col("id").alias(x), F.col("bits").alias(f"b{x}")) for x in "ab")
-        return pairs.join(bb, "b").join(ba, "a").select("a", "b", _equal_bits("ba", "bb", n_words).alias("est")).where(F.col("est") >= floor)
+    signs = classes.select("id", "n", "bits", "odd")
+    may_link = _may_link(percent, floor, n_words)
 
     # each class against the likeliest of the first ones of its buckets
-    first = estimated(member.where("p < id").select(F.col("id").alias("a"), F.col("p").alias("b")).distinct())
+    first = member.where("p < id").select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
+    sa, sb = (signs.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
+    first = first.join(sb, "b").join(sa, "a").where(may_link).select("a", "b", _estimate("ba", "bb", n_words).alias("est"))
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.col("est").desc(), "b"))
     tried = cut(first.withColumn("best", best).where(F.col("best") <= partners).select("a", "b"))
     links = cut(_confirm(tried, texts, ngram, percent))
     found = cut(connected_components(links, "a", "b"))
-    release(docs.sparkSession)
     # what is left: pairs of different components in one bucket, other than those
     comp = F.coalesce("component", "id").alias("comp")
     known = member.join(found.withColumnRenamed("node", "id"), "id", "left").select("k", "id", comp)
     mixed = known.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("k").bitwiseXOR(F.lit(2)).alias("k2"))
     left = known.withColumn("k2", F.col("k").bitwiseXOR(F.lit(2))).join(mixed, "k2", "left_semi").select("k", "id", "comp")
-    left = cut(left.join(bits, "id"))
-    x, y = (left.select("k", F.col("id").alias(n), F.col("comp").alias(f"c{n}"), F.col("bits").alias(f"b{n}")) for n in "ab")
-    alike = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (_equal_bits("ba", "bb", n_words) >= floor)
-    pairs = x.join(y, (x["k"] == y["k"]) & alike).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    left = cut(left.join(signs, "id"))
+    x, y = (left.select("k", F.col("id").alias(c), F.col("comp").alias(f"c{c}"), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"), F.col("odd").alias(f"o{c}")) for c in "ab")
+    pairs = x.join(y, (x["k"] == y["k"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & may_link)
+    pairs = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(_confirm(pairs, texts, ngram, percent))
+    drop(member, left, tried)
     if more.take(1):
         found = cut(connected_components(links.unionByName(more), "a", "b"))
-    release(docs.sparkSession)
+    drop(texts, links, more)
     classes = classes.select("k1", "k2", "n", F.col("id").alias("class_id")).join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     out = sk.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
     alone = F.when(F.col("n") > 0, F.coalesce("component", "class_id", "id")).otherwise(F.col("id"))

@@ -5,9 +5,12 @@ of a text into pieces, forward sums give every prefix its total weight, and a
 segmentation is drawn from the end backwards, each piece with its share of
 the sum. Draws are hashes of the row's key and the place in the text, so a
 row always gets the same segmentation. No piece reaches over the start of a
-run of spaces or a line break, so the lattice falls into short chunks;
-the distinct chunks of a batch are filtered together, position by position,
-and all their occurrences are sampled together.
+run of spaces or a line break, nor past ``LONGEST_CHUNK`` characters without
+either, so the lattice falls into short chunks. The distinct chunks of a batch
+are filtered together, position by position, and all their occurrences are
+sampled together. Batches are bounded by characters, not by rows: a longer
+text goes in several, each of which knows its place in the text, so the
+pieces are the same however texts are batched.
 
 The vocabulary's scores are ranks of merges, not log-probabilities: a piece's
 weight is 1 / (rank + 1), to the power ``alpha``.
@@ -17,9 +20,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +36,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
 #: Stand-ins, in a text, for the space mark itself and for the character that ends a chunk here.
 _MARK, _NUL = 0x10FFFE, 0x10FFFD
-_CHUNK = re.compile(r"\n| *[^ \n]+| +")
+#: Characters of a chunk at most: longer runs without a space or line break are cut there.
+LONGEST_CHUNK = 1_024
+_CHUNK = re.compile(rf"\n| {{0,{LONGEST_CHUNK}}}[^ \n]{{1,{LONGEST_CHUNK}}}| {{1,{LONGEST_CHUNK}}}")
+#: Bounds of a batch: characters of its distinct chunks (each takes about 200 bytes here), and chunks in all.
+DISTINCT_CHARS, CHUNKS = 250_000, 250_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _CODE = 1 << 20  # a piece code from here on: this character by its bytes
 _U = np.uint64
@@ -62,9 +71,30 @@ class Vocabulary:
             raise ValueError("the vocabulary has no piece for some byte, so decoding could lose text")
         return cls([sp.id_to_piece(i) for i in n], [sp.get_score(i) for i in n], [by[b] for b in range(256)], [i for i in n if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)])
 
+    def join(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
         """The text: pieces joined, without the space that stands before every text."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+        return self.join(ids).decode("utf-8", "surrogatepass")[1:]
+
+
+class _Batch:
+    """Parts of texts, as chunk numbers, and the distinct chunks in order of their numbers."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.rows, self.tokens, self.seeds, self.places = [], [], [], []
+        self.chars = self.n = 0
+
+    def add(self, row: int, seed: int, place: int, chunks: list[str]) -> None:
+        before = len(self.index)
+        self.tokens.append(np.fromiter([self.index.setdefault(c, len(self.index)) for c in chunks], np.int64, len(chunks)))
+        self.chars += sum(map(len, islice(reversed(self.index), len(self.index) - before)))
+        self.n += len(chunks)
+        self.rows.append(row)
+        self.seeds.append(seed)
+        self.places.append(place)
 
 
 class Sampler:
@@ -113,25 +143,36 @@ class Sampler:
         out[0, alone] = _CODE + flat[alone]
         return out
 
-    def __call__(self, texts: list[str | None], keys: list) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of the texts' segmentations, one after the other."""
-        index: dict[str, int] = {}
-        tokens, per_row = [], np.zeros(len(texts), np.int64)
+    def __call__(self, texts: list[str | None], keys: list, distinct_chars: int = DISTINCT_CHARS, chunks: int = CHUNKS) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """(row, ids, same) of the texts' segmentations, in order, in as many parts as batches share a text; ``same``: the ids decode to that part."""
+        batch = _Batch()
         for r, t in enumerate(texts):
-            if t:
-                found = _CHUNK.findall(" " + t)
-                per_row[r] = len(found)
-                tokens.append(np.fromiter([index.setdefault(c, len(index)) for c in found], np.int64, len(found)))
-        if not index:
-            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        token = np.concatenate(tokens)
-        chunks = [c.replace(_SPACE, chr(_MARK)).replace("\x00", chr(_NUL)).replace(" ", _SPACE) for c in index]
+            if not t:
+                continue
+            seed, place = xxhash.xxh3_64_intdigest(str(keys[r]), self.seed), 0
+            found = _CHUNK.finditer(" " + t)
+            while part := list(islice(found, 4_096)):
+                if batch.index and (batch.chars >= distinct_chars or batch.n + len(part) > chunks):
+                    yield from self._run(batch)
+                    batch = _Batch()
+                batch.add(r, seed, place, [m[0] for m in part])
+                place += len(part)
+        if batch.index:
+            yield from self._run(batch)
+
+    def _run(self, batch: _Batch) -> Iterator[tuple[int, np.ndarray, bool]]:
+        chunks = [c.replace(_SPACE, chr(_MARK)).replace("\x00", chr(_NUL)).replace(" ", _SPACE) for c in batch.index]
         flat = np.frombuffer(("\x00".join(chunks) + "\x00").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
         pieces = self._lattice(flat)
         share = self._filter(pieces, start, size, len(flat))
-        return self._sample(pieces, share, token, start, size, per_row, keys)
+        per_part = np.array([len(x) for x in batch.tokens], np.int64)
+        ids, offsets = self._sample(pieces, share, np.concatenate(batch.tokens), start, size, per_part, np.array(batch.seeds, np.uint64), np.array(batch.places, np.int64))
+        raw = [c.encode("utf-8", "surrogatepass") for c in batch.index]
+        for r, tokens, a, b in zip(batch.rows, batch.tokens, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            part = ids[a:b]
+            yield r, part, self.v.join(part.tolist()) == b"".join([raw[k] for k in tokens.tolist()])
 
     def _filter(self, pieces: np.ndarray, start: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
         """For each place between characters: cumulative shares of the pieces that end there, by length."""
@@ -156,10 +197,9 @@ class Sampler:
             share[here, :m] = np.where(e >= e[:, -1:], 2.0, e / e[:, -1:])  # rounding never leads past the last
         return share
 
-    def _sample(self, pieces, share, token, start, size, per_row, keys) -> tuple[np.ndarray, np.ndarray]:
+    def _sample(self, pieces, share, token, start, size, per_row, seeds, places) -> tuple[np.ndarray, np.ndarray]:
         row = np.repeat(np.arange(len(per_row)), per_row)
-        place = np.arange(len(token)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-        seeds = np.array([xxhash.xxh3_64_intdigest(str(k), self.seed) for k in keys], np.uint64)
+        place = np.arange(len(token)) + np.repeat(places - (np.cumsum(per_row) - per_row), per_row)
         base = _mix(seeds[row] + place.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
         live, at, steps, drawn = np.arange(len(token)), start[token] + size[token], np.zeros(len(token), np.int64), []
         low = start[token]
@@ -200,30 +240,51 @@ class Sampler:
         return out, np.bincount(row, width, len(count)).astype(np.int64)
 
 
-def encode_sampled(docs: DataFrame, vocabulary: Vocabulary, *, key_col: str = "doc_id", text_col: str = "text", alpha: float = 1.0, seed: int = 0, rows: int = 1600) -> DataFrame:
+#: Rows that are held at once in a task, and characters of them after which results go out.
+_ROWS, _OUT_CHARS = 256, 2_000_000
+
+
+def encode_sampled(docs: DataFrame, vocabulary: Vocabulary, *, key_col: str = "doc_id", text_col: str = "text", alpha: float = 1.0, seed: int = 0) -> DataFrame:
     """The columns of ``docs`` with ``pieces`` (array of ids), ``n_pieces`` and ``lossless`` put last.
 
     ``lossless`` says whether the ids decode to the very text; it is true for
     every text but null (a null text has null pieces, 0 of them, and null
     there). An empty text has none. Characters outside the vocabulary, and the
     vocabulary's own mark for a space, go by their bytes. Rows with equal
-    keys and texts get equal pieces; a null key is a key. Very long texts are
-    cut in chunks, not in pieces of text. Columns of ``docs`` with the names
-    added are replaced.
+    keys and texts get equal pieces; a null key is a key. An empty table gives
+    no rows. Very long texts are encoded whole, part by part, in memory of the
+    order of their pieces. Columns of ``docs`` with the names added are
+    replaced; no other name matters.
     """
     kept = [c for c in docs.columns if c not in ("pieces", "n_pieces", "lossless")]
+    sent = docs.sparkSession.sparkContext.broadcast(Sampler(vocabulary, alpha, seed))
+
+    def slices(batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
+        """Slices of few rows and, but for single rows, few characters."""
+        length = pc.fill_null(pc.binary_length(batch.column(k)), 0).to_pylist()
+        first = total = 0
+        for at, n in enumerate(length):
+            if at > first and (total + n > _OUT_CHARS or at - first >= _ROWS):
+                yield batch.slice(first, at - first)
+                first, total = at, 0
+            total += n
+        if first < len(batch):
+            yield batch.slice(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(vocabulary, alpha, seed)
+        sampler = sent.value
         for batch in batches:
-            for at in range(0, len(batch), rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, batch.schema.get_field_index(text_col)):
                 texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-                ids, offsets = sampler(texts, part.column(part.schema.get_field_index(key_col)).to_pylist())
-                whole = ids.tolist()
-                same = [None if t is None else vocabulary.decode(whole[a:b]) == t for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                nulls = pa.array([t is None for t in texts], pa.bool_())
-                cols = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids), mask=nulls), pa.array(np.diff(offsets)), pa.array(same, pa.bool_())]
+                ids, count, same = [], np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
+                for r, found, good in sampler(texts, part.column(part.schema.get_field_index(key_col)).to_pylist()):
+                    ids.append(found)
+                    count[r] += len(found)
+                    same[r] &= good
+                nulls = np.array([t is None for t in texts], bool)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
+                cols = [pa.ListArray.from_arrays(offsets, flat, mask=pa.array(nulls)), pa.array(count), pa.array(same, pa.bool_(), mask=nulls)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, "pieces", "n_pieces", "lossless"])
 
     src = docs.select(*kept).withColumn(text_col, F.col(text_col).cast("string"))
