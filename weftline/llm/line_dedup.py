@@ -31,6 +31,8 @@ COUNTER_BITS = 18
 #: Bits of the table that tells which lines take part in a candidate pair (by hash).
 _MARKS = 1 << 20
 _SPACE = " \t\r\x0b\x0c"
+#: Classes that have a candidate, of which at most so many are sent to every task.
+_SENT = 500_000
 #: Prefix words under which sets are verified where they meet.
 _VERIFY_KEYS = 2
 
@@ -85,19 +87,28 @@ def _side(entry: DataFrame, end: str) -> DataFrame:
     return entry.select("key", *[F.col(c).alias(f"{c}_{end}") for c in entry.columns if c != "key"])
 
 
-def _close(percent: int):
+def _parities(toks, part: int | None = None):
+    """64 parities of a set by its words' hashes; with ``part``, of one in four of 256."""
+    flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int")))
+    if part is not None:
+        toks = F.filter(toks, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == part)
+    return F.aggregate(toks, F.lit(0).cast("bigint"), flip)
+
+
+def _close(percent: int, parities: tuple[str, ...] = ("parity",)):
     """Length and parity filters on sets ``_a`` and ``_b``."""
     na, nb = F.col("n_a"), F.col("n_b")
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in parities[1:]), F.bit_count(F.col(f"{parities[0]}_a").bitwiseXOR(F.col(f"{parities[0]}_b"))))
     # no more words may differ than both have beside those that they must share
-    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) * (100 + percent) <= (na + nb) * (100 - percent))
+    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def _candidate(percent: int):
+def _candidate(percent: int, parities: tuple[str, ...] = ("parity",)):
     """Length, parity and positional filters on rows ``_a`` and ``_b`` of one prefix word."""
     na, nb, at_a, at_b = (F.col(c) for c in ("n_a", "n_b", "at_a", "at_b"))
     # so many words have to be before the shared one and from it on
     reach = F.least(at_a, at_b) + F.least(na - at_a, nb - at_b)
-    return _close(percent) & (reach * (100 + percent) >= (na + nb) * percent)
+    return _close(percent, parities) & (reach * (100 + percent) >= (na + nb) * percent)
 
 
 def _verified(percent: int):
@@ -116,27 +127,33 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     name, first = ["k1", "k2", "n"], ["doc", "line"]
     rarest = rarity(docs, text_col, bits)
-    flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int")))
     lines = _lines(docs, id_col, text_col).select("id", "pos", F.transform(_distinct(_tokens(F.col("line"))), rarest).alias("keys"))
     lines = lines.select("id", "pos", F.sort_array("keys").alias("keys"), F.size("keys").alias("n"))
     prefix = F.slice("keys", F.lit(1), F.col("n") - _need(F.col("n"), percent) + 1)
     short = F.transform(prefix, lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))  # to meet on, 31 bits are enough: a pair too many is verified in vain
-    lines = cut(lines.select("id", "pos", "n", F.xxhash64("keys").alias("k1"), F.xxhash64(F.lit(7), "keys").alias("k2"), F.aggregate("keys", F.lit(0).cast("bigint"), flip).alias("parity"), short.alias("prefix")))
+    lines = cut(lines.select("id", "pos", "n", F.xxhash64("keys").alias("k1"), F.xxhash64(F.lit(7), "keys").alias("k2"), _parities(F.col("keys")).alias("parity"), short.alias("prefix")))
     classes = lines.groupBy(*name).agg(F.min(_rank()).alias("at"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
     at = F.pmod("at", F.lit(10**10).cast("decimal(11,0)"))
     classes = cut(classes.select(*name, ((F.col("at") - at) / F.lit(10**10).cast("decimal(11,0)")).cast("long").alias("doc"), at.cast("int").alias("line"), "parity", "prefix"))
     entry = classes.select("k1", "n", "parity", F.posexplode("prefix").alias("at", "key"))
     # sets with any candidate; both sides are one exchange
     x, y = _side(entry, "a"), _side(entry, "b")
-    active = x.join(y, (x["key"] == y["key"]) & (F.col("k1_a") != F.col("k1_b")) & _candidate(percent), "left_semi").select(F.col("k1_a").alias("k1")).distinct()
-    active = cut(classes.join(active, "k1", "left_semi"))
+    found = cut(x.join(y, (x["key"] == y["key"]) & (F.col("k1_a") != F.col("k1_b")) & _candidate(percent), "left_semi").select(F.col("k1_a").alias("k1")).distinct())
+    small = found.count() <= _SENT  # 8 bytes each; more of them meet the classes in a shuffle
+    active = cut(classes.join(F.broadcast(found) if small else found, "k1", "left_semi"))
+    drop(found)
     # their words, looked up in the texts
     mark = F.xxhash64("doc", "line").bitwiseAND(F.lit(_MARKS - 1))
     bit = F.expr("shiftleft(1L, cast(xxhash64(doc, line) & 63 as int))")
     marks = _packed(active.groupBy(F.shiftright(mark, 6).alias("at")).agg(F.bit_or(bit).alias("w")), _MARKS // 64)
     seen = _lines(docs, id_col, text_col).select(F.col("id").alias("doc"), F.col("pos").alias("line"), F.col("line").alias("text"))
     seen = seen.where(F.get(marks.scalar(), F.shiftright(mark, 6).cast("int")).bitwiseAND(bit) != 0)
-    sets = cut(seen.join(active, first).select(*active.columns, _distinct(_tokens(F.col("text"))).alias("toks")).dropDuplicates(name))
+    toks = F.col("toks")
+    sets = seen.join(active, first).select(*active.columns, _distinct(_tokens(F.col("text"))).alias("toks"))
+    # where rows repeat an id, of the lines of one number that which names the class
+    sets = sets.where((F.size("toks") == F.col("n")) & (_parities(toks) == F.col("parity")))
+    more = [_parities(toks, j).alias(f"parity{j}") for j in range(4)]
+    sets = cut(sets.select("*", *more))
     # a verified earlier match under one of a few prefix words, the same for sets alike: least by hash
     few = F.slice(F.array_sort(F.transform("prefix", lambda x: F.xxhash64(x))), 1, _VERIFY_KEYS)
     keyed = sets.select(*name, *first, "parity", "toks", F.explode(few).alias("key"))
@@ -145,9 +162,10 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     late = x.join(y, (x["key"] == y["key"]) & earlier & _close(percent) & _verified(percent), "left_semi").select(*[F.col(f"{c}_a").alias(c) for c in name]).distinct()
     late = cut(late)
     # the others with every candidate
-    entry = active.join(late.withColumn("late", F.lit(True)), name, "left").select(*name, *first, "parity", "late", F.posexplode("prefix").alias("at", "key"))
+    wide = tuple(f"parity{j}" for j in range(4))
+    entry = sets.join(late.withColumn("late", F.lit(True)), name, "left").select(*name, *first, *wide, "late", F.posexplode("prefix").alias("at", "key"))
     x, y = _side(entry.where("late is null").drop("late"), "a"), _side(entry.drop("late"), "b")
-    pairs = x.join(y, (x["key"] == y["key"]) & earlier & _candidate(percent))
+    pairs = x.join(y, (x["key"] == y["key"]) & earlier & _candidate(percent, wide))
     pairs = pairs.select(*[f"{c}_{end}" for end in "ab" for c in name]).distinct()
     sa, sb = (sets.select(*[F.col(c).alias(f"{c}_{end}") for c in (*name, "toks")]) for end in "ab")
     more = pairs.join(sa, [f"{c}_a" for c in name]).join(sb, [f"{c}_b" for c in name]).where(_verified(percent)).select(*[F.col(f"{c}_a").alias(c) for c in name]).distinct()
