@@ -3,17 +3,24 @@
 Toxic documents go, then lines that an earlier line matches, then all but one
 of each group of near duplicates; the rest is mixed to target weights and
 encoded as sampled pieces.
+
+Every stage keeps rows with nulls in any column, empty and very long texts:
+a text without words is never toxic, has no line to remove, is linked with
+nothing and has size 0 in the mix, which then takes it as often as the rate of
+its source says. A null source is a source; a null id is a document of its
+own. Rows that repeat an id stay rows of their own, but go together where one
+of them is a later near duplicate of another id. Columns beside those of
+``documents`` are carried along up to the last stage, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import mixing
-from weftline.llm.common import shared_dir, table
+from weftline.llm.common import cut, drop, free_names, table
 from weftline.llm.line_dedup import deduplicate_lines
 from weftline.llm.minhash import near_duplicates
 from weftline.llm.pieces import Vocabulary, encode_sampled
@@ -33,8 +40,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates on five-word shingles at 0.8 the document with the smallest id stays; texts without words all stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    (gone_,) = free_names(docs, "gone")
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(gone_))
+    return docs.join(gone.distinct(), F.col("doc_id") == F.col(gone_), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other; each but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
-    return docs
+    """The stages one after the other; each but the last is written to the shared folder, read again, and deleted once the next is written."""
+    docs = before = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+        drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
