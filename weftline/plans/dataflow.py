@@ -297,9 +297,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(F.length("text").alias("n"), F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-@query("distinct_transcript_rows", "SELECT conv_id, min(turn) AS turn, role, left(text, 3) AS head FROM conversations GROUP BY conv_id, role, left(text, 3)")
+@query("distinct_transcript_rows", "SELECT conv_id, min(turn) AS turn, role, text FROM conversations GROUP BY conv_id, role, text")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").groupBy("conv_id", "role", F.left("text", F.lit(3)).alias("head")).agg(F.min("turn").alias("turn"))
+    return table(spark, d, "conversations").groupBy("conv_id", "role", "text").agg(F.min("turn").alias("turn"))
 
 
 @query("dedupe_consecutive", "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type")

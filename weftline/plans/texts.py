@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,14 +30,22 @@ def _squeezed(c: str) -> str:
     return _SQUEEZE.format(c)
 
 
-@query("norm_text", f"SELECT doc_id, {_squeezed('lower(text)')} AS norm FROM documents WHERE lang = 'en'")
+#: Spelt in ASCII, for the Latin letters that the documents have.
+_ASCII = "regexp_replace(replace(replace(replace(strip_accents(lower(text)), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae'), '[^\\x00-\\x7F]', '', 'g')"
+
+
+def _ascii(c):
+    return Q.transliterate_col(F.lower(c))
+
+
+@query("norm_text", f"SELECT doc_id, {_squeezed(_ASCII)} AS norm FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).where("lang = 'en'").select("doc_id", X.norm_text(F.col("text")).alias("norm"))
+    return _docs(spark, d).select("doc_id", X.norm_text(_ascii(F.col("text"))).alias("norm"))
 
 
-@query("tokenize", "SELECT doc_id, len(w) AS n, array_to_string(w[1:5], ' ') AS head FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_''\\-]+') AS w FROM documents)")
+@query("tokenize", f"SELECT doc_id, len(w) AS n, array_to_string(w[1:5], ' ') AS head FROM (SELECT doc_id, regexp_extract_all({_ASCII}, '[a-z0-9_''\\-]+') AS w FROM documents)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    t = _docs(spark, d).select("doc_id", X.tokenize(F.col("text")).alias("w"))
+    t = _docs(spark, d).select("doc_id", X.tokenize(_ascii(F.col("text"))).alias("w"))
     return t.select("doc_id", F.size("w").cast("bigint").alias("n"), F.array_join(F.slice("w", 1, 5), " ").alias("head"))
 
 
@@ -74,18 +82,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "safe_name",
-    f"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_LINE.format("left(text, 150)")}, '[<>:"/\\\\|?*]', '_', 'g'), '\\s+', '_', 'g'), '\\.+$', ''), '_+', '_', 'g') AS n FROM documents)
+    f"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_LINE.format("text")}, '[<>:"/\\\\|?*]', '_', 'g'), '\\s+', '_', 'g'), '\\.+$', ''), '_+', '_', 'g') AS n FROM documents)
     SELECT doc_id, coalesce(nullif(trim(left(trim(n, '_'), 120), '_'), ''), 'video') AS name FROM s""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", X.safe_name(F.left("text", F.lit(150))).alias("name"))
+    return _docs(spark, d).select("doc_id", X.safe_name(F.col("text")).alias("name"))
 
 
-_TAGGED = "('[narration] ' || left(text, 300) || ' [end')"
+_TAGGED = "('[narration] ' || text || ' [end')"
 
 
 def _tagged(c):
-    return F.concat(F.lit("[narration] "), F.left(c, F.lit(300)), F.lit(" [end"))
+    return F.concat(F.lit("[narration] "), c, F.lit(" [end"))
 
 
 @query("strip_tags", f"SELECT doc_id, {_squeezed(f'''regexp_replace({_TAGGED}, '\\[[^\\]\\[]*\\]', '', 'g')''')} AS plain FROM documents")
@@ -196,7 +204,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", S.first_int(F.concat("p_name", "p_brand")).alias("n"))
 
 
-@query("alpha_token", "SELECT o_orderkey, chr((97 + o_orderkey // 17576 % 26)::INT) || chr((97 + o_orderkey // 676 % 26)::INT) || chr((97 + o_orderkey // 26 % 26)::INT) || chr((97 + o_orderkey % 26)::INT) AS token FROM orders WHERE o_orderkey < 456976")
+_POWERS = ", ".join(str(26**k) for k in range(13, -1, -1))
+
+
+@query("alpha_token", f"SELECT o_orderkey, right(t, greatest(4, length(ltrim(t, 'a')))::INT) AS token FROM (SELECT o_orderkey, array_to_string(list_transform([{_POWERS}]::BIGINT[], lambda p: chr((97 + o_orderkey // p % 26)::INT)), '') AS t FROM orders)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", S.alpha_token(F.col("o_orderkey")).alias("token"))
 
@@ -311,8 +322,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fuzzy_score")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    t = _docs(spark, d).select("doc_id", X.norm_text(F.left("text", F.lit(60))).alias("a"), X.norm_text(F.substring("text", 11, 40)).alias("b"))
-    return t.select("doc_id", fuzzy.best_score_col("a", "b").alias("score"))
+    """Every turn's whole text against that of the turn before it."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", X.norm_text("text").alias("a"), X.norm_text(F.coalesce(before, F.lit(""))).alias("b"))
+    return t.select("conv_id", "turn", fuzzy.best_score_col("a", "b").alias("score"))
 
 
 def _alignment(spark: SparkSession, d: str) -> DataFrame:

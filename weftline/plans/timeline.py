@@ -157,13 +157,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "join_priority_keys",
-    """WITH s AS (SELECT s_suppkey, s_nationkey AS k1, s_suppkey % 25 AS k2 FROM supplier WHERE s_suppkey % 3 <> 0),
+    """WITH s AS (SELECT s_suppkey, s_nationkey AS k1, s_suppkey % 25 AS k2 FROM supplier),
     a AS (SELECT k1, arg_min(s_suppkey, s_suppkey) AS v FROM s GROUP BY k1), b AS (SELECT k2, min(s_suppkey) AS v FROM s GROUP BY k2)
     SELECT c_custkey, coalesce(a.v, b.v) AS s_suppkey, CASE WHEN a.v IS NOT NULL THEN 'first' WHEN b.v IS NOT NULL THEN 'second' END AS matched_by
     FROM (SELECT c_custkey, c_custkey % 40 AS k1, c_custkey % 31 AS k2 FROM customer) c LEFT JOIN a USING (k1) LEFT JOIN b USING (k2)""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    right = table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("k1"), (F.col("s_suppkey") % 25).alias("k2"))
+    right = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("k1"), (F.col("s_suppkey") % 25).alias("k2"))
     left = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 40).alias("k1"), (F.col("c_custkey") % 31).alias("k2"))
     return J.join_two_keys(left, right, "k1", "k2", ["s_suppkey"], ["s_suppkey"]).select("c_custkey", "s_suppkey", "matched_by")
 
@@ -215,14 +215,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "nearest_match",
-    f"""WITH {IV}, l AS (SELECT user_id, event_id, event_type, st FROM iv WHERE event_id % 4 = 0), r AS (SELECT user_id, event_id AS rid, event_type, st AS t FROM iv WHERE event_id % 4 = 1),
+    f"""WITH {IV}, l AS (SELECT user_id, event_id, event_type, st FROM iv WHERE event_id % 4 = 0), r AS (SELECT user_id, event_id AS rid, event_type, st AS t FROM iv WHERE event_id % 4 <> 0),
     j AS (SELECT l.*, rid, abs(t - st) AS distance, row_number() OVER (PARTITION BY l.event_id ORDER BY (r.event_type = l.event_type) DESC, abs(t - st), t, rid) AS k FROM l LEFT JOIN r USING (user_id))
     SELECT event_id, rid AS nearest_id, distance FROM j WHERE k = 1""".replace("LEFT JOIN r USING (user_id)", "LEFT JOIN r ON l.user_id = r.user_id"),
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = intervals(spark, d)
     left = e.where("event_id % 4 = 0").select("user_id", "event_id", "event_type", "st")
-    right = e.where("event_id % 4 = 1").select("user_id", F.col("event_id").alias("rid"), "event_type", F.col("st").alias("at"))
+    right = e.where("event_id % 4 <> 0").select("user_id", F.col("event_id").alias("rid"), "event_type", F.col("st").alias("at"))
     return J.nearest(left, right, ["user_id"], ["event_id"], "st", "at", "rid", ("event_type", "event_type")).select("event_id", "nearest_id", "distance")
 
 
