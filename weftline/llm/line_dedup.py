@@ -30,7 +30,6 @@ from .common import cut, drop, free_names, split_words
 COUNTER_BITS = 18
 #: Bits of the table that tells which lines take part in a candidate pair (by hash).
 _MARKS = 1 << 20
-_SPACE = " \t\r\x0b\x0c"
 #: Classes that have a candidate, of which at most so many are sent to every task.
 _SENT = 500_000
 #: Prefix words under which sets are verified where they meet.
@@ -38,12 +37,8 @@ _VERIFY_KEYS = 2
 
 
 def _tokens(line):
-    """64-bit hashes of a line's words; repeated ones and that of an empty string are still there."""
-    return F.transform(split_words(F.lower(line)), lambda x: F.xxhash64(x))
-
-
-def _distinct(toks):
-    return F.array_distinct(F.array_remove(toks, F.xxhash64(F.lit(""))))
+    """Distinct 64-bit hashes of the words of a lower-cased line."""
+    return F.array_distinct(F.array_remove(F.transform(split_words(line), lambda x: F.xxhash64(x)), F.xxhash64(F.lit(""))))
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
@@ -60,7 +55,7 @@ def rarity(docs: DataFrame, text_col: str, bits: int = COUNTER_BITS):
     and goes into the plan as an array.
     """
     slot = lambda h: h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-    each = docs.select(F.explode(split_words(F.lower(F.col(text_col)))).alias("w"))
+    each = docs.select(F.lower(F.col(text_col)).alias("t")).select(F.explode(split_words(F.col("t"))).alias("w"))
     by = each.groupBy(slot(F.xxhash64("w")).alias("at")).agg(F.count("*").alias("c"))
     ranks = _packed(by.select("at", F.least(F.lit(127), F.floor(3 * F.log2(F.col("c")))).cast("long").alias("w")), 1 << bits)
     table = F.split(F.lit(ranks.select(F.array_join(F.col("all").cast("array<string>"), ",")).first()[0]), ",").cast("array<tinyint>")
@@ -70,7 +65,7 @@ def rarity(docs: DataFrame, text_col: str, bits: int = COUNTER_BITS):
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     each = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("pos", "line"))
-    return each.where(F.col("id").isNotNull() & (F.btrim("line", F.lit(_SPACE)) != ""))
+    return each.where("id is not null")
 
 
 def _rank():
@@ -127,11 +122,13 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     name, first = ["k1", "k2", "n"], ["doc", "line"]
     rarest = rarity(docs, text_col, bits)
-    lines = _lines(docs, id_col, text_col).select("id", "pos", F.transform(_distinct(_tokens(F.col("line"))), rarest).alias("keys"))
-    lines = lines.select("id", "pos", F.sort_array("keys").alias("keys"), F.size("keys").alias("n"))
+    # what is used more than once stands in a step of its own, or each use would work it out again
+    lines = _lines(docs, id_col, text_col).withColumn("line", F.lower("line"))
+    lines = lines.select("id", "pos", F.sort_array(F.transform(_tokens(F.col("line")), rarest)).alias("keys")).select("*", F.size("keys").alias("n"))
     prefix = F.slice("keys", F.lit(1), F.col("n") - _need(F.col("n"), percent) + 1)
     short = F.transform(prefix, lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))  # to meet on, 31 bits are enough: a pair too many is verified in vain
-    lines = cut(lines.select("id", "pos", "n", F.xxhash64("keys").alias("k1"), F.xxhash64(F.lit(7), "keys").alias("k2"), _parities(F.col("keys")).alias("parity"), short.alias("prefix")))
+    written = cut(lines.select("id", "pos", "n", F.xxhash64("keys").alias("k1"), F.xxhash64(F.lit(7), "keys").alias("k2"), _parities(F.col("keys")).alias("parity"), short.alias("prefix")))
+    lines = written.where("n > 0")  # blank ones have no set
     classes = lines.groupBy(*name).agg(F.min(_rank()).alias("at"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
     at = F.pmod("at", F.lit(10**10).cast("decimal(11,0)"))
     classes = cut(classes.select(*name, ((F.col("at") - at) / F.lit(10**10).cast("decimal(11,0)")).cast("long").alias("doc"), at.cast("int").alias("line"), "parity", "prefix"))
@@ -148,12 +145,9 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     marks = _packed(active.groupBy(F.shiftright(mark, 6).alias("at")).agg(F.bit_or(bit).alias("w")), _MARKS // 64)
     seen = _lines(docs, id_col, text_col).select(F.col("id").alias("doc"), F.col("pos").alias("line"), F.col("line").alias("text"))
     seen = seen.where(F.get(marks.scalar(), F.shiftright(mark, 6).cast("int")).bitwiseAND(bit) != 0)
-    toks = F.col("toks")
-    sets = seen.join(active, first).select(*active.columns, _distinct(_tokens(F.col("text"))).alias("toks"))
+    found = cut(seen.join(active, first).withColumn("text", F.lower("text")).select(*active.columns, _tokens(F.col("text")).alias("toks")))
     # where rows repeat an id, of the lines of one number that which names the class
-    sets = sets.where((F.size("toks") == F.col("n")) & (_parities(toks) == F.col("parity")))
-    more = [_parities(toks, j).alias(f"parity{j}") for j in range(4)]
-    sets = cut(sets.select("*", *more))
+    sets = found.where((F.size("toks") == F.col("n")) & (_parities(F.col("toks")) == F.col("parity")))
     # a verified earlier match under one of a few prefix words, the same for sets alike: least by hash
     few = F.slice(F.array_sort(F.transform("prefix", lambda x: F.xxhash64(x))), 1, _VERIFY_KEYS)
     keyed = sets.select(*name, *first, "parity", "toks", F.explode(few).alias("key"))
@@ -163,7 +157,8 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     late = cut(late)
     # the others with every candidate
     wide = tuple(f"parity{j}" for j in range(4))
-    entry = sets.join(late.withColumn("late", F.lit(True)), name, "left").select(*name, *first, *wide, "late", F.posexplode("prefix").alias("at", "key"))
+    entry = sets.select(*name, *first, "prefix", *[_parities(F.col("toks"), j).alias(c) for j, c in enumerate(wide)])
+    entry = entry.join(late.withColumn("late", F.lit(True)), name, "left").select(*name, *first, *wide, "late", F.posexplode("prefix").alias("at", "key"))
     x, y = _side(entry.where("late is null").drop("late"), "a"), _side(entry.drop("late"), "b")
     pairs = x.join(y, (x["key"] == y["key"]) & earlier & _candidate(percent, wide))
     pairs = pairs.select(*[f"{c}_{end}" for end in "ab" for c in name]).distinct()
@@ -174,7 +169,7 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     status = classes.select(*name, *first).join(late.withColumn("late", F.lit(True)), name, "left")
     out = lines.select("id", "pos", *name).join(status, name).where(F.coalesce("late", F.lit(False)) | (F.col("id") != F.col("doc")) | (F.col("pos") != F.col("line")))
     out = cut(out.select("id", "pos"))
-    drop(lines, classes, active, marks, sets, late)
+    drop(written, classes, active, marks, found, late)
     return out
 
 
