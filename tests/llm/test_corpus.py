@@ -240,6 +240,15 @@ def test_page_differencing_takes_shared_open_lines(spark):
     assert got[4] == got[5]
 
 
+def test_copies_and_teasers_keep_their_lines(spark):
+    page = "<body><div>Site name</div><div>{}</div><div>Read more</div></body>"
+    rows = [(1, "http://h/a", page.format("one")), (2, "http://h/a?p=2", page.format("one")), (3, "http://h/a/3", page.format("one")), (4, "http://h/b", page.format("two")), (5, "http://x/a", page.format("one")), (6, "http://x/a?p=2", page.format("one"))]
+    rows += [(7, "http://y/", "<main>real text</main><article class='card'>teaser</article>")]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "one", 2: "one", 3: "one", 4: "two", 5: "Site name\none\nRead more", 6: "Site name\none\nRead more", 7: "real text\nteaser"}
+    assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(300):
