@@ -325,6 +325,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     """Every turn's whole text against that of the turn before it."""
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     t = table(spark, d, "conversations").select("conv_id", "turn", X.norm_text("text").alias("a"), X.norm_text(F.coalesce(before, F.lit(""))).alias("b"))
+    t = t.repartition(2 * spark.sparkContext.defaultParallelism, "conv_id", "turn")  # few bytes, much work
     return t.select("conv_id", "turn", fuzzy.best_score_col("a", "b").alias("score"))
 
 
