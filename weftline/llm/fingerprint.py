@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, split_words
+from .common import cut, drop, split_words
 
 IDENTITY, LIKENESS = 16, 256
 _ID_MOD = 31
@@ -213,8 +213,9 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     last, carry = F.col("grp") == _GROUPS, [*nxt, *carry]
     sums = [_sum(k, F.col("kind") != unlike).alias(f"{c}{k}") for c, unlike in (("t", 2), ("e", 1)) for k in range(_SUMS)]
     lanes = cut(each.groupBy(*key, "grp").agg(*sums, *[F.max(F.when(last, F.col(c))).alias(c) for c in carry]))
-    whole = lanes.groupBy(*key).agg(*[F.max(c).alias(c) for c in carry], _packed("t").alias("t"), _packed("e").alias("e"))
-    after = lanes.groupBy(*key).agg(_packed("t").alias("x")).select(F.col("id").alias("next_id"), F.col("row").alias("next_row"), "x")
+    whole = cut(lanes.groupBy(*key).agg(*[F.max(c).alias(c) for c in carry], _packed("t").alias("t"), _packed("e").alias("e")))
+    drop(lanes)
+    after = whole.select(F.col("id").alias("next_id"), F.col("row").alias("next_row"), F.col("t").alias("x"))
     # the squares of likeness(), summed over rows, which is generated code; both joins are on one exchange of `whole`
     pair = F.explode(F.arrays_zip(*[F.slice(c, 1, _PAIRS).alias(c) for c in "tex"])).alias("p")
     flag = lambda c: F.col("t") == F.col(c)
