@@ -137,3 +137,49 @@ def test_caption_rows_keep_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, 0, long), (1, 1, "a  b\nc")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = [(r.pos, r.text) for r in registry.QUERIES["caption_rows"](spark, str(tmp_path)).orderBy("pos").collect()]
     assert got == [(0, long), (1, "a b c")]
+
+
+def test_nearest_exclusive(spark):
+    """Against a plain loop over all free rows, with ties, names that run out, nulls and keys on one side only."""
+    import random
+
+    draw = random.Random(3)
+    left = [(k % 3, k, draw.choice([None, *range(12)]) if k % 5 == 0 else draw.randrange(12), draw.choice(["a", "b", None])) for k in range(60)] + [(7, 99, 1, "a")]
+    right = [(k % 3, 100 + k, draw.choice([None, *range(12)]) if k % 7 == 0 else draw.randrange(12), draw.choice(["a", "c", None])) for k in range(45)] + [(8, 999, 1, "a")]
+    want, used = [], set()
+    for key, i, t, word in sorted(left, key=lambda x: (x[2] is None, x[2] or 0, x[1])):
+        free = [(abs(u - t), u, j, v) for (k, j, u, v) in right if t is not None and u is not None and k == key and j not in used]
+        best = min([x for x in free if x[3] == word and word is not None] or free, default=None)
+        if best:
+            used.add(best[2])
+        want.append((key, i, best and best[2], best and best[0]))
+    l = spark.createDataFrame(left, "k int, i bigint, t bigint, w string")
+    r = spark.createDataFrame(right, "k int, j bigint, u bigint, w string")
+    assert rows(J.nearest_exclusive(l, r, ["k"], "i", "t", "u", "j", "w")) == sorted(want, key=repr)
+    assert rows(J.nearest_exclusive(l.limit(0), r, ["k"], "i", "t", "u", "j", "w")) == []
+
+
+def test_file_selection(spark):
+    f = [("w", "A.txt", 1, 1), ("w", "b.srt", 9, 1), ("s", "a.vtt", 1, 1), ("s", "a.txt", 2, 1), ("m", "x.txt", 1, 1), ("m", "x copy.txt", 2, 1), ("n", "x.txt", 1, 1), ("n", "x copy.txt", 2, 1), ("n", "y.txt", 1, 1), ("v", "roll.txt", 1, 1), ("v", "Roll.TXT", 5, 1)]
+    ask = {"w": ("B.SRT", None), "s": (" A ", None), "m": ("zzz", "x.txt"), "n": (None, "zzz"), "v": ("", "roll.txt")}
+    df = spark.createDataFrame([(*x, *ask[x[0]]) for x in f], "dir string, file_name string, mtime int, size int, wanted string, auto string")
+    got = rows(D.select_named(df, ["dir"], "wanted", "auto", ["file_name"]).select("dir", "file_name"))
+    assert got == sorted([("w", "b.srt"), ("s", "a.txt"), ("m", "x.txt"), ("m", "x copy.txt"), ("n", "x copy.txt"), ("n", "y.txt"), ("v", "Roll.TXT")], key=repr)
+    one_ = D.locate_first(df, ["dir"], F.lit("b.srt"), [S.natural_key(F.col("file_name"))]).select("dir", "file_name")
+    assert ("w", "b.srt") in rows(one_) and one_.count() == 5
+
+
+def test_pins(spark):
+    lines = spark.createDataFrame([("a==1",), (" b == 2 == 3 ",), ("# c==1",), ("  ",)], "line string")
+    pins = D.parse_pins(lines).select("package", "version")
+    assert rows(pins) == [("a", "1"), ("b", "2 == 3")]
+    assert rows(D.pin_mismatches(pins, spark.createDataFrame([("b", "4")], "package string, version string")).select("mismatch")) == [("a==1 (missing)",), ("b==2 == 3 (installed: 4)",)]
+    with pytest.raises(Exception, match="not an exact pin: c>=1"):
+        D.parse_pins(spark.createDataFrame([("c>=1",)], "line string")).collect()
+
+
+def test_spanning_and_elapsed(spark):
+    df = spark.createDataFrame([(1, 1), (1, None), (2, 1), (2, 3), (3, None)], "k int, v int")
+    assert rows(D.spanning(df, ["k"], "v")) == [(1, False), (2, True), (3, False)]
+    m = spark.createDataFrame([([(5,), (6,), (9,)],), ([(5,)],), (None,)], "m array<struct<ts: int>>")
+    assert [r[0] for r in m.select(D.elapsed_between(F.col("m"))).collect()] == [4, None, None]

@@ -78,6 +78,61 @@ def dedupe_copies(files: DataFrame, by: list[str]) -> DataFrame:
     return df.where("not _any or _n = 1").drop("_stem", "_marked", "_rank", "_any", "_n")
 
 
+def select_named(files: DataFrame, by: list[str], wanted: str, auto: str, order: list) -> DataFrame:
+    """The files to read of each group, by the columns ``wanted`` and ``auto``, which hold names and are the same throughout a group.
+
+    A wanted name selects the first file in ``order`` of that name, else of
+    that stem, in any case of letters; where neither is there, all files stay.
+    Without one (null or blank), the best file named ``auto`` is taken, or
+    copy variants are dropped as by :func:`dedupe_copies`.
+    """
+    name, stem = F.lower("file_name"), F.lower(F.regexp_replace("file_name", r"\.[^.]*$", ""))
+    w = F.lower(F.trim(F.col(wanted)))
+    group = Window.partitionBy(*by)
+    given = F.coalesce(w != "", F.lit(False))
+    level = F.when(given, F.when(name == w, 0).when(stem == w, 1)).when(name == F.lower(F.trim(F.col(auto))), 0)
+    ext = F.lower(F.regexp_extract("file_name", r"\.([^.]*)$", 1))
+    rank = F.when(ext == "txt", 3).when(ext == "srt", 2).when(ext == "vtt", 1).otherwise(0)
+    best = F.when(given, F.lit(0)).otherwise(F.col("mtime"))
+    df = files.withColumns({"_given": given, "_level": level, "_found": F.min(level).over(group)})
+    first = group.orderBy(F.asc_nulls_last("_level"), F.desc(best), F.when(F.col("_given"), 0).otherwise(F.col("size")).desc(), F.when(F.col("_given"), 0).otherwise(rank).desc(), *order)
+    df = df.withColumn("_place", F.row_number().over(first))
+    plain = dedupe_copies(df.where("_found is null and not _given"), by)
+    return df.where("(_found is not null and _place = 1) or (_found is null and _given)").unionByName(plain).drop("_given", "_level", "_found", "_place")
+
+
+def locate_first(files: DataFrame, by: list[str], exact: Column, order: list) -> DataFrame:
+    """One file of each group: that of the exact name, else the first in ``order``."""
+    return first_per(files, by, [F.coalesce(F.col("file_name") == exact, F.lit(False)).desc(), *order])
+
+
+def parse_pins(lines: DataFrame, line: str = "line") -> DataFrame:
+    """``package`` and ``version`` of every line ``name==version``; blank lines and those that begin with # go, any other raises."""
+    t = F.trim(F.col(line))
+    rows = lines.where((t != "") & ~t.startswith("#"))
+    at = F.instr(t, "==")
+    name = F.when(at == 0, F.raise_error(F.concat(F.lit("not an exact pin: "), t))).otherwise(F.trim(F.substring(t, F.lit(1), at - 1)))
+    return rows.withColumns({"package": name, "version": F.trim(F.substring(t, at + 2, F.length(t)))})
+
+
+def pin_mismatches(pins: DataFrame, installed: DataFrame) -> DataFrame:
+    """Pins (package, version) that ``installed`` (package, version) does not meet, each with a text that says how."""
+    have = installed.select(F.col("package").alias("_package"), F.col("version").alias("_version"))
+    j = pins.join(have, F.col("package") == F.col("_package"), "left").where("_package is null or not version <=> _version")
+    how = F.when(F.col("_package").isNull(), "missing").otherwise(F.concat(F.lit("installed: "), F.coalesce("_version", F.lit("none"))))
+    return j.withColumn("mismatch", F.concat("package", F.lit("=="), "version", F.lit(" ("), how, F.lit(")"))).drop("_package", "_version")
+
+
+def spanning(df: DataFrame, by: list[str], value: str, into: str = "spans") -> DataFrame:
+    """Whether a group's rows have more than one value; nulls do not count."""
+    return df.groupBy(*by).agg((F.coalesce(F.min(value) != F.max(value), F.lit(False))).alias(into))
+
+
+def elapsed_between(messages, first: int = 0, last: int = 2, field: str = "ts"):
+    """Difference of a field between two messages of an array, by their places from 0; null where either is not there."""
+    return F.get(messages, last)[field] - F.get(messages, first)[field]
+
+
 def validate(df: DataFrame, reasons: dict[str, Column], into: str = "reasons") -> DataFrame:
     """Names of the checks that fail, in order, and ``ok`` where there are none."""
     failed = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in reasons.items()]))

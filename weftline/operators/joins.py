@@ -97,6 +97,81 @@ def containing_else_before(points: DataFrame, spans: DataFrame, by: list[str], a
     return out.select(*points.columns, F.coalesce("_in", "_before").alias("span_id"), F.when(F.col("_in").isNotNull(), "inside").when(F.col("_before").isNotNull(), "before").otherwise("none").alias("how"))
 
 
+def nearest_exclusive(left: DataFrame, right: DataFrame, by: list[str], left_id: str, at: str, other: str, right_id: str, name: str) -> DataFrame:
+    """The nearest right row of the key, each of them taken once: (by, left_id, right_id, distance).
+
+    Left rows choose in the order of (at, left_id). A free row of the same
+    ``name`` goes first, then any free one; of two at one distance the
+    earlier, then the smaller id. Left rows that find none get nulls. Whole
+    numbers only. A choice depends on all before it, so a key is one task,
+    which holds its rows' times, ids and names. Rows of a null time find
+    nothing; rows of a null key are a key of their own.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(left.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], f"`{left_id}` {kinds[left_id]}", f"`{right_id}` {dict(right.dtypes)[right_id]}", "distance bigint"])
+
+    class Free:
+        """Places in a list sorted by time, of which the nearest free one is found by links over those taken."""
+
+        def __init__(self, times):
+            self.times, n = times, len(times)
+            self.ahead, self.back = list(range(n + 1)), list(range(n + 1))  # back: place + 1, 0 for none
+
+        def _go(self, to: list, k: int) -> int:
+            path = []
+            while to[k] != k:
+                path.append(k)
+                k = to[k]
+            for p in path:
+                to[p] = k
+            return k
+
+        def take(self, k: int) -> None:
+            self.ahead[k], self.back[k + 1] = k + 1, k
+
+        def nearest(self, t: int) -> int | None:
+            after = self._go(self.ahead, int(np.searchsorted(self.times, t)))
+            before = self._go(self.back, int(np.searchsorted(self.times, t))) - 1
+            if before >= 0 and (after == len(self.times) or t - self.times[before] <= self.times[after] - t):
+                # the smallest id of its instant that is free
+                return self._go(self.ahead, int(np.searchsorted(self.times, self.times[before])))
+            return after if after < len(self.times) else None
+
+    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        r = r.dropna(subset=["_at"]).sort_values(["_at", "_rid"], ignore_index=True)
+        times, ids = r["_at"].to_numpy(np.int64), r["_rid"].to_numpy()
+        every, own, place = Free(times), {}, {}
+        for word, g in r.groupby("_name", sort=False):
+            own[word] = Free(times[g.index]), g.index.to_numpy()
+            place.update({int(k): (word, j) for j, k in enumerate(g.index)})
+        l = l.sort_values([at, left_id], ignore_index=True)
+        found, apart = [], []
+        for t, word in zip(l[at], l[name]):
+            k = None
+            if not pd.isna(t):
+                if word in own and (j := own[word][0].nearest(int(t))) is not None:
+                    k = int(own[word][1][j])
+                else:
+                    k = every.nearest(int(t))
+            found.append(None if k is None else ids[k])
+            apart.append(None if k is None else abs(int(times[k]) - int(t)))
+            if k is not None:
+                every.take(k)
+                if k in place:
+                    own[place[k][0]][0].take(place[k][1])
+        out = l[[*by, left_id]].copy()
+        out[right_id], out["distance"] = pd.array(found, dtype="object"), pd.array(apart, dtype="Int64")
+        return out
+
+    l = left.select(*by, left_id, at, name)
+    # names of their own: both sides may come from one table
+    r = right.select(*[F.col(c).alias(f"_r_{c}") for c in by], F.col(right_id).alias("_rid"), F.col(other).alias("_at"), F.col(name).alias("_name"))
+    return l.groupBy(*by).cogroup(r.groupBy(*[f"_r_{c}" for c in by])).applyInPandas(run, schema)
+
+
 def dominant_overlap(spans: DataFrame, items: DataFrame, by: list[str], span_id: str, start: str, end: str, item: str, i_start: str, i_end: str, width: int) -> DataFrame:
     """Per span the item value with the largest sum of overlaps (the smaller value on a tie); spans without any are left out."""
     a = spans.select(*by, span_id, F.col(start).alias("_s"), F.col(end).alias("_e")).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_s") / F.lit(width)), F.floor(F.greatest("_s", "_e") / F.lit(width)))))

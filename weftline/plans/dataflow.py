@@ -128,6 +128,75 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return D.union_first_wins([used, plain], ["dir", "file_name"], ["doc_id"]).select("dir", "file_name", "doc_id", "used")
 
 
+_NAMED = """n AS (SELECT *, doc_id % 7 AS part, CASE doc_id % 7 WHEN 0 THEN 'PART_1.srt ' WHEN 1 THEN 'Part_2' WHEN 2 THEN 'nothing.txt' WHEN 3 THEN ' ' END AS wanted,
+    CASE doc_id % 7 WHEN 3 THEN 'part_8.txt' WHEN 4 THEN 'part_16.txt' END AS auto FROM f)"""
+
+
+@query(
+    "select_named",
+    f"""WITH {_FILES}, {_NAMED},
+    m AS (SELECT *, lower(regexp_replace(file_name, '\\.[^.]*$', '')) AS stem, lower(regexp_extract(file_name, '\\.([^.]*)$', 1)) AS ext, coalesce(lower(trim(wanted)), '') AS w FROM n),
+    v AS (SELECT *, CASE WHEN w <> '' THEN CASE WHEN lower(file_name) = w THEN 0 WHEN stem = w THEN 1 END WHEN lower(file_name) = auto THEN 0 END AS lv,
+      CASE ext WHEN 'txt' THEN 3 WHEN 'srt' THEN 2 WHEN 'vtt' THEN 1 ELSE 0 END AS r,
+      trim(regexp_replace(trim(stem), '[\\s._-]*(copy|копия)(\\s*\\(\\d+\\)|\\s*\\d+)?$', '')) AS base, regexp_matches(trim(stem), '[\\s._-]*(copy|копия)(\\s*\\(\\d+\\)|\\s*\\d+)?$') AS marked FROM m),
+    x AS (SELECT *, min(lv) OVER (PARTITION BY dir, part) AS found, bool_or(marked) OVER (PARTITION BY dir, part, base) AS has_copy,
+      row_number() OVER (PARTITION BY dir, part ORDER BY lv NULLS LAST, CASE WHEN w = '' THEN mtime END DESC, CASE WHEN w = '' THEN size END DESC, doc_id) AS k,
+      row_number() OVER (PARTITION BY dir, part, base ORDER BY mtime DESC, size DESC, r DESC, lower(file_name) DESC) AS kc FROM v)
+    SELECT dir, part, doc_id, file_name FROM x WHERE CASE WHEN found IS NOT NULL THEN k = 1 WHEN w <> '' THEN true ELSE NOT has_copy OR kc = 1 END""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    part = F.col("doc_id") % 7
+    wanted = F.when(part == 0, "PART_1.srt ").when(part == 1, "Part_2").when(part == 2, "nothing.txt").when(part == 3, " ")
+    auto = F.when(part == 3, "part_8.txt").when(part == 4, "part_16.txt")
+    f = _files(spark, d).withColumns({"part": part, "wanted": wanted, "auto": auto})
+    return D.select_named(f, ["dir", "part"], "wanted", "auto", ["doc_id"]).select("dir", "part", "doc_id", "file_name")
+
+
+@query(
+    "locate_transcript",
+    """WITH t AS (SELECT source, lang, doc_id, CASE WHEN doc_id % 11 = 0 THEN lang ELSE 'take' || (doc_id * 7919 % 1000) END || '_transcript.json' AS file_name FROM documents)
+    SELECT source, lang, doc_id, file_name FROM t
+    QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY coalesce(file_name = lang || '_transcript.json', false) DESC, TRY_CAST(regexp_extract(file_name, '([0-9]+)', 1) AS BIGINT), doc_id) = 1""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    name = F.concat(F.when(i % 11 == 0, F.col("lang")).otherwise(F.concat(F.lit("take"), (i * 7919 % 1000).cast("string"))), F.lit("_transcript.json"))
+    t = table(spark, d, "documents").select("source", "lang", "doc_id", name.alias("file_name"))
+    exact = F.concat("lang", F.lit("_transcript.json"))
+    return D.locate_first(t, ["source", "lang"], exact, [S.natural_key(F.col("file_name")), "doc_id"]).select("source", "lang", "doc_id", "file_name")
+
+
+@query(
+    "pin_mismatches",
+    """SELECT 'p' || p_partkey AS package, p_size::VARCHAR AS version, 'p' || p_partkey || '==' || p_size || CASE WHEN p_partkey % 3 = 0 THEN ' (missing)' ELSE ' (installed: ' || (p_size + 1) || ')' END AS mismatch
+    FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 3 <> 1""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    k, name = F.col("p_partkey"), F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    line = F.when(k % 10 == 0, "  # a remark").when(k % 5 == 0, " ").otherwise(F.concat(F.lit(" "), name, F.lit(" == "), F.col("p_size").cast("string")))
+    installed = p.where(k % 3 != 0).select(name.alias("package"), (F.col("p_size") + F.when(k % 3 == 2, 1).otherwise(0)).cast("string").alias("version"))
+    return D.pin_mismatches(D.parse_pins(p.select(line.alias("line"))).select("package", "version"), installed)
+
+
+@query("span_warning", "SELECT l_orderkey, count(DISTINCT CASE WHEN l_linenumber % 4 > 0 THEN l_returnflag END) > 1 AS spans FROM lineitem GROUP BY l_orderkey")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") % 4 > 0, F.col("l_returnflag")).alias("flag"))
+    return D.spanning(l, ["l_orderkey"], "flag")
+
+
+@query(
+    "message_elapsed",
+    """WITH m AS (SELECT conv_id, list(turn * turn * 1000 + conv_id % 700 ORDER BY turn) AS ts FROM conversations GROUP BY conv_id)
+    SELECT round_even(avg(ts[3] - ts[1]), 0)::BIGINT AS avg_ms, count(ts[3] - ts[1]) AS n FROM m""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    ts = (F.col("turn") * F.col("turn") * 1000 + F.col("conv_id") % 700).cast("bigint")
+    body = table(spark, d, "conversations").select("conv_id", F.struct("turn", ts.alias("ts")).alias("m")).groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list("m"))).alias("body"))
+    ms = D.elapsed_between(F.from_json("body", "array<struct<turn: bigint, ts: bigint>>"))
+    return body.select(ms.alias("ms")).agg(F.bround(F.avg("ms")).cast("bigint").alias("avg_ms"), F.count("ms").alias("n"))
+
+
 @query(
     "dedupe_copy_variants",
     f"""WITH {_FILES}, s AS (SELECT *, lower(trim(regexp_replace(file_name, '\\.[^.]*$', ''))) AS stem, lower(regexp_extract(file_name, '\\.([^.]*)$', 1)) AS ext FROM f),

@@ -317,6 +317,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("conv_id", "turn", "role", "text")
 
 
+@query("sink_progress", "SELECT count(*) AS items, count(DISTINCT conv_id) AS files FROM conversations")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A transcript with its progress beside it; what the progress says, read again."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-sink-")
+    c = table(spark, d, "conversations")
+    meta = c.agg(F.count("*").alias("items"), F.countDistinct("conv_id").alias("files"), F.sum("turn").alias("processed_audio_totals"))
+    return spark.read.schema("items bigint, files bigint").json(files.write_with_progress(c, meta, f"{base}/sink-{uuid.uuid4().hex}"))
+
+
 # ---- alignment --------------------------------------------------------------------------------------------
 
 

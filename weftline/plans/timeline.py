@@ -226,6 +226,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return J.nearest(left, right, ["user_id"], ["event_id"], "st", "at", "rid", ("event_type", "event_type")).select("event_id", "nearest_id", "distance")
 
 
+@query("nearest_exclusive")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    e = intervals(spark, d)
+    left = e.where("event_id % 4 = 0").select("user_id", "event_id", "event_type", "st")
+    right = e.where("event_id % 4 <> 0").select("user_id", F.col("event_id").alias("nearest_id"), "event_type", F.col("st").alias("at"))
+    return J.nearest_exclusive(left, right, ["user_id"], "event_id", "st", "at", "nearest_id", "event_type")
+
+
 @query(
     "interval_then_asof",
     f"""WITH {IV}, p AS (SELECT user_id, event_id, st AS at FROM iv WHERE event_id % 5 = 0), s AS (SELECT user_id, event_id AS sid, st, en FROM iv WHERE event_id % 5 <> 0),

@@ -103,6 +103,17 @@ def tasks_from_text(col: pd.Series) -> pd.Series:
     return col.map(one)
 
 
+def write_with_progress(df: DataFrame, meta: DataFrame, path: str) -> str:
+    """Replaces the rows at ``path``, then the meta rows in ``<path>Progress``, without running totals; returns the latter's path.
+
+    Meta is written last, so what it tells of has been committed.
+    """
+    write_idempotent(df, path)
+    side = f"{path.rstrip('/')}Progress"
+    meta.drop("processed_audio_totals").coalesce(1).write.mode("overwrite").json(side)
+    return side
+
+
 def write_idempotent(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Replaces what a path holds (only the partitions that the rows have, if partitioned); the job's commit is atomic."""
     w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
