@@ -145,9 +145,13 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     marks = _packed(active.groupBy(F.shiftright(mark, 6).alias("at")).agg(F.bit_or(bit).alias("w")), _MARKS // 64)
     seen = _lines(docs, id_col, text_col).select(F.col("id").alias("doc"), F.col("pos").alias("line"), F.col("line").alias("text"))
     seen = seen.where(F.get(marks.scalar(), F.shiftright(mark, 6).cast("int")).bitwiseAND(bit) != 0)
-    found = cut(seen.join(active, first).withColumn("text", F.lower("text")).select(*active.columns, _tokens(F.col("text")).alias("toks")))
-    # where rows repeat an id, of the lines of one number that which names the class
-    sets = found.where((F.size("toks") == F.col("n")) & (_parities(F.col("toks")) == F.col("parity")))
+    sets = seen.join(active, first).select(*active.columns, _tokens(F.lower("text")).alias("toks"))
+    wide = tuple(f"parity{j}" for j in range(4))
+    found = cut(sets.select("*", *[_parities(F.col("toks"), j).alias(c) for j, c in enumerate(wide)]))
+    # where rows repeat an id, of the lines of one number that which names the class; asked of what is written, or it would be worked out for the filter once more
+    same = F.col("parity") == F.col("parity0").bitwiseXOR(F.col("parity1")).bitwiseXOR(F.col("parity2")).bitwiseXOR(F.col("parity3"))
+    sets = found.where((F.size("toks") == F.col("n")) & same)
+    drop(active, marks)
     # a verified earlier match under one of a few prefix words, the same for sets alike: least by hash
     few = F.slice(F.array_sort(F.transform("prefix", lambda x: F.xxhash64(x))), 1, _VERIFY_KEYS)
     keyed = sets.select(*name, *first, "parity", "toks", F.explode(few).alias("key"))
@@ -156,20 +160,20 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     late = x.join(y, (x["key"] == y["key"]) & earlier & _close(percent) & _verified(percent), "left_semi").select(*[F.col(f"{c}_a").alias(c) for c in name]).distinct()
     late = cut(late)
     # the others with every candidate
-    wide = tuple(f"parity{j}" for j in range(4))
-    entry = sets.select(*name, *first, "prefix", *[_parities(F.col("toks"), j).alias(c) for j, c in enumerate(wide)])
+    entry = sets.select(*name, *first, "prefix", *wide)
     entry = entry.join(late.withColumn("late", F.lit(True)), name, "left").select(*name, *first, *wide, "late", F.posexplode("prefix").alias("at", "key"))
     x, y = _side(entry.where("late is null").drop("late"), "a"), _side(entry.drop("late"), "b")
     pairs = x.join(y, (x["key"] == y["key"]) & earlier & _candidate(percent, wide))
-    pairs = pairs.select(*[f"{c}_{end}" for end in "ab" for c in name]).distinct()
+    pairs = cut(pairs.select(*[f"{c}_{end}" for end in "ab" for c in name]).distinct())
     sa, sb = (sets.select(*[F.col(c).alias(f"{c}_{end}") for c in (*name, "toks")]) for end in "ab")
     more = pairs.join(sa, [f"{c}_a" for c in name]).join(sb, [f"{c}_b" for c in name]).where(_verified(percent)).select(*[F.col(f"{c}_a").alias(c) for c in name]).distinct()
-    late = cut(late.unionByName(more))
+    before, late = late, cut(late.unionByName(more))
+    drop(before, pairs, found)
     # classes of one line that nothing matches say nothing: what is left is joined to the lines
     status = classes.select(*name, *first).join(late.withColumn("late", F.lit(True)), name, "left")
     out = lines.select("id", "pos", *name).join(status, name).where(F.coalesce("late", F.lit(False)) | (F.col("id") != F.col("doc")) | (F.col("pos") != F.col("line")))
     out = cut(out.select("id", "pos"))
-    drop(written, classes, active, marks, found, late)
+    drop(written, classes, late)
     return out
 
 
