@@ -6,8 +6,9 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
-import pyarrow.parquet as pq
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from weftline.llm import fingerprint, mixing, queries, sharding, topk
 from weftline.llm.components import connected_components
@@ -357,10 +358,16 @@ def test_language_of_odd_rows(spark, odd):
 
 
 def test_toxicity_held_out(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    out = score_toxicity(docs, fit_toxicity(docs, labels)).join(labels, "doc_id").where((F.crc32(F.col("doc_id").cast("string")) % 4 == 2) & (F.col("lang") == "en")).collect()
-    good = sum(r.predicted == r.toxic for r in out)
-    assert good / len(out) > 0.93 and all(0 <= r.score <= 1 for r in out)
+    """Recall in every language and precision over all, on rows that are not learned from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = score_toxicity(docs, fit_toxicity(docs, labels)).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2).select("lang", "score", "predicted", "toxic").collect()
+    found, hits = defaultdict(list), [r.toxic for r in out if r.predicted]
+    for r in out:
+        if r.toxic:
+            found[r.lang].append(r.predicted)
+    assert all(0 <= r.score <= 1 for r in out) and {"de", "en", "es", "fr"} <= set(found)
+    assert all(np.mean(x) >= 0.85 for x in found.values()), {k: (sum(x), len(x)) for k, x in found.items()}
+    assert np.mean(hits) >= 0.85, (sum(hits), len(hits))
 
 
 def test_toxicity_of_odd_rows(spark, odd):
@@ -451,19 +458,92 @@ def test_next_rows_over_far_ids(spark):
     assert got == {a: b for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
 
 
-def test_pipeline(spark, sf_dir):
+def test_pipeline_stages_equal_brute_force(spark, sf_dir):
+    """Each stage against a plain version on what the stage before it kept, and run() against the stages one by one."""
     import corpus_pipeline as C
 
-    cols = spark.read.parquet(f"{sf_dir}/documents.parquet").columns
+    stages = dict(C.STAGES)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = docs
-    for name, stage in C.STAGES[:-1]:
-        out = stage(spark, before, sf_dir).cache()
-        assert sorted(out.columns) == sorted(cols), name
-        before = out
-    last = C.STAGES[-1][1](spark, before, sf_dir)
-    assert last.where("not lossless").count() == 0 and last.count() == before.count()
-    n = duckdb.sql(f"select count(*) from '{sf_dir}/documents.parquet'").fetchall()[0][0]
-    assert n == pq.read_metadata(f"{sf_dir}/documents.parquet").num_rows
-    kept = components([(r.doc_id, r.text) for r in C.STAGES[1][1](spark, C.STAGES[0][1](spark, docs, sf_dir), sf_dir).collect()], 5)
-    assert {i for i, (c, _) in kept.items() if c == i} >= {r.doc_id for r in before.collect()}
+
+    def step(name, before):
+        out = stages[name](spark, before, sf_dir).cache()
+        assert name == "sampled_pieces" or sorted(out.columns) == sorted(docs.columns)
+        return out
+
+    rows = lambda df: sorted(tuple(r[c] for c in docs.columns) for r in df.collect())
+
+    clean = step("toxicity", docs)
+    scored = score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    assert rows(clean) == rows(scored.where("score < 0.3")) and 0 < clean.count() < docs.count()
+
+    lines = step("line_dedup", clean)
+    gone = brute_lines([(r.doc_id, r.text) for r in clean.collect()])
+    want = {r.doc_id: "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in set(gone[r.doc_id])) for r in clean.collect()}
+    assert {r.doc_id: (r.text, r.n_chars) for r in lines.collect()} == {i: (t, len(t)) for i, t in want.items()}
+
+    kept = step("minhash_dedup", lines)
+    first = components([(r.doc_id, r.text) for r in lines.collect()], 5)
+    assert rows(kept) == rows(lines.where(F.col("doc_id").isin([i for i, (c, _) in first.items() if c == i])))
+
+    mixed = step("mix_sources", kept)
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([{"doc_id": r.doc_id, "text": r.text, "source": r.source} for r in kept.collect()]))
+    copies = defaultdict(int)
+    for r in mixed.collect():
+        copies[r.doc_id] += 1
+    sized = {c[0]: (c[1], c[4]) for c in con.sql(mixing.SQL).fetchall()}
+    assert set(sized) == {r.doc_id for r in kept.collect()}
+    assert all(copies[i] * size == taken for i, (size, taken) in sized.items())
+    assert set(rows(mixed)) <= set(rows(kept))
+
+    last = step("sampled_pieces", mixed)
+    assert last.where("not lossless").count() == 0
+    plain = lambda df: sorted((r.doc_id, r.text, tuple(r.pieces)) for r in df.collect())
+    assert [r[:2] for r in plain(last)] == sorted((r.doc_id, r.text) for r in mixed.collect())
+    assert plain(C.run(spark, sf_dir)) == plain(last)
+    for df in (clean, lines, kept, mixed, last):
+        df.unpersist()
+
+
+def test_pipeline_stages_of_odd_rows(spark, odd, sf_dir):
+    """Nulls, blanks, repeated rows and columns of the operators' own names go through; an empty table gives no rows."""
+    import corpus_pipeline as C
+
+    odd = odd.drop("score").withColumns({"_gone": F.lit(1), "_copy": F.lit(2), "_cell": F.lit(3)}).drop("_size")
+    for rows in (odd, odd.where("false")):
+        before = rows
+        for name, stage in C.STAGES[:-1]:
+            out = stage(spark, before, sf_dir).cache()
+            assert sorted(out.columns) == sorted(odd.columns), name
+            if name in ("toxicity", "line_dedup"):
+                assert out.count() == rows.count(), name
+            before = out
+        last = C.STAGES[-1][1](spark, before, sf_dir)
+        assert last.where("text is not null and not lossless").count() == 0 and last.count() == before.count()
+
+
+def test_language_equals_sizes_by_hand(spark, sf_dir):
+    """The query against plain compression of each text under each dictionary; where no margin is narrow, the smallest wins."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    dictionaries = fit_dictionaries(docs)
+    got = {r.doc_id: r.lang_pred for r in queries.op9_language(spark, sf_dir).collect()}
+    clear = 0
+    for r in docs.collect():
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id] == "und"
+            continue
+        raw = r.text.lower().encode()
+        level = 12 if len(raw) <= 2_000 else 1
+        raw = raw.replace(b"\n", b" ") + b" " if level == 12 else raw
+        sizes = []
+        for k in sorted(dictionaries):
+            d = zstandard.ZstdCompressionDict(dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            sizes.append((len(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False).compress(raw)), k))
+        sizes.sort()
+        if sizes[1][0] > sizes[0][0] + max(4, sizes[0][0] // 50):
+            clear += 1
+            assert got[r.doc_id] == sizes[0][1]
+        else:
+            assert got[r.doc_id] in {k for n, k in sizes if n <= sizes[0][0] + max(4, sizes[0][0] // 50)}
+    assert clear > len(got) // 2
