@@ -113,13 +113,22 @@ def test_scans_and_sinks(spark, tmp_path):
 
 
 def test_stream_replay_equals_batch(spark, sf_dir, tmp_path):
+    """All columns, after files of even ids, then of all, then of some of them once more."""
     from weftline.streaming.progress import stream_progress
 
     e = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").coalesce(1)
-    for k in range(2):
-        e.where(f"event_id % 2 = {k} or {k} = 1").write.mode("append").parquet(str(tmp_path / "in"))
-    got = rows(stream_progress(spark, str(tmp_path / "in")).select("user_id", "last_event"))
-    assert got == rows(e.groupBy("user_id").agg(F.max("event_id")))
+    for part in ("event_id % 2 = 0", "true", "event_id % 3 = 0"):
+        e.where(part).write.mode("append").parquet(str(tmp_path / "in"))
+    want = e.groupBy("user_id").agg(F.count("*").alias("rows"), F.max("event_id").alias("last_event"), F.max_by("event_type", "event_id").alias("last_type"))
+    assert rows(stream_progress(spark, str(tmp_path / "in"))) == rows(want)
+
+
+def test_stream_of_late_and_repeated_events(spark, tmp_path):
+    from weftline.streaming.progress import stream_progress
+
+    for batch in ([(1, 2, "a"), (1, 4, "b")], [(1, 1, "c"), (1, 2, "a"), (1, 3, None), (1, 4, "b"), (1, 4, "b"), (2, 7, None)], [(1, 4, "changed"), (2, None, "x")]):
+        spark.createDataFrame(batch, "user_id long, event_id long, event_type string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert rows(stream_progress(spark, str(tmp_path / "in"))) == [(1, 4, 4, "b"), (2, 1, 7, None)]
 
 
 def test_alpha_token_has_a_row_for_every_order(spark, tmp_path):

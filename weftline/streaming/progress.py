@@ -1,4 +1,4 @@
-"""Progress per key as a stream: latest status and counts, with replay of a source instead of doubling it."""
+"""Progress per key as a stream: latest status and counts; events that come again are counted once, in whatever order."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ PROGRESS = "user_id long, rows long, last_event long, last_type string"
 
 
 class ProgressState(StatefulProcessor):
-    """Rows seen, and the last event by id, of each key; an event that comes again is counted once if it is not newer."""
+    """Rows counted so far, and the last event by id, of each key; each event comes once."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("progress", "rows long, last_event long, last_type string")
@@ -20,13 +20,12 @@ class ProgressState(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  names of the interface
         import pandas as pd
 
-        n, last, kind = self.state.get() if self.state.exists() else (0, -1, None)
+        n, last, kind = self.state.get() if self.state.exists() else (0, None, None)
         for pdf in rows:
-            new = pdf[pdf.event_id > last]
-            if len(new):
-                n += int(new.event_id.nunique())
-                top = new.loc[new.event_id.idxmax()]
-                last, kind = int(top.event_id), str(top.event_type)
+            n += len(pdf)
+            top = pdf.loc[pdf.event_id.idxmax()]
+            if last is None or top.event_id > last:
+                last, kind = int(top.event_id), top.event_type
         self.state.update((n, last, kind))
         yield pd.DataFrame({"user_id": [key[0]], "rows": [n], "last_event": [last], "last_type": [kind]})
 
@@ -35,8 +34,15 @@ class ProgressState(StatefulProcessor):
 
 
 def progress_stream(events: DataFrame) -> DataFrame:
-    """A stream of (user_id, rows, last_event, last_type), updated after each batch; files must come in the order of their events."""
-    return events.groupBy("user_id").transformWithStateInPandas(ProgressState(), outputStructType=PROGRESS, outputMode="Update", timeMode="None")
+    """A stream of (user_id, rows, last_event, last_type): a row for each key that a batch brings new events of.
+
+    Events may come in any order and again, in the same batch or a later one:
+    an event is what its user and id say, and its first row counts. The ids
+    that were seen are state of their own, one entry for each event, which
+    stays on the executors' disks. Rows without an id are no events.
+    """
+    once = events.where("event_id is not null").dropDuplicates(["user_id", "event_id"])
+    return once.groupBy("user_id").transformWithStateInPandas(ProgressState(), outputStructType=PROGRESS, outputMode="Append", timeMode="None")
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, key: list[str]) -> None:
@@ -45,7 +51,7 @@ def run_to_table(spark: SparkSession, stream: DataFrame, path: str, checkpoint:
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number:08d}")  # a batch that is run again replaces itself
 
-    q = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
