@@ -192,3 +192,12 @@ def test_spanning_and_elapsed(spark):
     assert rows(D.spanning(df, ["k"], "v")) == [(1, False), (2, True), (3, False)]
     m = spark.createDataFrame([([(5,), (6,), (9,)],), ([(5,)],), (None,)], "m array<struct<ts: int>>")
     assert [r[0] for r in m.select(D.elapsed_between(F.col("m"))).collect()] == [4, None, None]
+
+
+def test_parts_merge_inside_a_chunk(spark):
+    from weftline.plans.texts import merge_text_parts
+
+    parts = [(4, 1), (9, 1), (3, 1), (12, 1), (2, 2), (2, 2), (20, 3), (1, 4), (5, None), (5, None)]
+    df = spark.createDataFrame([(parts,), ([],)], "v array<struct<n int, chunk bigint>>")
+    got = [r[0] for r in df.select(merge_text_parts(F.col("v"), 10)).collect()]
+    assert got == [[0, 0, 0, 3, 4, 4, 6, 7, 8, 8], []]

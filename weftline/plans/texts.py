@@ -150,24 +150,28 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "pos", "r.text", "r.rows")
 
 
-def merge_text_parts(sizes, least: int):
-    """For each part the carrier it is merged into: parts join while the carrier is shorter than ``least`` or they are themselves."""
-    step = lambda s, n: F.when((F.size(s["at"]) > 0) & ((s["total"] < least) | (n < least)), F.struct((s["total"] + n).alias("total"), s["carrier"].alias("carrier"), F.concat(s["at"], F.array(s["carrier"])).alias("at"))).otherwise(
-        F.struct(n.alias("total"), F.size(s["at"]).alias("carrier"), F.concat(s["at"], F.array(F.size(s["at"]))).alias("at"))
+def merge_text_parts(parts, least: int):
+    """For each part (n, chunk) the carrier it is merged into: parts of the carrier's chunk join while it is shorter than ``least`` or they are themselves."""
+    joins = lambda s, p: (F.size(s["at"]) > 0) & s["chunk"].eqNullSafe(p["chunk"]) & ((s["total"] < least) | (p["n"] < least))
+    step = lambda s, p: F.when(joins(s, p), F.struct((s["total"] + p["n"]).alias("total"), s["carrier"].alias("carrier"), s["chunk"].alias("chunk"), F.concat(s["at"], F.array(s["carrier"])).alias("at"))).otherwise(
+        F.struct(p["n"].alias("total"), F.size(s["at"]).alias("carrier"), p["chunk"].alias("chunk"), F.concat(s["at"], F.array(F.size(s["at"]))).alias("at"))
     )
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("carrier"), F.array().cast("array<int>").alias("at"))
-    return F.aggregate(sizes, start, step, lambda s: s["at"])
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("carrier"), F.lit(None).cast("bigint").alias("chunk"), F.array().cast("array<int>").alias("at"))
+    return F.aggregate(parts, start, step, lambda s: s["at"])
 
 
 @query(
     "merge_text_parts",
-    """WITH RECURSIVE p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, length(trim(text)) AS n FROM conversations),
-    r AS (SELECT conv_id, i, i AS carrier, n AS total FROM p WHERE i = 0
-      UNION ALL SELECT p.conv_id, p.i, CASE WHEN r.total < 150 OR p.n < 150 THEN r.carrier ELSE p.i END, CASE WHEN r.total < 150 OR p.n < 150 THEN r.total + p.n ELSE p.n END FROM r JOIN p ON p.conv_id = r.conv_id AND p.i = r.i + 1)
+    """WITH RECURSIVE p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, turn // 5 AS chunk, length(trim(text)) AS n FROM conversations),
+    r AS (SELECT conv_id, i, i AS carrier, chunk, n AS total FROM p WHERE i = 0
+      UNION ALL SELECT p.conv_id, p.i, CASE WHEN p.chunk = r.chunk AND (r.total < 150 OR p.n < 150) THEN r.carrier ELSE p.i END, p.chunk,
+        CASE WHEN p.chunk = r.chunk AND (r.total < 150 OR p.n < 150) THEN r.total + p.n ELSE p.n END FROM r JOIN p ON p.conv_id = r.conv_id AND p.i = r.i + 1)
     SELECT conv_id, i::BIGINT AS pos, carrier::BIGINT AS merged_into, carrier <> i AS placeholder FROM r""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    c = _turns(spark, d).select("conv_id", F.posexplode(merge_text_parts(F.transform("texts", lambda t: F.length(F.trim(t))), 150)).alias("pos", "at"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.struct(F.length(F.trim("text")).alias("n"), F.floor(F.col("turn") / 5).cast("bigint").alias("chunk")).alias("part"))
+    parts = t.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]).alias("parts"))
+    c = parts.select("conv_id", F.posexplode(merge_text_parts(F.col("parts"), 150)).alias("pos", "at"))
     return c.select("conv_id", F.col("pos").cast("bigint").alias("pos"), F.col("at").cast("bigint").alias("merged_into"), (F.col("at") != F.col("pos")).alias("placeholder"))
 
 
@@ -306,10 +310,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("sink_transcript")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Writes a transcript twice; the second write replaces the first, partition by partition."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-sink-")
+    base = files.shared_dir(spark)
     path = f"{base}/sink-{uuid.uuid4().hex}"
     c = table(spark, d, "conversations").withColumn("part", F.col("conv_id") % 4)
     for _ in range(2):
@@ -320,10 +323,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("sink_progress", "SELECT count(*) AS items, count(DISTINCT conv_id) AS files FROM conversations")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """A transcript with its progress beside it; what the progress says, read again."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-sink-")
+    base = files.shared_dir(spark)
     c = table(spark, d, "conversations")
     meta = c.agg(F.count("*").alias("items"), F.countDistinct("conv_id").alias("files"), F.sum("turn").alias("processed_audio_totals"))
     return spark.read.schema("items bigint, files bigint").json(files.write_with_progress(c, meta, f"{base}/sink-{uuid.uuid4().hex}"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,16 @@ AUDIO = (".mp3", ".wav", ".m4a", ".flac", ".ogg", ".aac", ".wma")
 TEXT = (".txt", ".srt", ".vtt")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from the session; a temporary one only in a local session where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors of a cluster need a folder that all of them share")
+        found = tempfile.mkdtemp(prefix="weftline-")
+    return found.rstrip("/")
+
+
 def list_files(spark: SparkSession, *roots: str, content: bool = False) -> DataFrame:
     """Files under the roots (rank, path, dir, file_name, stem, ext, size, mtime), without their content unless asked for."""
     out = None

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.files import shared_dir
+
 PROGRESS = "user_id long, rows long, last_event long, last_type string"
 
 
@@ -64,10 +66,7 @@ def latest_of_batches(spark: SparkSession, path: str, key: list[str]) -> DataFra
 
 def stream_progress(spark: SparkSession, source: str) -> DataFrame:
     """Runs :func:`progress_stream` over a Parquet file or folder, one file a batch, and returns the final progress."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-stream-")
-    import uuid
-
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(source).schema
     folder, name = source.rsplit("/", 1)
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
