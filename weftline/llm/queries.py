@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, mixing, sharding, topk
+from . import fim, line_dedup, minhash, mixing, periodic, secret_scan, sharding, topk
 from .common import held_out, table
 from .fingerprint import edited_fingerprints
 from .html_extract import extract_main_text
@@ -76,7 +76,27 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_shards, op4_line_dedup, op5_exact_topk, op6_mix_sources, op7_main_text, op8_sampled_pieces, op9_language, op10_fingerprints)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle forms of every document, and the texts rebuilt from them."""
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by fixed patterns and by Markov models of characters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    models = secret_scan.fit_models(secret_scan.labelled_samples(docs))
+    return secret_scan.digests(secret_scan.scan_secrets(docs, models))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words of every document, every tenth of which repeats words from some place on."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digests(periodic.periodic_runs(periodic.planted(docs)))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_shards, op4_line_dedup, op5_exact_topk, op6_mix_sources, op7_main_text, op8_sampled_pieces, op9_language, op10_fingerprints, op11_fill_in_middle, op12_secret_scan, op13_periodic_runs)}
 
 ORACLE: dict[str, str] = {
     "op1_minhash_dedup": minhash.SQL,
@@ -84,4 +104,5 @@ ORACLE: dict[str, str] = {
     "op3_shards": sharding.SQL.replace("{limit}", str(SHARD_BYTES)),
     "op5_exact_topk": topk.SQL,
     "op6_mix_sources": mixing.SQL,
+    "op11_fill_in_middle": fim.SQL,
 }
