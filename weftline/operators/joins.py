@@ -78,22 +78,60 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], left_id: list[str]
     return out.select(*left.columns, best["_rid"].alias("nearest_id"), F.abs(best["_t"] - F.col(at)).alias("distance"))
 
 
-def containing_else_before(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, span_id: str, width: int) -> DataFrame:
+def _level(length):
+    """The least k with length <= 2^k; whole numbers only."""
+    return F.when(length > 1, F.length(F.bin(length - 1))).otherwise(0)
+
+
+def _bucket(at, level):
+    return F.call_function("shiftright", at.cast("bigint"), level)
+
+
+def interval_buckets(df: DataFrame, start: str, end: str, level: str = "_level", bucket: str = "_bucket") -> DataFrame:
+    """An index of intervals: a row for each bucket that an interval reaches, two at most, however long it is.
+
+    Buckets of a level are as wide as the level's longest intervals can be (a
+    power of two). Intervals that end before they start are points at their start.
+    """
+    s, e = F.col(start), F.greatest(start, end)
+    df = df.withColumn(level, _level(e - s))
+    return df.withColumn(bucket, F.explode(F.array_distinct(F.array(_bucket(s, F.col(level)), _bucket(e, F.col(level))))))
+
+
+def _levels(df: DataFrame, start: str, end: str):
+    """The levels that a frame's intervals have, 64 at most, as a scalar."""
+    return df.agg(F.collect_set(_level(F.greatest(start, end) - F.col(start))).alias("l")).scalar()
+
+
+def probe_buckets(df: DataFrame, start: str, end: str, levels, above: int | None = None, level: str = "_level", bucket: str = "_bucket") -> DataFrame:
+    """Rows to meet an index with: those of two buckets at most for each of its levels not below the row's own (``above``: so much above it at least)."""
+    s, e = F.col(start), F.greatest(start, end)
+    own = _level(e - s) + (above or 0)
+    df = df.withColumn("_own", own).withColumn(level, F.explode(levels)).where(F.col(level) >= F.col("_own")).drop("_own")
+    return df.withColumn(bucket, F.explode(F.array_distinct(F.array(_bucket(s, F.col(level)), _bucket(e, F.col(level))))))
+
+
+def containing_else_before(points: DataFrame, spans: DataFrame, by: list[str], point_id: list[str], at: str, start: str, end: str, span_id: str) -> DataFrame:
     """The last span (by start, end, id) that contains a point, else the last that ends before it.
 
-    Spans are put in every bucket of ``width`` that they reach, so a point
-    meets those of its own bucket only; the fall-back is an as-of window.
+    ``point_id`` names the columns that tell points apart. Spans are indexed
+    by :func:`interval_buckets`, so a long one makes no more rows than a short
+    one; a point meets one bucket for each length of spans there is. The
+    fall-back is an as-of window over a key's points and ends.
     """
-    keys = [*by, "_bucket"]
-    p = points.withColumn("_pid", F.monotonically_increasing_id()).withColumn("_bucket", F.floor(F.col(at) / F.lit(width)))
+    keys = [*by, "_level", "_bucket"]
+    p = points.select(*point_id, *[c for c in by if c not in point_id], F.col(at).alias("_at"))
     s = spans.select(*by, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(span_id).alias("_sid"))
-    inside = s.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_s") / F.lit(width)), F.floor(F.greatest("_s", "_e") / F.lit(width)))))
-    hits = p.join(inside, keys).where((F.col("_s") <= F.col(at)) & (F.col(at) < F.col("_e"))).groupBy("_pid").agg(F.max_by("_sid", F.struct("_s", "_e", "_sid")).alias("_in"))
-    u = p.select("_pid", *by, F.col(at).alias("_t"), F.lit(1).alias("_is"), F.lit(None).cast(dict(spans.dtypes)[span_id]).alias("_sid"), F.lit(None).cast("bigint").alias("_s"))
-    u = u.unionByName(s.select(F.lit(None).cast("bigint").alias("_pid"), *by, F.col("_e").alias("_t"), F.lit(0).alias("_is"), "_sid", "_s"))
+    index = interval_buckets(s, "_s", "_e")
+    hits = probe_buckets(p, "_at", "_at", _levels(s, "_s", "_e")).join(index, keys).where((F.col("_s") <= F.col("_at")) & (F.col("_at") < F.col("_e")))
+    hits = hits.groupBy(*point_id).agg(F.max_by("_sid", F.struct("_s", "_e", "_sid")).alias("_in"))
+    none = lambda c, df: F.lit(None).cast(dict(df.dtypes)[c])
+    only = [c for c in point_id if c not in by]
+    u = p.select(*only, *by, F.col("_at").alias("_t"), F.lit(1).alias("_is"), none("_sid", s).alias("_sid"), none("_s", s).alias("_s"))
+    u = u.unionByName(s.select(*[none(c, p).alias(c) for c in only], *by, F.col("_e").alias("_t"), F.lit(0).alias("_is"), "_sid", "_s"))
     back = Window.partitionBy(*by).orderBy("_t", "_is", "_s", "_sid").rowsBetween(Window.unboundedPreceding, 0)
-    before = u.withColumn("_before", F.last("_sid", True).over(back)).where("_is = 1").select("_pid", "_before")
-    out = p.join(hits, "_pid", "left").join(before, "_pid", "left")
+    before = u.withColumn("_before", F.last("_sid", True).over(back)).where("_is = 1").select(*point_id, "_before")
+    out = points.join(hits, point_id, "left").join(before, point_id, "left")
     return out.select(*points.columns, F.coalesce("_in", "_before").alias("span_id"), F.when(F.col("_in").isNotNull(), "inside").when(F.col("_before").isNotNull(), "before").otherwise("none").alias("how"))
 
 
@@ -172,16 +210,39 @@ def nearest_exclusive(left: DataFrame, right: DataFrame, by: list[str], left_id:
     return l.groupBy(*by).cogroup(r.groupBy(*[f"_r_{c}" for c in by])).applyInPandas(run, schema)
 
 
-def dominant_overlap(spans: DataFrame, items: DataFrame, by: list[str], span_id: str, start: str, end: str, item: str, i_start: str, i_end: str, width: int) -> DataFrame:
-    """Per span the item value with the largest sum of overlaps (the smaller value on a tie); spans without any are left out."""
-    a = spans.select(*by, span_id, F.col(start).alias("_s"), F.col(end).alias("_e")).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_s") / F.lit(width)), F.floor(F.greatest("_s", "_e") / F.lit(width)))))
-    b = items.select(*by, item, F.col(i_start).alias("_is"), F.col(i_end).alias("_ie")).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_is") / F.lit(width)), F.floor(F.greatest("_is", "_ie") / F.lit(width)))))
+def dominant_overlap(spans: DataFrame, items: DataFrame, by: list[str], span_id: str, start: str, end: str, item: str, i_start: str, i_end: str, *, else_first_end: bool = False) -> DataFrame:
+    """Per span the item value with the largest sum of overlaps (the smaller value on a tie).
+
+    Both sides are indexed by :func:`interval_buckets`: of a pair, the longer
+    one's level is where it meets the shorter one, which reaches two buckets
+    there at most. Spans without an overlap are left out or, with
+    ``else_first_end``, have the item that ends first at their start or later,
+    with an overlap of 0 (null where none does).
+    """
+    a = spans.select(*by, span_id, F.col(start).alias("_s"), F.col(end).alias("_e"))
+    b = items.select(*by, item, F.col(i_start).alias("_is"), F.col(i_end).alias("_ie"))
+    keys = [*by, "_level", "_bucket"]
     lo, hi = F.greatest("_s", "_is"), F.least("_e", "_ie")
-    # a pair meets in several buckets and counts in the one where the overlap begins
-    j = a.join(b, [*by, "_bucket"]).where((hi > lo) & (F.floor(lo / F.lit(width)) == F.col("_bucket")))
-    sums = j.groupBy(*by, span_id, item).agg(F.sum(hi - lo).alias("overlap_ms"))
+    pairs = [
+        interval_buckets(a, "_s", "_e").join(probe_buckets(b, "_is", "_ie", _levels(a, "_s", "_e")), keys),
+        probe_buckets(a, "_s", "_e", _levels(b, "_is", "_ie"), 1).join(interval_buckets(b, "_is", "_ie"), keys),
+    ]
+    # a pair meets in two buckets at most and counts in the one where the overlap begins
+    cols = [*by, span_id, item, (hi - lo).alias("_ms")]
+    each = [j.where((hi > lo) & (_bucket(lo, F.col("_level")) == F.col("_bucket"))).select(*cols) for j in pairs]
+    sums = each[0].unionByName(each[1]).groupBy(*by, span_id, item).agg(F.sum("_ms").alias("overlap_ms"))
     w = Window.partitionBy(*by, span_id).orderBy(F.col("overlap_ms").desc(), F.col(item))
-    return sums.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    best = sums.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    if not else_first_end:
+        return best
+    # the first end not before a start: ends and starts of a key in one order, from the last
+    rest = a.join(best.select(*by, span_id), [*by, span_id], "left_anti")
+    none = lambda c, df: F.lit(None).cast(dict(df.dtypes)[c])
+    u = rest.select(*by, span_id, F.col("_s").alias("_t"), F.lit(1).alias("_is"), none(item, b).alias(item))
+    u = u.unionByName(b.select(*by, none(span_id, a).alias(span_id), F.col("_ie").alias("_t"), F.lit(0).alias("_is"), item))
+    ahead = Window.partitionBy(*by).orderBy(F.desc("_t"), "_is", F.desc(item)).rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn(item, F.last(item, True).over(ahead)).where("_is = 1").select(*by, span_id, item, F.lit(0).cast("bigint").alias("overlap_ms"))
+    return best.unionByName(u)
 
 
 def carry_forward(new: DataFrame, old: DataFrame, by: list[str], pos: str, text: str, values: list[str]) -> DataFrame:

@@ -12,7 +12,6 @@ from ..operators import joins as J
 from .registry import query
 from .tables import IV, intervals, table
 
-_BUCKET = 3_600_000
 #: Line numbers repeat within some orders; these columns put the lines in one order.
 _LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 
@@ -245,20 +244,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     e = intervals(spark, d)
     points = e.where("event_id % 5 = 0").select("user_id", "event_id", F.col("st").alias("at"))
     spans = e.where("event_id % 5 <> 0").select("user_id", F.col("event_id").alias("sid"), "st", "en")
-    return J.containing_else_before(points, spans, ["user_id"], "at", "st", "en", "sid", _BUCKET).select("event_id", "span_id", "how")
+    return J.containing_else_before(points, spans, ["user_id"], ["event_id"], "at", "st", "en", "sid").select("event_id", "span_id", "how")
 
 
 @query(
     "dominant_overlap",
     f"""WITH {IV}, a AS (SELECT user_id, event_id, st, en FROM iv WHERE event_id % 6 = 0), b AS (SELECT user_id, event_type, st AS s2, en AS e2 FROM iv WHERE event_id % 6 <> 0),
-    j AS (SELECT a.event_id, b.event_type, sum(least(en, e2) - greatest(st, s2))::BIGINT AS overlap_ms FROM a JOIN b ON a.user_id = b.user_id AND least(en, e2) > greatest(st, s2) GROUP BY ALL)
-    SELECT event_id, event_type, overlap_ms FROM j QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY overlap_ms DESC, event_type) = 1""",
+    j AS (SELECT a.event_id, b.event_type, sum(least(en, e2) - greatest(st, s2))::BIGINT AS overlap_ms FROM a JOIN b ON a.user_id = b.user_id AND least(en, e2) > greatest(st, s2) GROUP BY ALL),
+    k AS (SELECT event_id, event_type, overlap_ms FROM j QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY overlap_ms DESC, event_type) = 1),
+    n AS (SELECT a.event_id, arg_min(b.event_type, (e2, b.event_type)) AS event_type FROM a LEFT JOIN b ON a.user_id = b.user_id AND e2 >= st WHERE a.event_id NOT IN (SELECT event_id FROM k) GROUP BY a.event_id)
+    SELECT * FROM k UNION ALL SELECT event_id, event_type, 0 FROM n""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = intervals(spark, d)
     a = e.where("event_id % 6 = 0").select("user_id", "event_id", "st", "en")
     b = e.where("event_id % 6 <> 0").select("user_id", "event_type", F.col("st").alias("s2"), F.col("en").alias("e2"))
-    return J.dominant_overlap(a, b, ["user_id"], "event_id", "st", "en", "event_type", "s2", "e2", _BUCKET).select("event_id", "event_type", "overlap_ms")
+    return J.dominant_overlap(a, b, ["user_id"], "event_id", "st", "en", "event_type", "s2", "e2", else_first_end=True).select("event_id", "event_type", "overlap_ms")
 
 
 # ---- intervals --------------------------------------------------------------------------------------------
