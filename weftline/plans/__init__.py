@@ -1,3 +1,3 @@
 """Registered queries: operators applied to the test tables, each with its SQL twin."""
 
-from . import dataflow, texts, timeline  # noqa: F401  they register themselves
+from . import dataflow, state, texts, timeline  # noqa: F401  they register themselves

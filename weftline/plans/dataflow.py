@@ -39,9 +39,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return D.route(e, rules).select("event_id", "route")
 
 
-@query("split_out", "SELECT vec_id, i - 1 AS pos, embedding[i]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE label = 1)")
+@query("split_out", "SELECT vec_id, i - 1 AS pos, embedding[i]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").where("label = 1").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
     return e.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.col("x").cast("double").alias("x"))
 
 
@@ -107,16 +107,6 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.col("source").alias("dir"), name, F.col("n_chars").alias("size"), (i * 7919 % 1000).alias("mtime"))
 
 
-@query(
-    "files_ready",
-    f"""WITH {_FILES} SELECT dir, count(*) AS n, count(*) = 10 AND count(*) > 0 AS ready, array_to_string(list(file_name ORDER BY file_name), ',') AS names
-    FROM f WHERE lower(file_name) LIKE '%.txt' GROUP BY dir""",
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    n = _files(spark, d).where(F.lower(F.regexp_extract("file_name", r"(\.[^.]*)$", 1)) == ".txt").groupBy("dir").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("file_name")).alias("names"))
-    return n.select("dir", "n", ((F.col("n") == 10) & (F.col("n") > 0)).alias("ready"), F.array_join("names", ",").alias("names"))
-
-
 @query(
     "scan_texts_override",
     f"""WITH {_FILES}, u AS (SELECT *, mtime % 2 AS used FROM f WHERE lower(file_name) NOT LIKE '%.mp3')
@@ -237,11 +227,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", start.alias("start_ms"), S.first_non_null(get("$.segment_plan.selected_base_format"), F.col("event_type")).alias("format"))
 
 
-@query("ok_failed_sinks", "SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, count(*) AS n, sum(value) AS total FROM events GROUP BY 1")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return D.route(table(spark, d, "events"), [("failed", F.col("event_type") == "error")], "ok", "status").groupBy("status").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-
-
 @query(
     "b64_payload_decode",
     """SELECT doc_id, CASE WHEN mime LIKE '%png%' THEN 'png' WHEN mime LIKE '%webp%' THEN 'webp' ELSE 'jpg' END AS ext, strlen(text)::BIGINT AS n_bytes, md5(text) AS digest

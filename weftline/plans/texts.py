@@ -293,13 +293,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", X.decode_fallback(raw).alias("text"))
 
 
-@query("deep_field_harvest")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("event_id").cast("string")
-    body = F.concat(F.lit('{"a": {"textForVoiceover": "one '), i, F.lit('"}, "list": [{"b": [{"textForVoiceover": "two"}]}, 3], "textForVoiceover": {"textForVoiceover": "three"}}'))
-    return table(spark, d, "events").select("event_id", F.posexplode(files.deep_field(body, "textForVoiceover")).alias("pos", "text"))
-
-
 @query("tasks_from_b64")
 def _(spark: SparkSession, d: str) -> DataFrame:
     body = F.to_json(F.array(F.struct(F.col("url"), F.lit("top").alias("label"))))
@@ -307,28 +300,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.inline(files.tasks_from_text(raw)))
 
 
-@query("sink_transcript")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """Writes a transcript twice; the second write replaces the first, partition by partition."""
-    import uuid
-
-    base = files.shared_dir(spark)
-    path = f"{base}/sink-{uuid.uuid4().hex}"
-    c = table(spark, d, "conversations").withColumn("part", F.col("conv_id") % 4)
-    for _ in range(2):
-        files.write_idempotent(c, path, ["part"])
-    return spark.read.parquet(path).select("conv_id", "turn", "role", "text")
-
-
 @query("sink_progress", "SELECT count(*) AS items, count(DISTINCT conv_id) AS files FROM conversations")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """A transcript with its progress beside it; what the progress says, read again."""
-    import uuid
-
-    base = files.shared_dir(spark)
     c = table(spark, d, "conversations")
     meta = c.agg(F.count("*").alias("items"), F.countDistinct("conv_id").alias("files"), F.sum("turn").alias("processed_audio_totals"))
-    return spark.read.schema("items bigint, files bigint").json(files.write_with_progress(c, meta, f"{base}/sink-{uuid.uuid4().hex}"))
+    return spark.read.schema("items bigint, files bigint").json(files.write_with_progress(c, meta, f"{files.scratch(spark, 'sink')}/t"))
 
 
 # ---- alignment --------------------------------------------------------------------------------------------
@@ -356,17 +333,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _alignment(spark, d)
 
 
-@query("align_invariants", "SELECT 0::BIGINT AS before_previous, 0::BIGINT AS backwards, 0::BIGINT AS too_short")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """How many aligned sentences start before the previous end, end before they start, or last under a millisecond: none."""
-    from pyspark.sql import Window
-
-    a = _alignment(spark, d).where("start_ms is not null")
-    before = F.lag("end_ms").over(Window.partitionBy("doc_id").orderBy("idx"))
-    a = a.withColumn("before", before)
-    return a.agg(F.count_if(F.col("start_ms") < F.col("before")).alias("before_previous"), F.count_if(F.col("end_ms") < F.col("start_ms")).alias("backwards"), F.count_if(F.col("end_ms") - F.col("start_ms") < 0).alias("too_short"))
-
-
 @query("map_orders")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Which turn of a conversation each of its sentences comes from."""

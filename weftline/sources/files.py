@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list = []
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A folder of one's own in the shared one, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _remove_all() -> None:
+    for spark, path in _made:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended; the folder goes with the cluster's clean-up
+            pass
+
+
 def list_files(spark: SparkSession, *roots: str, content: bool = False) -> DataFrame:
     """Files under the roots (rank, path, dir, file_name, stem, ext, size, mtime), without their content unless asked for."""
     out = None
@@ -54,13 +76,6 @@ def scan_texts(spark: SparkSession, *roots: str) -> DataFrame:
     return f.withColumn("text", decode_fallback(F.col("content"))).drop("content")
 
 
-def read_documents(spark: SparkSession, glob: str, keys: list[str] | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """JSON documents of one file each, only the keys asked for."""
-    r = spark.read.option("multiLine", "true").option("mode", "PERMISSIVE")
-    df = (r.schema(schema) if schema else r).json(glob)
-    return df.select(*keys) if keys else df
-
-
 def _harvest(node: object, field: str, out: list[str]) -> None:
     todo = [node]
     while todo:
@@ -92,6 +107,36 @@ def deep_field(body, field: str):
     return run(body)
 
 
+def harvest(df: DataFrame, key: str, body: str, field: str) -> DataFrame:
+    """(key, pos, value): every string under a field at any depth of a JSON column, without Python; as :func:`deep_field`, in its order.
+
+    A recursion goes down the bodies level by level: each entry of an object
+    or array comes as raw JSON, which keeps the order, and as a variant, which
+    tells its kind. Values sort by the places of all entries above them; an
+    object's own field goes before its other entries. ``key`` must be unique
+    and not null. Bodies that are null or no JSON have no values.
+    """
+    src = df.select(F.col(key).alias("key"), F.col(body).alias("raw"))
+    found = df.sparkSession.sql(
+        """
+        WITH RECURSIVE r MAX RECURSION LEVEL 10000 AS (
+          SELECT key, array(CAST(0 AS INT)) AS at, raw, left(schema_of_variant(try_parse_json(raw)), 5) AS kind, CAST(NULL AS STRING) AS name FROM {src}
+          UNION ALL
+          SELECT key, concat(at, array(CASE WHEN e.`0` = {field} AND sort = 'STRIN' THEN -1 ELSE pos END)), e.`1`, sort, e.`0` FROM (
+            SELECT key, at, pos, e, left(schema_of_variant(e.`2`), 5) AS sort FROM (
+              SELECT key, at, posexplode(CASE kind
+                WHEN 'OBJEC' THEN arrays_zip(map_keys(from_json(raw, 'map<string,string>')), map_values(from_json(raw, 'map<string,string>')), map_values(from_json(raw, 'map<string,variant>')))
+                ELSE arrays_zip(array_repeat(CAST(NULL AS STRING), size(from_json(raw, 'array<string>'))), from_json(raw, 'array<string>'), from_json(raw, 'array<variant>')) END) AS (pos, e)
+              FROM r WHERE kind IN ('OBJEC', 'ARRAY'))) WHERE sort IN ('OBJEC', 'ARRAY', 'STRIN'))
+        SELECT key, at, raw AS value FROM r WHERE kind = 'STRIN' AND name = {field} LIMIT ALL
+        """,
+        src=src,
+        field=field,
+    )
+    all_ = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("a"))
+    return all_.select(F.col("key").alias(key), F.posexplode("a").alias("pos", "x")).select(key, F.col("pos").cast("bigint").alias("pos"), F.col("x.value").alias("value"))
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("label", T.StringType())])))
 def tasks_from_text(col: pd.Series) -> pd.Series:
     """Tasks of a JSON array, plain or in base64: strings are URLs, objects have url and label; entries without a URL are dropped."""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources.files import shared_dir
+from ..sources.files import scratch
 
 PROGRESS = "user_id long, rows long, last_event long, last_type string"
 
@@ -47,7 +48,7 @@ def progress_stream(events: DataFrame) -> DataFrame:
     return once.groupBy("user_id").transformWithStateInPandas(ProgressState(), outputStructType=PROGRESS, outputMode="Append", timeMode="None")
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, key: list[str]) -> None:
+def run_to_table(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str) -> None:
     """Runs a stream over what there is; each batch replaces its keys' rows in a table at ``path``."""
 
     def put(batch: DataFrame, number: int) -> None:
@@ -64,24 +65,26 @@ def latest_of_batches(spark: SparkSession, path: str, key: list[str]) -> DataFra
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")
 
 
+@contextmanager
+def rocks_db(spark: SparkSession) -> Iterator[None]:
+    """The state store that the states here need, for streams that start meanwhile."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
+
+
 def stream_progress(spark: SparkSession, source: str) -> DataFrame:
     """Runs :func:`progress_stream` over a Parquet file or folder, one file a batch, and returns the final progress."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     schema = spark.read.parquet(source).schema
     folder, name = source.rsplit("/", 1)
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
     single = spark.read.format("binaryFile").load(source).select("path").limit(2).count() == 1
     events = reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(source)
-    old = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        run_to_table(spark, progress_stream(events.select("user_id", "event_id", "event_type")), f"{base}/out", f"{base}/state", ["user_id"])
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    with rocks_db(spark):
+        run_to_table(spark, progress_stream(events.select("user_id", "event_id", "event_type")), f"{base}/out", f"{base}/state")
     return latest_of_batches(spark, f"{base}/out", ["user_id"])
-
-
-def latest_flags(events: DataFrame, key: str, at: str, flag: str) -> DataFrame:
-    """The latest flag of each key, for a batch or (in complete or update mode) a stream."""
-    return events.groupBy(key).agg(F.max_by(flag, F.col(at)).alias(flag))
