@@ -201,3 +201,21 @@ def test_parts_merge_inside_a_chunk(spark):
     df = spark.createDataFrame([(parts,), ([],)], "v array<struct<n int, chunk bigint>>")
     got = [r[0] for r in df.select(merge_text_parts(F.col("v"), 10)).collect()]
     assert got == [[0, 0, 0, 3, 4, 4, 6, 7, 8, 8], []]
+
+
+def test_natural_order_of_long_numbers(spark):
+    names = ["a" + "9" * 25, "a1" + "0" * 30, "a2", "A10", "a002b", "7", "07x", "", "٣", "a" + "9" * 24 + "8"]
+    df = spark.createDataFrame([(n,) for n in names], "name string").select("name", S.natural_key(F.col("name")).alias("k"))
+    assert [r.name for r in df.orderBy("k", "name").collect()] == ["", "7", "07x", "a2", "a002b", "A10", "a" + "9" * 24 + "8", "a" + "9" * 25, "a1" + "0" * 30, "٣"]
+
+
+def test_tail_gaps(spark):
+    audit = I.gap_overlap_audit(spark.createDataFrame([(1, 0, 10), (1, 20, 30), (2, 0, 50), (4, 0, 5)], "k long, st long, en long"), ["k"])
+    ends = spark.createDataFrame([(1, 40), (2, 50), (3, 7)], "k long, e long")
+    got = {r.k: (r.n, r.gaps, r.gap_total, r.tail_gap) for r in I.tail_gaps(audit, ends, ["k"], "e").collect()}
+    assert got == {1: (2, 2, 20, 10), 2: (1, 0, 0, 0), 3: (0, 1, 7, 7), 4: (1, 0, 0, 0)}
+
+
+def test_white_space_of_unicode_is_squeezed(spark):
+    assert one(spark, X.squeeze, "　a   b\u0085") == "a b"
+    assert one(spark, X.sanitize_line, "a  \\ b　") == "a b"

@@ -181,10 +181,12 @@ def first_int(text: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """An array to sort names by: digit runs by value, other text case-folded."""
-    tokens = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+    """An array to sort names by: digit runs by value, however long, other text case-folded."""
+    tokens = F.regexp_extract_all(name, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
     lead = F.when(name.rlike("^[0-9]"), F.concat(F.array(F.lit("")), tokens)).otherwise(tokens)
-    return F.transform(lead, lambda t: F.when(t.rlike("^[0-9]"), F.lpad(F.regexp_replace(t, "^0+", ""), 20, "0")).otherwise(F.lower(t)))
+    # of two numbers the one with more digits is larger, whatever they are
+    by_value = lambda d: F.concat(F.lpad(F.length(d).cast("string"), 10, "0"), d)
+    return F.transform(lead, lambda t: F.when(t.rlike("^[0-9]"), by_value(F.regexp_replace(t, "^0+", ""))).otherwise(F.lower(t)))
 
 
 def url_id(url: Column, short_host: str = "youtu.be") -> Column:

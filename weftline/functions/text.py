@@ -27,8 +27,8 @@ def translate_plain(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """Runs of white space to one space, trimmed."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Runs of white space, that of Unicode too, to one space, trimmed."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def sanitize(c: Column) -> Column:
@@ -45,7 +45,7 @@ def sanitize_for_split(c: Column) -> Column:
 def sanitize_line(c: Column) -> Column:
     """One line that fits in JSON: no backslash, control characters or double quotes; spaces squeezed."""
     t = F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit(""))
-    return F.trim(F.regexp_replace(F.translate(F.regexp_replace(t, "[\\x00-\\x1F\\x7F]", " "), '\u00a0"', " '"), r"\s+", " "))
+    return squeeze(F.translate(F.regexp_replace(t, "[\\x00-\\x1F\\x7F]", " "), '\u00a0"', " '"))
 
 
 def sanitize_multiline(c: Column) -> Column:

@@ -25,6 +25,33 @@ def gap_overlap_audit(df: DataFrame, by: list[str], start: str = "st", end: str
     )
 
 
+def tail_gaps(audit: DataFrame, expected: DataFrame, by: list[str], end: str) -> DataFrame:
+    """Rows of :func:`gap_overlap_audit` with the gap up to an expected end counted in, by ``expected`` (by, end).
+
+    Keys that are expected and have no rows are one gap from 0 on; keys
+    without an expected end stay as they are. ``tail_gap`` is its length.
+    """
+    zero = F.lit(0).cast("bigint")
+    j = expected.select(*by, F.col(end).alias("_end")).join(audit, by, "full")
+    j = j.withColumns({c: F.coalesce(F.col(c), zero) for c in audit.columns if c not in by})
+    j = j.withColumn("tail_gap", F.greatest(F.coalesce(F.col("_end") - F.col("reach"), zero), zero))
+    more = F.when(F.col("tail_gap") > 0, 1).otherwise(0)
+    return j.withColumns({"gaps": F.col("gaps") + more, "gap_total": F.col("gap_total") + F.col("tail_gap")}).drop("_end")
+
+
+def keyed_lines(df: DataFrame, by: list[str], order: list[str], text: str, reply: str) -> DataFrame:
+    """``line`` and ``key`` of rows whose text is not blank: replies begin with "> ", the key is place:line:occurrence.
+
+    The place counts all rows of a group, blank ones too; the occurrence
+    counts equal lines before.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    line = F.when(F.coalesce(F.col(reply), F.lit(False)), F.concat(F.lit("> "), F.col(text))).otherwise(F.col(text))
+    rows = df.withColumn("_place", place).where(F.coalesce(F.col(text), F.lit("")) != "").withColumn("line", line)
+    rows = occurrence(rows, [*by, "line"], order, "_seen")
+    return rows.withColumn("key", F.concat_ws(":", "_place", "line", "_seen")).drop("_place", "_seen")
+
+
 def prefix_starts(df: DataFrame, by: list[str], order: list[str], length: str, into: str = "start") -> DataFrame:
     """Start of each row when all are put end to end."""
     return df.withColumn(into, F.coalesce(F.sum(length).over(_running(by, order)), F.lit(0)).cast("bigint"))

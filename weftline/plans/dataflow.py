@@ -219,12 +219,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "segment_specs",
-    """SELECT event_id, coalesce((props->>'$.segment_meta.start_ms')::DOUBLE, (props->>'$.k')::DOUBLE * 10) AS start_ms, coalesce(props->>'$.segment_plan.selected_base_format', event_type) AS format FROM events""",
+    """SELECT event_id, CASE WHEN value > 300 THEN value WHEN value > 150 THEN value * 2 ELSE (props->>'$.k')::DOUBLE * 10 END AS start_ms, CASE WHEN value > 300 THEN event_type WHEN value > 150 THEN 'plain' ELSE 'none' END AS format FROM events""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    get = lambda path: F.get_json_object("props", path)
-    start = S.first_non_null(S.finite(get("$.segment_meta.start_ms")), S.finite(get("$.k")) * 10)
-    return table(spark, d, "events").select("event_id", start.alias("start_ms"), S.first_non_null(get("$.segment_plan.selected_base_format"), F.col("event_type")).alias("format"))
+    """Specs with their fields at three places: in a meta part, at the top, or only by a number to work them out from."""
+    v = F.col("value")
+    meta = F.to_json(F.struct(F.struct(v.alias("start_ms")).alias("segment_meta"), F.struct(F.col("event_type").alias("selected_base_format")).alias("segment_plan"), (v + 1).alias("start_ms")))
+    top = F.to_json(F.struct((v * 2).alias("start_ms"), F.lit("plain").alias("format")))
+    e = table(spark, d, "events").select("event_id", F.when(v > 300, meta).when(v > 150, top).otherwise(F.col("props")).alias("spec"))
+    get = lambda path: F.get_json_object("spec", path)
+    start = S.first_non_null(S.finite(get("$.segment_meta.start_ms")), S.finite(get("$.start_ms")), S.finite(get("$.k")) * 10)
+    return e.select("event_id", start.alias("start_ms"), S.first_non_null(get("$.segment_plan.selected_base_format"), get("$.format"), F.lit("none")).alias("format"))
 
 
 @query(

@@ -240,12 +240,27 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "url_id",
-    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a' || page_id WHEN 1 THEN 'b_' || page_id WHEN 2 THEN 'video' ELSE 'video' END AS id FROM pages""",
+    """WITH u AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1) AS path FROM pages)
+    SELECT page_id, coalesce(nullif(regexp_extract(url, '[?&]v=([a-zA-Z0-9_-]+)', 1), ''), 'video') AS own, coalesce(nullif(ltrim(path, '/'), ''), 'video') AS short, 'p' || page_id AS watch FROM u""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("page_id").cast("string")
-    url = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://youtu.be/a"), i)).when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://www.example.com/watch?t=1&v=b_"), i)).when(F.col("page_id") % 4 == 2, F.col("url")).otherwise("not a url")
-    return table(spark, d, "pages").select("page_id", S.url_id(url).alias("id"))
+    """Every page's own URL, its path on a short host, and the URL with a field v."""
+    path = F.regexp_extract("url", "^[a-z]+://[^/?#]*/?([^?#]*)", 1)
+    watch = F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("v=p"), F.col("page_id").cast("string"))
+    urls = {"own": F.col("url"), "short": F.concat(F.lit("https://youtu.be/"), path), "watch": watch}
+    return table(spark, d, "pages").select("page_id", *[S.url_id(u).alias(c) for c, u in urls.items()])
+
+
+@query(
+    "preview_candidates",
+    """SELECT page_id, i AS place, CASE i WHEN 0 THEN og ELSE replace(['https://img.youtube.com/vi/#/maxresdefault.jpg', 'https://i.ytimg.com/vi/#/maxresdefault.jpg', 'https://i.ytimg.com/vi/#/sddefault.jpg', 'https://i.ytimg.com/vi/#/hqdefault.jpg', 'https://i.ytimg.com/vi_webp/#/maxresdefault.webp'][i::INT], '#', 'p' || page_id) END AS url
+    FROM (SELECT page_id, nullif(regexp_extract(html, '<meta property="og:image" content="([^"]*)"', 1), '') AS og, unnest(range(0, 6)) AS i FROM pages) WHERE i > 0 OR og IS NOT NULL""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures to try for every page, in order: the page's own one, then those of its id by quality."""
+    p = table(spark, d, "pages").select("page_id", P.page_meta("html")["preview"].alias("preview"))
+    each = P.preview_candidates(F.col("preview"), F.concat(F.lit("p"), F.col("page_id").cast("string")))
+    return p.select("page_id", F.inline(each)).select("page_id", F.col("place").cast("bigint").alias("place"), "url")
 
 
 @query("page_meta")
@@ -287,10 +302,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return files.scan_media(spark, d, extensions=(".parquet",)).select("file_name", "size", F.array_join("natural", "|").alias("natural"))
 
 
-@query("decode_fallback")
+@query(
+    "decode_fallback",
+    """SELECT doc_id, text AS as_utf8, CASE WHEN regexp_matches(text, '[À-ÿ]') THEN translate(regexp_replace(text, '[^\x00-\x7FÀ-ÿ]', '?', 'g'), 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯабвгдежзийклмнопрстуфхцчшщъыьэюя')
+      ELSE regexp_replace(text, '[^\x00-\x7F]', '?', 'g') END AS as_fallback FROM documents""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("doc_id") % 2 == 0, F.lit("Привет, мир".encode("cp1251"))).otherwise(F.col("text").cast("binary"))
-    return _docs(spark, d).select("doc_id", X.decode_fallback(raw).alias("text"))
+    """Every text from its bytes in UTF-8, and from bytes of one for each letter, which are no UTF-8 where a letter has an accent."""
+    single = F.encode(F.regexp_replace("text", "[^\\x00-\\x7FÀ-ÿ]", "?"), "iso-8859-1")
+    return _docs(spark, d).select("doc_id", X.decode_fallback(F.col("text").cast("binary")).alias("as_utf8"), X.decode_fallback(single).alias("as_fallback"))
 
 
 @query("tasks_from_b64")

@@ -26,6 +26,33 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return I.gap_overlap_audit(intervals(spark, d), ["user_id"], tie=["event_id"])
 
 
+@query(
+    "tail_gaps",
+    f"""WITH {IV}, r AS (SELECT *, coalesce(max(en) OVER (PARTITION BY user_id ORDER BY st, en, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM iv WHERE event_type = 'view'),
+    a AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE st > b) AS gaps, sum(greatest(st - b, 0))::BIGINT AS gap_total, max(en) AS reach FROM r GROUP BY user_id),
+    x AS (SELECT user_id, max(en) AS e FROM iv GROUP BY user_id),
+    j AS (SELECT x.user_id, coalesce(n, 0) AS n, coalesce(gaps, 0) AS gaps, coalesce(gap_total, 0) AS gap_total, greatest(e - coalesce(reach, 0), 0) AS tail_gap FROM x LEFT JOIN a USING (user_id))
+    SELECT user_id, n, gaps + CASE WHEN tail_gap > 0 THEN 1 ELSE 0 END AS gaps, gap_total + tail_gap AS gap_total, tail_gap FROM j""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps of each user's views up to the end of all of their events."""
+    e = intervals(spark, d)
+    ends = e.groupBy("user_id").agg(F.max("en").alias("e"))
+    return I.tail_gaps(I.gap_overlap_audit(e.where("event_type = 'view'"), ["user_id"], tie=["event_id"]), ends, ["user_id"], "e").select("user_id", "n", "gaps", "gap_total", "tail_gap")
+
+
+@query(
+    "keyed_lines",
+    """WITH t AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 2 THEN '' ELSE left(role, 4) END AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations),
+    l AS (SELECT *, CASE WHEN role = 'user' THEN text ELSE '> ' || text END AS line FROM t WHERE text <> '')
+    SELECT conv_id, turn, line, place || ':' || line || ':' || (row_number() OVER (PARTITION BY conv_id, line ORDER BY turn) - 1) AS key FROM l""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as comments, what is not the user's as replies."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, "").otherwise(F.left("role", F.lit(4))).alias("text"), (F.col("role") != "user").alias("reply"))
+    return I.keyed_lines(t, ["conv_id"], ["turn"], "text", "reply").select("conv_id", "turn", "line", "key")
+
+
 @query("prefix_starts", "SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lineitem")
 def _(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select(*_LINE, F.col("l_quantity").cast("bigint").alias("q"))
@@ -89,7 +116,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     "natural_sort",
     """WITH n AS (SELECT doc_id, source, CASE doc_id % 2 WHEN 0 THEN 'Part' ELSE '' END || (doc_id % 117) || 'b' || ((doc_id * 31) % 1009) AS name FROM documents),
     k AS (SELECT *, list_transform(list_concat(CASE WHEN regexp_matches(name, '^[0-9]') THEN [''] ELSE [] END, regexp_extract_all(name, '[0-9]+|[^0-9]+')),
-      lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(ltrim(t, '0'), 20, '0') ELSE lower(t) END) AS key FROM n)
+      lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(length(ltrim(t, '0'))::VARCHAR, 10, '0') || ltrim(t, '0') ELSE lower(t) END) AS key FROM n)
     SELECT doc_id, name, row_number() OVER (PARTITION BY source ORDER BY key, doc_id) AS place FROM k""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +166,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {IV}, a AS (SELECT user_id, count(*) FILTER (WHERE NOT (event_type = 'view' AND event_id % 2 = 0)) AS actual, count(*) AS expected FROM iv GROUP BY user_id),
     r AS (SELECT *, coalesce(max(en) OVER (PARTITION BY user_id ORDER BY st, en, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM iv WHERE NOT (event_type = 'view' AND event_id % 2 = 0))
     SELECT a.user_id, expected, actual, expected - actual AS missing, (SELECT count(*) FROM r WHERE r.user_id = a.user_id AND st > b) AS gaps, (SELECT count(*) FROM r WHERE r.user_id = a.user_id AND st < b) AS overlap_count
-    FROM a WHERE actual > 0""",
+    FROM a""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     planned = intervals(spark, d)
@@ -148,7 +175,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     n = planned.groupBy("user_id").agg(F.count("*").alias("expected"))
     audit = I.gap_overlap_audit(actual, ["user_id"], tie=["event_id"])
     zero = F.coalesce("missing", F.lit(0).cast("bigint"))
-    return n.join(audit, "user_id").join(missing, "user_id", "left").select("user_id", "expected", F.col("n").alias("actual"), zero.alias("missing"), "gaps", "overlap_count")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    return n.join(audit, "user_id", "left").join(missing, "user_id", "left").select("user_id", "expected", none("n").alias("actual"), zero.alias("missing"), none("gaps").alias("gaps"), none("overlap_count").alias("overlap_count"))
 
 
 # ---- joins ------------------------------------------------------------------------------------------------

@@ -60,6 +60,24 @@ def page_meta(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[f.name for f in META])
 
 
+#: Where pictures of a video page are, in the order to try them; # stands for the page's id.
+PREVIEWS = (
+    "https://img.youtube.com/vi/#/maxresdefault.jpg",
+    "https://i.ytimg.com/vi/#/maxresdefault.jpg",
+    "https://i.ytimg.com/vi/#/sddefault.jpg",
+    "https://i.ytimg.com/vi/#/hqdefault.jpg",
+    "https://i.ytimg.com/vi_webp/#/maxresdefault.webp",
+)
+
+
+def preview_candidates(preview, page_id):
+    """array of (place, url): the page's own picture, where it has one, then those of its id; the first that can be had is its preview."""
+    own = F.when(F.coalesce(preview, F.lit("")) != "", preview)
+    each = [F.struct(F.lit(0).alias("place"), own.alias("url"))]
+    each += [F.struct(F.lit(k).alias("place"), F.replace(F.lit(u), F.lit("#"), page_id).alias("url")) for k, u in enumerate(PREVIEWS, 1)]
+    return F.filter(F.array(*each), lambda c: c.url.isNotNull())
+
+
 def caption_rows(body):
     """array of (timestamp, text) from caption events in JSON: segments joined, blank ones dropped, equal rows once."""
     schema = "struct<events:array<struct<tStartMs:bigint,segs:array<struct<utf8:string>>>>>"
