@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,28 +29,36 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string with a window of the longer one, windows over its edges included."""
+    """The best ratio of the shorter string with a window of the longer one, windows over its edges included.
+
+    The subsequences of all windows are found at once: each window has a lane
+    of a long number, wide enough for the shorter string and a carry, and a
+    step takes the next character of every window.
+    """
     short, long = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long else 0.0
-    n = len(short)
+    if short in long:
+        return 100.0
+    n, total = len(short), len(long)
+    width = n // 8 + 1  # bytes of a lane
     where: dict[str, int] = {}
     for i, c in enumerate(short):
         where[c] = where.get(c, 0) | 1 << i
-    full = (1 << n) - 1
-    best = 0.0
-    for at in range(1 - n, len(long)):
-        window = long[max(0, at) : at + n]
-        if (window[-1] not in where and window[0] not in where) or 200 * min(n, len(window)) / (n + len(window)) <= best:
-            continue
-        row = full
-        for c in window:
-            hit = row & where.get(c, 0)
-            row = (row + hit | row - hit) & full
-        best = max(best, 200.0 * (n - row.bit_count()) / (n + len(window)))
-        if best == 100.0:
-            break
-    return best
+    none = bytes(width)
+    masks = {c: m.to_bytes(width, "little") for c, m in where.items()}
+    # the window in lane t begins n - 1 places before the longer string's place t
+    lanes = total + n - 1
+    chars = int.from_bytes(none * (n - 1) + b"".join([masks.get(c, none) for c in long]), "little")
+    row = full = int.from_bytes(((1 << n) - 1).to_bytes(width, "little") * lanes, "little")
+    for _ in range(n):
+        hit = row & chars
+        row = (row + hit | row - hit) & full
+        chars >>= 8 * width
+    left = np.bitwise_count(np.frombuffer(row.to_bytes(width * lanes, "little"), np.uint8)).reshape(lanes, width).sum(axis=1)
+    at = np.arange(1 - n, total)
+    size = np.minimum(at + n, total) - np.maximum(at, 0)
+    return float((200.0 * (n - left) / (n + size)).max())
 
 
 def _sorted_words(words: list[str] | set[str]) -> str:
@@ -83,13 +92,14 @@ def best_score(a: str, b: str, enough: int = 101, floor: int = 0) -> int:
     also where it cannot reach ``floor``, as no window has a longer common
     subsequence than the whole strings.
     """
-    best = 0
-    for f in (ratio, token_sort_ratio, token_set_ratio):
-        best = max(best, int(f(a, b)))
+    common = lcs_length(a, b)
+    best = int(200.0 * common / (len(a) + len(b))) if a or b else 100
+    for f in (token_sort_ratio, token_set_ratio):
         if best >= enough:
             return best
-    n, common = min(len(a), len(b)), lcs_length(a, b)
-    if common and 200 * common / (n + common) < max(floor, best):
+        best = max(best, int(f(a, b)))
+    n = min(len(a), len(b))
+    if best >= enough or (common and 200 * common / (n + common) < max(floor, best)):
         return best
     return max(best, int(partial_ratio(a, b)))
 
