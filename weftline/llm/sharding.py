@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_names
 
 #: Bits of the hash. Deeper buckets hold rows of one key only, and no bit splits those.
 BITS = 60
@@ -55,33 +55,39 @@ def assign_shards(docs: DataFrame, *, limit: int, key_col: str = "doc_id", text_
     told apart by bits of its hash: a bucket of one key that is still too
     large is packed in parts by running size, in blocks of rows, so that a
     key with a third of all rows makes many parts in many tasks. Null keys
-    are one key; null and empty texts count 0 bytes. Columns of ``docs`` with
-    the names added here are replaced.
+    are one key; null and empty texts count 0 bytes. An empty table gives no
+    rows. Columns of ``docs`` with the names added are replaced; no other name
+    matters. ``part`` follows the order in which files are read: over other
+    files of the same rows, rows of such a bucket may be packed otherwise.
     """
-    added = ("n_bytes", "depth", "shard", "part", "shard_bytes", "_h")
+    added = ("n_bytes", "depth", "shard", "part", "shard_bytes")
     own = [c for c in docs.columns if c not in added]
-    rows = docs.select(*own, F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), key_hash(F.col(key_col)).alias("_h"), F.monotonically_increasing_id().alias("_row"))
-    cells = rows.select(F.col("_h").alias("h"), F.col("n_bytes").alias("bytes"), F.lit(1).cast("long").alias("n_rows"))
+    h_, row_, low_, leaf_, leaves_, block_, size_ = free_names(docs.drop(*added), "h", "row", "low", "leaf", "leaves", "block", "size")
+    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
+    rows = docs.select(*own, size.alias(size_), key_hash(F.col(key_col)).alias(h_), F.monotonically_increasing_id().alias(row_))
+    cells = rows.select(F.col(h_).alias("h"), F.col(size_).alias("bytes"), F.lit(1).cast("long").alias("n_rows"))
     leaves = cut(directory(cells, limit, bits, step).withColumnRenamed("bytes", "shard_bytes"))
     # the directory: 2^low entries, fewer than two for each leaf; a leaf above that depth has several
     # entries, the few under it share one
     low = min(bits, max(0, leaves.count() - 1).bit_length())
     span = F.expr(f"if(depth >= {low}, array(shiftright(prefix, greatest(0, depth - {low}))), sequence(shiftleft(prefix, {low} - depth), shiftleft(prefix + 1, {low} - depth) - 1))")
-    entries = leaves.select(F.explode(span).alias("_low"), F.struct("prefix", "depth", "shard_bytes", "n_rows").alias("leaf")).groupBy("_low").agg(F.collect_list("leaf").alias("_leaves"))
-    found = rows.withColumn("_low", F.shiftright("_h", bits - low)).join(entries, "_low").withColumn("_leaf", F.expr(f"filter(_leaves, x -> shiftright(_h, {bits} - x.depth) = x.prefix)[0]")).drop("_leaves", "_low")
-    bits_of = F.expr("if(_leaf.depth = 0, '', lpad(bin(_leaf.prefix), _leaf.depth, '0'))")
-    out = found.select(*own, "n_bytes", F.col("_leaf.depth").alias("depth"), bits_of.alias("shard"), F.col("_leaf.shard_bytes").alias("shard_bytes"), "_row")
+    entries = leaves.select(F.explode(span).alias(low_), F.struct("prefix", "depth", "shard_bytes", "n_rows").alias("leaf")).groupBy(low_).agg(F.collect_list("leaf").alias(leaves_))
+    of_row = F.get(F.filter(leaves_, lambda x: F.call_function("shiftright", F.col(h_), F.lit(bits) - x.depth) == x.prefix), 0)
+    found = rows.withColumn(low_, F.shiftright(h_, bits - low)).join(entries, low_).select(*own, size_, row_, of_row.alias(leaf_))
+    depth, prefix = F.col(f"{leaf_}.depth"), F.col(f"{leaf_}.prefix")
+    bits_of = F.when(depth == 0, "").otherwise(F.lpad(F.bin(prefix), depth, F.lit("0")))
+    out = found.select(*own, F.col(size_).alias("n_bytes"), depth.alias("depth"), bits_of.alias("shard"), F.col(f"{leaf_}.shard_bytes").alias("shard_bytes"), row_)
     fit = out.where(F.col("shard_bytes") <= limit).withColumn("part", F.lit(0).cast("long"))
     over = out.where(F.col("shard_bytes") > limit)
     # parts of a bucket that no bit splits: rows dealt to blocks of about 8 limits, each packed by running size
     blocks = F.greatest(F.lit(1), F.ceil(F.col("shard_bytes") / F.lit(8.0 * limit)))
-    over = over.withColumn("_block", F.pmod(F.xxhash64("_row"), blocks))
-    order = Window.partitionBy("shard", "_block").orderBy(F.col("n_bytes").desc(), "_row")
+    over = over.withColumn(block_, F.pmod(F.xxhash64(row_), blocks))
+    order = Window.partitionBy("shard", block_).orderBy(F.col("n_bytes").desc(), row_)
     w = order.rowsBetween(Window.unboundedPreceding, 0)
     # a row opens a part when its end passes another half limit: two halves fit a limit unless one row is longer than half
     big = F.col("n_bytes") * 2 > limit
     slot = F.when(big, -F.row_number().over(order)).otherwise(F.floor(F.sum(F.when(big, 0).otherwise(F.col("n_bytes"))).over(w) * 2 / limit))
-    over = over.withColumn("part", (F.col("_block") * 1_000_000_000 + slot).cast("long")).drop("_block")
+    over = over.withColumn("part", (F.col(block_) * 1_000_000_000 + slot).cast("long")).drop(block_)
     own_bytes = F.sum("n_bytes").over(Window.partitionBy("shard", "part"))
     over = over.withColumn("shard_bytes", own_bytes)
     return fit.select(*own, "n_bytes", "depth", "shard", "part", "shard_bytes").unionByName(over.select(*own, "n_bytes", "depth", "shard", "part", "shard_bytes"))
