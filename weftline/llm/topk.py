@@ -24,30 +24,49 @@ from .common import cut
 #: Queries of one pass over the rows; what is sent to every worker is bounded by it.
 QUERY_BLOCK = 4_096
 _ROWS = 8_192
-NONE = -(2**62)
+#: Sums below this are exact as doubles, below 2^64 as long doubles of 64 bits; a score has to fit a long.
+_DOUBLE, _LONG = 2.0**52, 2.0**63
+_EMPTY = np.iinfo(np.int64).max
 
 
 class MaxScore:
     """Best k of one shard's rows for each query of a block."""
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, q.astype(np.float64), k  # sums of products of small integers are exact as doubles
-        self.score = np.full((len(ids), k), NONE, np.int64)
-        self.row = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)
+        self.ids, self.whole, self.k = ids, q, k
+        self.score = np.full((len(ids), k), -_EMPTY, np.int64)  # its negative sorts last
+        self.row = np.full((len(ids), k), _EMPTY, np.int64)
+        self.filled = np.zeros(len(ids), np.int64)
         self.probed = self.seen = 0
 
+    def _exact(self, x: np.ndarray) -> type:
+        """The kind of number in which every sum here is a whole one."""
+        if not len(self.ids) or not x.shape[1]:
+            return np.float64
+        if np.finfo(np.longdouble).nmant < 63:  # no such kind on this machine
+            wide = _DOUBLE
+        else:
+            wide = _LONG
+        most = float((np.abs(self.whole.astype(np.float64)) @ np.maximum(np.abs(x.min(axis=0).astype(np.float64)), np.abs(x.max(axis=0).astype(np.float64)))).max())
+        if most < _DOUBLE / 2:
+            return np.float64
+        if most >= wide * (1 - 2.0**-40):
+            raise ValueError(f"scores up to {most:.3g} cannot be told exactly: scale the components down")
+        return np.longdouble
+
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        x = x.astype(np.float64)
+        kind = self._exact(x)
+        x, whole = x.astype(kind), self.whole.astype(kind)
         low, high = x.min(axis=0), x.max(axis=0)
         xt = np.ascontiguousarray(x.T)
-        bound = np.abs(self.q) * (high - low)
-        base = np.where(self.q >= 0, self.q * low, self.q * high).sum(axis=1)  # the score of a row at every term's foot
+        bound = np.abs(whole) * (high - low)
+        base = np.where(whole >= 0, whole * low, whole * high).sum(axis=1)  # the score of a row at every term's foot
         order = np.argsort(bound, axis=1, kind="stable")
         ahead = np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1)
         for j in range(len(self.ids)):
-            q, worst = self.q[j], self.score[j, -1]
+            q, worst = whole[j], kind(self.score[j, -1])
             # terms whose bounds together do not reach the k-th score are non-essential
-            n = int(np.searchsorted(base[j] + ahead[j], worst, side="left")) if worst > NONE else 0
+            n = int(np.searchsorted(base[j] + ahead[j], worst, side="left")) if self.filled[j] >= self.k else 0
             rest, essential = order[j, :n], order[j, n:]
             part = q[essential] @ xt[essential] if len(essential) else np.zeros(len(ids))
             if n:
@@ -71,7 +90,7 @@ class MaxScore:
             self.seen += len(ids)
             if not len(at):
                 continue
-            s = np.rint(got).astype(np.int64)
+            s = got.astype(np.int64)
             if len(s) > 8 * self.k:
                 least = np.partition(s, -self.k - 1)[-self.k - 1]  # one more, which may be the query itself
                 good = s >= least
@@ -81,6 +100,7 @@ class MaxScore:
             s, r = np.concatenate([self.score[j], s[own]]), np.concatenate([self.row[j], r[own]])
             best = np.lexsort((r, -s))[: self.k]
             self.score[j], self.row[j] = s[best], r[best]
+            self.filled[j] += np.count_nonzero(own)
 
 
 def exact_top_k(
@@ -131,7 +151,7 @@ def exact_top_k(
                             x[i, : min(wide, e - a)] = flat[a:e][:wide]
                     if len(x):
                         shard.add(np.asarray(piece.column(0)), x)
-            got = shard.score > NONE
+            got = np.arange(k) < shard.filled[:, None]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[got.ravel()]), pa.array(shard.row[got]), pa.array(shard.score[got])], names=["query_id", "vec_id", "score"])
 
         found = rows.mapInArrow(run, "query_id long, vec_id long, score long")
