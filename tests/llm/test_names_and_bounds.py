@@ -55,3 +55,14 @@ def test_scores_that_leave_a_long_are_an_error(spark):
     rows = [(i, [float(2**32) / 256 * (1 + i), 1.0]) for i in range(0, 60, 10)]
     with pytest.raises(Exception, match="cannot be told exactly"):
         exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query_every=10).collect()
+
+
+def test_rows_of_one_id_with_different_texts_keep_their_links(spark):
+    from weftline.llm.minhash import near_duplicates
+
+    words = [f"w{i}" for i in range(40)]
+    other = [f"v{i}" for i in range(40)]
+    rows = [(5, "zz " * 9), (5, " ".join(words)), (7, " ".join([*words, "more"])), (9, " ".join(other)), (9, " ".join(["x", *other])), (3, " ".join([*other, "y"])), (11, "zz " * 9), (12, "alone here entirely and without any partner")]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ngram=2).collect()
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.class_id) for r in out)
+    assert got == [(3, 40, 3, 3), (5, 1, 5, 5), (5, 39, 5, 5), (7, 40, 5, 7), (9, 39, 3, 9), (9, 40, 3, 9), (11, 1, 5, 5), (12, 6, 12, 12)]

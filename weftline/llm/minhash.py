@@ -105,8 +105,8 @@ class Sketcher:
         return np.packbits((_mix(m.astype(np.uint64) + self.bit_salt) & _U(1)).astype(bool), axis=1).view(np.int64)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, ngram: int, bands: int, rows: int) -> DataFrame:
-    """id, n (set size), k1 and k2 (which name the set), band keys, packed bits and parities of each text."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, ngram: int, bands: int, rows: int, *, with_text: bool = False) -> DataFrame:
+    """id, n (set size), k1 and k2 (which name the set), band keys, packed bits and parities of each text, and the text if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, sk = _WordHash(), Sketcher(bands, rows)
@@ -121,11 +121,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, ngram: int, bands: int
                 keys, bits = sk.keys(m), sk.bits(m)
                 wide = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel()))
                 odd = np.stack([parities(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(k1), pa.array(k2), wide(keys), wide(bits), wide(odd)], names=["id", "n", "k1", "k2", "keys", "bits", "odd"])
+                text = [part.column(1)] if with_text else []
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(k1), pa.array(k2), wide(keys), wide(bits), wide(odd), *text], names=["id", "n", "k1", "k2", "keys", "bits", "odd", *(["text"] if with_text else [])])
 
     if rows * bands % 64:
         raise ValueError("bands * rows must be a multiple of 64")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, k1 long, k2 long, keys array<long>, bits array<long>, odd array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, k1 long, k2 long, keys array<long>, bits array<long>, odd array<long>" + (", text string" if with_text else ""))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
@@ -199,22 +200,39 @@ def near_duplicates(
 
     Null, empty and blank texts have an empty set and are linked with
     nothing. A null id is kept, alone, with a null component. Rows that
-    repeat an id and text have the same set and so the same result. Other
-    columns of ``docs`` are not looked at. An empty table gives no rows.
+    repeat an id and text have the same set and so the same result; rows of
+    one id with different texts are documents of their own, each with the
+    smallest id that its text reaches. Other columns of ``docs`` are not
+    looked at. An empty table gives no rows.
     """
     n_words = bands * rows // 64
     floor = float(percent / 100 - spread * 0.6 / np.sqrt(bands * rows))
     sk = cut(sketches(docs, id_col, text_col, ngram, bands, rows))
     known = sk.where("id is not null and n > 0")
     wide = ["keys", "bits", "odd"]
-    classes = cut(known.groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), *[F.min_by(c, "id").alias(c) for c in wide]))
+    # ids whose rows have different sets do not name a class: a hash of the set does, below all ids that count from 0
+    own = F.struct("k1", "k2", "n")
+    several = cut(known.groupBy("id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("id"))
+    repeated = bool(several.take(1))
+    classes = known.groupBy("k1", "k2", "n").agg(F.min("id").alias("doc"), *[F.min_by(c, "id").alias(c) for c in wide])
+    name = F.col("doc")
+    if repeated:
+        classes = classes.join(several.select(F.col("id").alias("doc"), F.lit(True).alias("several")), "doc", "left")
+        name = F.when(F.col("several"), -1 - F.xxhash64("k1", "k2", "n").bitwiseAND(F.lit(2**63 - 1))).otherwise(F.col("doc"))
+    classes = cut(classes.select("k1", "k2", "n", "doc", name.alias("id"), *wide))
     rows_of = classes.select("id", F.explode("keys").alias("k"))
     # buckets of more than one class, with their smallest one, back to their classes; the key under a
     # mask gives the rows an exchange of their own, which adaptive execution can split where it is hot
     many = rows_of.groupBy("k").agg(F.count("*").alias("c"), F.min("id").alias("p")).where("c > 1").select(F.col("k").bitwiseXOR(F.lit(1)).alias("k"), "p")
     member = cut(rows_of.select("id", F.col("k").bitwiseXOR(F.lit(1)).alias("k")).join(many, "k"))
     pool = member.select("id").distinct()
-    texts = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(pool, "id", "left_semi").dropDuplicates(["id"]))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = src.join(pool, "id", "left_semi").dropDuplicates(["id"])
+    if repeated:  # texts of those ids are told apart by their sets
+        told = sketches(src.join(several, "id", "left_semi"), "id", "text", ngram, bands, rows, with_text=True).join(classes.select("k1", "k2", "n", F.col("id").alias("name")), ["k1", "k2", "n"])
+        told = told.select(F.col("name").alias("id"), "text").join(pool, "id", "left_semi")
+        texts = texts.join(several, "id", "left_anti").unionByName(told).dropDuplicates(["id"])
+    texts = cut(texts)
     signs = classes.select("id", "n", "bits", "odd")
     may_link = _may_link(percent, floor, n_words)
 
@@ -239,8 +257,11 @@ def near_duplicates(
     drop(member, left, tried)
     if more.take(1):
         found = cut(connected_components(links.unionByName(more), "a", "b"))
-    drop(texts, links, more)
-    classes = classes.select("k1", "k2", "n", F.col("id").alias("class_id")).join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
+    drop(texts, links, more, several)
+    if repeated:  # the smallest id of a component, not the smallest name
+        reached = found.join(classes.select(F.col("id").alias("node"), "doc"), "node")
+        found = found.join(reached.groupBy("component").agg(F.min("doc").alias("least")), "component").select("node", F.col("least").alias("component"))
+    classes = classes.select("k1", "k2", "n", F.col("doc").alias("class_id"), F.col("id").alias("node")).join(found, "node", "left").drop("node")
     out = sk.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
     alone = F.when(F.col("n") > 0, F.coalesce("component", "class_id", "id")).otherwise(F.col("id"))
     return out.select(
