@@ -152,9 +152,13 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     same = F.col("parity") == F.col("parity0").bitwiseXOR(F.col("parity1")).bitwiseXOR(F.col("parity2")).bitwiseXOR(F.col("parity3"))
     sets = found.where((F.size("toks") == F.col("n")) & same)
     drop(active, marks)
-    # a verified earlier match under one of a few prefix words, the same for sets alike: least by hash
+    # a verified earlier match under one of a few prefix words, the same for sets alike: least by hash, and the
+    # one that most sets have, as the rarest words of an edited copy are those that no other set has
+    each = sets.select(*name, F.explode("prefix").alias("word"))
+    common = each.join(each.groupBy("word").agg(F.count("*").alias("c")).where("c > 1"), "word").groupBy(*name).agg(F.max(F.struct("c", "word")).alias("common"))
     few = F.slice(F.array_sort(F.transform("prefix", lambda x: F.xxhash64(x))), 1, _VERIFY_KEYS)
-    keyed = sets.select(*name, *first, "parity", "toks", F.explode(few).alias("key"))
+    few = F.array_union(few, F.when(F.col("common").isNull(), F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64("common.word"))))
+    keyed = sets.join(common, name, "left").select(*name, *first, "parity", "toks", F.explode(few).alias("key"))
     x, y = _side(keyed, "a"), _side(keyed, "b")
     earlier = (F.col("doc_b") < F.col("doc_a")) | ((F.col("doc_b") == F.col("doc_a")) & (F.col("line_b") < F.col("line_a")))
     late = x.join(y, (x["key"] == y["key"]) & earlier & _close(percent) & _verified(percent), "left_semi").select(*[F.col(f"{c}_a").alias(c) for c in name]).distinct()
