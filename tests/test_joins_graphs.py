@@ -62,6 +62,22 @@ def test_dominant_overlap_equals_plain_version(spark, spans):
         assert got == want
 
 
+def test_nearest_exclusive_equals_plain_version(spark):
+    rng = random.Random(8)
+    left = [(rng.randrange(3), i, rng.choice([None, *range(0, 60, 3)]) if i % 9 == 0 else rng.randrange(60), rng.choice("ab")) for i in range(60)]
+    right = [(rng.randrange(3), i, rng.randrange(60), rng.choice("abc")) for i in range(70)]
+    got = J.nearest_exclusive(spark.createDataFrame(left, "g long, id long, t long, n string"), spark.createDataFrame(right, "g long, rid long, at long, n string"), ["g"], "id", "t", "at", "rid", "n").collect()
+    want = {}
+    for g in range(3):
+        free = [r for r in right if r[0] == g]
+        for _, i, t, n in sorted((x for x in left if x[0] == g), key=lambda x: (x[2] is None, x[2] or 0, x[1])):
+            best = None if t is None else min((r for r in free if r[3] == n), key=lambda r: (abs(r[2] - t), r[2], r[1]), default=None) or min(free, key=lambda r: (abs(r[2] - t), r[2], r[1]), default=None)
+            want[i] = (None, None) if best is None else (best[1], abs(best[2] - t))
+            if best:
+                free.remove(best)
+    assert {r.id: (r.rid, r.distance) for r in got} == want
+
+
 def pick(segments, files):
     """The contract, with a list of free files."""
     own = {}

@@ -268,11 +268,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", P.page_meta("html").alias("m")).select("page_id", "m.*")
 
 
-@query("caption_rows")
+@query(
+    "caption_rows",
+    f"""WITH t AS (SELECT conv_id, turn, {_squeezed("text || chr(10)")} AS text, turn * 61 AS s FROM conversations WHERE text IS NOT NULL)
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, lpad((s // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS timestamp, text FROM t WHERE text <> ''""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("a"))
     events = F.transform("a", lambda x: F.struct((x.turn * 61_000).alias("tStartMs"), F.array(F.struct(x.text.alias("utf8")), F.struct(F.lit("\n").alias("utf8"))).alias("segs")))
-    return c.select("conv_id", F.posexplode(P.caption_rows(F.to_json(F.struct(events.alias("events"))))).alias("pos", "r")).select("conv_id", "pos", "r.timestamp", "r.text")
+    return c.select("conv_id", F.posexplode(P.caption_rows(F.to_json(F.struct(events.alias("events"))))).alias("pos", "r")).select("conv_id", F.col("pos").cast("bigint").alias("pos"), "r.timestamp", "r.text")
 
 
 @query("format_ts", f"""WITH {IV}, t AS (SELECT event_id, st // 1000 AS s FROM iv)
@@ -313,7 +317,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", X.decode_fallback(F.col("text").cast("binary")).alias("as_utf8"), X.decode_fallback(single).alias("as_fallback"))
 
 
-@query("tasks_from_b64")
+@query("tasks_from_b64", "SELECT page_id, trim(url) AS url, CASE WHEN page_id % 2 = 0 THEN 'top' ELSE '' END AS label FROM pages WHERE trim(url) <> ''")
 def _(spark: SparkSession, d: str) -> DataFrame:
     body = F.to_json(F.array(F.struct(F.col("url"), F.lit("top").alias("label"))))
     raw = F.when(F.col("page_id") % 2 == 0, F.base64(body.cast("binary"))).otherwise(F.concat(F.lit('["'), F.col("url"), F.lit('"]')))

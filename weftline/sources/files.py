@@ -139,14 +139,14 @@ def harvest(df: DataFrame, key: str, body: str, field: str) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("label", T.StringType())])))
 def tasks_from_text(col: pd.Series) -> pd.Series:
-    """Tasks of a JSON array, plain or in base64: strings are URLs, objects have url and label; entries without a URL are dropped."""
+    """Tasks of a JSON array, plain or in base64: strings are URLs, objects have url and label; entries without a URL are dropped. Base64 may be broken into lines."""
     import base64
 
     def one(text: str | None) -> list[dict] | None:
         text = (text or "").strip()
         if text and text[0] not in "[{":
             try:
-                text = base64.b64decode(text, validate=True).decode()
+                text = base64.b64decode("".join(text.split()), validate=True).decode()
             except ValueError:
                 return None
         try:
