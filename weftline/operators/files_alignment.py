@@ -11,6 +11,7 @@ the file's end.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -122,7 +123,7 @@ def align_files(sentences: DataFrame, files: DataFrame, *, lookahead: int = LOOK
     parallel; the words of one have to fit in a task.
     """
 
-    def run(key, s: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], s: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
         walk = Walk([None if pd.isna(t) else t for t in s.sort_values("idx").text], lookahead=lookahead)
         rows = []
         for r in w.sort_values("number").itertuples(index=False):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -158,7 +159,7 @@ def graph_fold(nodes: DataFrame, edges: DataFrame, actions: DataFrame) -> DataFr
     every = side(nodes, "node", same("id kind")).unionByName(side(edges, "edge", same("to_id input from_id output")))
     every = every.unionByName(side(actions, "action", {c: c for c in cols if c in actions.columns}))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         parts = {k: g.to_dict("records") for k, g in rows.groupby("item")}
         g = Graph({r["id"]: r["kind"] for r in parts.get("node", [])}, {(r["to_id"], r["input"]): (r["from_id"], int(r["output"])) for r in parts.get("edge", [])})
         todo = sorted((_Action(r) for r in parts.get("action", [])), key=lambda a: a.n)
