@@ -32,8 +32,6 @@ COUNTER_BITS = 18
 _MARKS = 1 << 20
 #: Classes that have a candidate, of which at most so many are sent to every task.
 _SENT = 500_000
-#: Prefix words under which sets are verified where they meet.
-_VERIFY_KEYS = 2
 
 
 def _tokens(line):
@@ -139,6 +137,11 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     small = found.count() <= _SENT  # 8 bytes each; more of them meet the classes in a shuffle
     active = cut(classes.join(F.broadcast(found) if small else found, "k1", "left_semi"))
     drop(found)
+    # of each set's prefix words the one that most sets have in theirs
+    each = active.select("k1", F.explode("prefix").alias("word"))
+    common = each.join(each.groupBy("word").agg(F.count("*").alias("c")).where("c > 1"), "word").groupBy("k1").agg(F.max(F.struct("c", "word"))["word"].alias("common"))
+    before, active = active, cut(active.join(common, "k1", "left"))
+    drop(before)
     # their words, looked up in the texts
     mark = F.xxhash64("doc", "line").bitwiseAND(F.lit(_MARKS - 1))
     bit = F.expr("shiftleft(1L, cast(xxhash64(doc, line) & 63 as int))")
@@ -152,13 +155,11 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     same = F.col("parity") == F.col("parity0").bitwiseXOR(F.col("parity1")).bitwiseXOR(F.col("parity2")).bitwiseXOR(F.col("parity3"))
     sets = found.where((F.size("toks") == F.col("n")) & same)
     drop(active, marks)
-    # a verified earlier match under one of a few prefix words, the same for sets alike: least by hash, and the
-    # one that most sets have, as the rarest words of an edited copy are those that no other set has
-    each = sets.select(*name, F.explode("prefix").alias("word"))
-    common = each.join(each.groupBy("word").agg(F.count("*").alias("c")).where("c > 1"), "word").groupBy(*name).agg(F.max(F.struct("c", "word")).alias("common"))
-    few = F.slice(F.array_sort(F.transform("prefix", lambda x: F.xxhash64(x))), 1, _VERIFY_KEYS)
-    few = F.array_union(few, F.when(F.col("common").isNull(), F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64("common.word"))))
-    keyed = sets.join(common, name, "left").select(*name, *first, "parity", "toks", F.explode(few).alias("key"))
+    # a verified earlier match under two prefix words, the same for sets alike: the least by hash, and the commonest,
+    # as the rarest words of an edited copy are those of the edit, which no other set has
+    least = F.array_min(F.transform("prefix", lambda x: F.xxhash64(x)))
+    few = F.array_distinct(F.array(least, F.coalesce(F.xxhash64("common"), least)))
+    keyed = sets.select(*name, *first, "parity", "toks", F.explode(few).alias("key"))
     x, y = _side(keyed, "a"), _side(keyed, "b")
     earlier = (F.col("doc_b") < F.col("doc_a")) | ((F.col("doc_b") == F.col("doc_a")) & (F.col("line_b") < F.col("line_a")))
     late = x.join(y, (x["key"] == y["key"]) & earlier & _close(percent) & _verified(percent), "left_semi").select(*[F.col(f"{c}_a").alias(c) for c in name]).distinct()
