@@ -3,6 +3,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from weftline.functions import fuzzy
+from weftline.functions import sequences as Q
 from weftline.functions.sequences import balanced_chunks, coalesce_short, fit_slots, resegment, sentence_boundaries, split_sentences, transliterate, weighted_durations
 from weftline.operators.alignment import align, map_orders
 
@@ -89,3 +90,11 @@ def test_alignment_is_monotonic_and_stops_at_the_first_miss():
 
 def test_map_orders_first_seen_on_ties():
     assert map_orders([["a", "b"], ["c"], ["z"]], [(1, ["a"]), (2, ["b", "c"])]) == [1, 2, None]
+
+
+def test_null_arguments_give_nulls(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(10, [1, 1], 1), (None, [1], 1), (10, None, 1), (10, [1, None], None), (9, [None, 3], 1), (5, [], 1)], "t int, w array<int>, m int")
+    assert [r[0] for r in df.select(Q.weighted_durations_col("t", "w", "m")).collect()] == [[5, 5], None, None, None, [1, 8], []]
+    assert [r[0] for r in df.select(Q.fit_slots_col("w", F.when(F.col("t") > 9, 1))).collect()] == [[2], None, None, [1], None, None]

@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Marks that end a sentence, and those that may open the next one.
 _ENDS = ".!?…؟"
 _OPENERS = "«\"'“”("
 
@@ -95,6 +96,7 @@ ABBREVIATIONS = frozenset(
         "דר פרופ גב מר מס עמ וכו לדוג רח טל סע פרק"
     ).split()
 ) | {"и т.д", "и т.п"}
+# Runs that end a sentence in any script, and marks that may close it behind them.
 _END_RUN = re.compile(r"[.!?…。！？]+")
 _CLOSING = "\"”’')]}»›）】』」"
 _LAST_WORD = re.compile(r"([0-9A-Za-zÀ-ÖØ-öø-ÿА-Яа-яЁё-]*) *$")
@@ -373,11 +375,21 @@ def balanced_chunks_col(text: Column, limit: int) -> Column:
     return run(text)
 
 
+def _null(x: object) -> bool:
+    return x is None or x is pd.NA or (isinstance(x, float) and x != x)
+
+
+def _whole(values: object) -> list[int]:
+    return [0 if _null(x) else int(x) for x in values]
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def weighted_durations_col(total: pd.Series, weights: pd.Series, least: pd.Series) -> pd.Series:
-    return pd.Series([weighted_durations(int(t), [int(x) for x in w], int(m)) for t, w, m in zip(total, weights, least, strict=True)])
+    """As :func:`weighted_durations`; null where an argument is, null weights count 0."""
+    return pd.Series([None if _null(t) or w is None or _null(m) else weighted_durations(int(t), _whole(w), int(m)) for t, w, m in zip(total, weights, least, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def fit_slots_col(frames: pd.Series, count: pd.Series) -> pd.Series:
-    return pd.Series([fit_slots([int(x) for x in f], int(n)) for f, n in zip(frames, count, strict=True)])
+    """As :func:`fit_slots`; null where an argument is, null slots count 0."""
+    return pd.Series([None if f is None or _null(n) else fit_slots(_whole(f), int(n)) for f, n in zip(frames, count, strict=True)], dtype=object)

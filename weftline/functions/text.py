@@ -94,7 +94,7 @@ def clip_stem(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(s, "_{2,}", "_"), "-{2,}", "-"), F.lit("_- "))
 
 
-#: A break after a sentence's end before a capital, a digit or an opening mark.
+#: Fixed value: a break after a sentence's end before a capital, a digit or an opening mark.
 HARD_BREAK = r"(?<=[.!?…])\s+(?=[«\"“”„(]*[A-ZА-ЯЁ0-9])"
 
 

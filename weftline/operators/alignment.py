@@ -20,6 +20,8 @@ def _compact(text: str) -> str:
 
 @dataclass
 class Options:
+    """Scores that are enough, the shortest match, and bounds of the search."""
+
     least_score: int = 75
     aggressive_score: int = 62
     least_ms: int = 200
