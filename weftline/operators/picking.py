@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,8 +16,10 @@ def pick_exclusive(segments: DataFrame, files: DataFrame, by: list[str], *, inde
     first free one in ``file_order``. Segments behind the last free file get
     null and ``missing``; :func:`require_picked` makes that an error.
 
-    A choice depends on all before it, so a group's ids are one task; groups
-    are worked on side by side. Null indexes match nothing.
+    In most groups no choice depends on another: without files for all
+    indexes, segments and files meet by position, and with them, where no
+    index repeats, by index. Only groups that repeat one are walked through,
+    a group a task. Null indexes match nothing.
     """
     clash = {"picked", "how"} & set(segments.columns)
     if clash:
@@ -50,9 +52,31 @@ def pick_exclusive(segments: DataFrame, files: DataFrame, by: list[str], *, inde
             how.append(kind)
         return s.assign(picked=pd.array(picked, dtype="object"), how=how)[[*s.columns, "picked", "how"]]
 
-    f = files.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(file_id).alias("_f_id"), F.col(file_index).alias("_f_index"), *[F.col(c).alias(f"_f_{c}") for c in file_order])
-    out = segments.groupBy(*by).cogroup(f.groupBy(*[f"_by_{c}" for c in by])).applyInPandas(run, schema)
-    return out
+    keys = [f"_by_{c}" for c in by]
+    f = files.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(file_id).alias("_f_id"), F.col(file_index).alias("_f_index"), *[F.col(c).alias(f"_f_{c}") for c in file_order])
+    in_order = [f"_f_{c}" for c in file_order]
+    group = Window.partitionBy(*by)
+
+    def meets(extra):
+        on = extra
+        for c, k in zip(by, keys, strict=True):
+            on = on & F.col(c).eqNullSafe(F.col(k))
+        return on
+
+    first = F.row_number().over(Window.partitionBy(*keys, "_f_index").orderBy(*in_order))
+    own = f.where("_f_index is not null").withColumn("_n", first).where("_n = 1").select(*keys, "_f_index", F.col("_f_id").alias("_own"), F.lit(True).alias("_has"))
+    s = segments.withColumns({"_pos": F.row_number().over(group.orderBy(*order)), "_same": F.when(F.col(index).isNotNull(), F.count("*").over(Window.partitionBy(*by, index)))})
+    s = s.join(own, meets(F.col(index) == F.col("_f_index")), "left").drop(*keys, "_f_index")
+    s = s.withColumns({"_direct": F.min(F.coalesce("_has", F.lit(False))).over(group), "_twice": F.max("_same").over(group) > 1})
+    cols = segments.columns
+    direct = s.where("_direct and not _twice").select(*cols, F.col("_own").alias("picked"), F.lit("direct").alias("how"))
+    place = f.select(*keys, F.col("_f_id"), F.row_number().over(Window.partitionBy(*keys).orderBy(*in_order)).alias("_at"), F.lit(True).alias("_there"))
+    there = s.where("not _direct").select(*cols, "_pos").join(place, meets(F.col("_pos") == F.col("_at")), "left")
+    there = there.select(*cols, F.col("_f_id").alias("picked"), F.when(F.col("_there"), "next").otherwise("missing").alias("how"))
+    walked = s.where("_direct and _twice").select(*cols)
+    mine = f.join(walked.select(*by).distinct(), meets(F.lit(True)), "left_semi")
+    walked = walked.groupBy(*by).cogroup(mine.groupBy(*keys)).applyInPandas(run, schema)
+    return direct.unionByName(there).unionByName(walked)
 
 
 def require_picked(picked: DataFrame, index: str) -> DataFrame:
