@@ -37,3 +37,12 @@ def test_total_duration_of_zero_and_less(spark, equals_sql):
     values = [0.0, 0.0004, 0.0005, 0.0015, 2.5, -1.5, None]
     rows = equals_sql("total_duration", events=events(spark, [(3 * k + r, 1, "view", v) for k, v in enumerate(values) for r in range(3)]))
     assert dict(rows)[1] == 0
+
+
+def test_graph_fold_of_users_without_some_nodes(spark, equals_sql):
+    # user u has an event for each node but u: 1 is an end of the first edit, 8 and 3 of the others
+    rows = [(9 * (20 * u + k) + k, u, "view" if k % 2 else "click", 1.0) for u in range(9) for k in range(9) if k != u]
+    rows += [(9 * (20 * 9 + k) + k, 9, "view", 1.0) for k in (0, 2, 6, 7)]  # neither 1, 3, 4, 5 nor 8
+    out = equals_sql("graph_fold", events=events(spark, rows))
+    assert (1, "error", 0, "no such node: 9 (to)") in {(r[0], r[1], r[8], r[9]) for r in out}
+    assert (9, "error", 5, "no such node: 8 (from)") in {(r[0], r[1], r[8], r[9]) for r in out}

@@ -106,7 +106,10 @@ class Graph:
             self.nodes[assigned] = a.kind
             self.edges.update(wires)
         elif a.type == "connect":
-            source, to = self.there(getattr(a, "from"), "from"), self.there(a.to, "to")
+            # of two ends that are not there, the error names the one given by a reference
+            ends = sorted([("from", getattr(a, "from")), ("to", a.to)], key=lambda e: not (e[1] or "").startswith("@"))
+            at = {field: self.there(name, field) for field, name in ends}
+            source, to = at["from"], at["to"]
             self.edges.update([self._wire(to, a.input, source, a.output)])
         elif a.type == "disconnect":
             to = None if a.to is None else self.there(a.to, "to")
