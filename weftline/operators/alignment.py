@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,7 +34,11 @@ class Options:
 
 @dataclass
 class Aligner:
-    """Walks through the words once: each sentence takes the first window that scores enough, from the cursor on."""
+    """Walks through the words once: each sentence takes the first window that scores enough, from the cursor on.
+
+    Words may come later. What a sentence that waits for them has been compared with is kept, so that
+    a window is scored once however often the sentence is looked for.
+    """
 
     words: list[tuple[str, float, float]]
     options: Options = field(default_factory=Options)
@@ -40,8 +46,33 @@ class Aligner:
     last_end: int = -1
 
     def __post_init__(self) -> None:
-        self.text = [" ".join(_words(w)) for w, _, _ in self.words]
-        self.bare = [_compact(t) for t in self.text]
+        self.text: list[str] = []
+        self.bare: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self._prepare()
+        self._forget()
+
+    def _prepare(self) -> None:
+        for i in range(len(self.text), len(self.words)):
+            text = " ".join(_words(self.words[i][0]))
+            self.text.append(text)
+            self.bare.append(bare := _compact(text))
+            self.places.setdefault(bare, []).append(i)
+
+    def _forget(self) -> None:
+        #: what is being looked for; by length, how many windows scored too little; scores by place and length
+        self._waiting: tuple[str, bool] | None = None
+        self._failed: dict[int, int] = {}
+        self._scored: dict[tuple[int, int], int] = {}
+
+    def extend(self, words: list[tuple[str, float, float]]) -> None:
+        self.words += words
+        self._prepare()
+
+    def skip(self, cursor: int) -> None:
+        """The cursor moves without a match."""
+        self.cursor = cursor
+        self._forget()
 
     def _lengths(self, n: int, aggressive: bool) -> list[list[int]]:
         """Window lengths to try, a list for each widening."""
@@ -53,10 +84,10 @@ class Aligner:
             out.append([k for k in dict.fromkeys(each) if k <= min(most, len(self.words) - self.cursor)])
         return out
 
-    def _score(self, norm: str, bare: str, at: int, k: int, enough: int, stop: int = 101) -> int:
-        score = best_score(norm, " ".join(self.text[at : at + k]), stop, enough)
+    def _score(self, norm: str, bare: str, at: int, k: int, enough: int, stop: int = 101, worth: int = 0) -> int:
+        score = best_score(norm, " ".join(self.text[at : at + k]), stop, enough, worth)
         if score < enough and bare and (other := "".join(self.bare[at : at + k])):
-            score = max(score, best_score(bare, other, stop, enough))
+            score = max(score, best_score(bare, other, stop, enough, worth))
         return score
 
     def _end(self, tokens: list[str], at: int, k: int) -> int:
@@ -88,21 +119,43 @@ class Aligner:
         enough = o.aggressive_score if aggressive else o.least_score
         left = max(o.checks, o.checks_per_word * max(0, len(self.words) - self.cursor), 200_000 if aggressive else 0)
         last = _compact(tokens[-1]) if tokens else ""
-        tails = [i for i in range(self.cursor, len(self.bare)) if self.bare[i] == last] if len(tokens) >= 8 and len(last) >= 3 else []
+        if self._waiting != (text, aggressive):
+            self._forget()
+            self._waiting = (text, aggressive)
+        ends = self.places.get(last, []) if len(tokens) >= 8 and len(last) >= 3 else []
+        first = bisect_left(ends, self.cursor)
         for lengths in self._lengths(max(1, len(tokens)), aggressive):
-            for tail in tails:  # windows that end with the sentence's last word: the best of the lengths
+            for tail in islice(ends, first, None):  # windows that end with the sentence's last word: the best of the lengths
                 starts = [(tail - k + 1, k) for k in lengths if tail - k + 1 >= self.cursor][: max(0, left)]
                 left -= len(starts)
-                scored = [(self._score(norm, bare, i, k, enough), -n, i, k) for n, (i, k) in enumerate(starts)]
-                if scored and (best := max(scored))[0] >= enough:
-                    return self._take(tokens, best[2], best[3])
+                best, place = enough - 1, None
+                for i, k in starts:
+                    if (i, k) not in self._scored:
+                        found = self._score(norm, bare, i, k, enough, worth=best + 1)
+                        if found < enough:  # else the window is taken, or a better one of the same place
+                            self._scored[i, k] = found
+                    else:
+                        found = self._scored[i, k]
+                    if found > best:
+                        best, place = found, (i, k)
+                    if best >= 100:
+                        break
+                if place:
+                    return self._take(tokens, *place)
             for k in lengths:
-                for i in range(self.cursor, len(self.words) - k + 1, max(1, k // (10 if aggressive else 6))):
+                each = range(self.cursor, len(self.words) - k + 1, max(1, k // (10 if aggressive else 6)))
+                known = min(self._failed.get(k, 0), len(each))
+                if known > left + 1:
+                    return None
+                left -= known
+                for n in range(known, len(each)):
                     if left < 0:
+                        self._failed[k] = n
                         return None
                     left -= 1
-                    if self._score(norm, bare, i, k, enough, enough) >= enough:
-                        return self._take(tokens, i, k)
+                    if self._score(norm, bare, each[n], k, enough, enough) >= enough:
+                        return self._take(tokens, each[n], k)
+                self._failed[k] = len(each)
         return None
 
     def _take(self, tokens: list[str], at: int, k: int) -> tuple[int, int]:
@@ -111,7 +164,8 @@ class Aligner:
         stop = max(round(self.words[end - 1][2] * 1000), start)
         if stop - start < self.options.least_ms:
             stop = start + self.options.least_ms
-        self.cursor, self.last_end = end, stop
+        self.skip(end)
+        self.last_end = stop
         return start, stop
 
 
@@ -158,6 +212,12 @@ def spread(texts: list[str | None], start: int, end: int, least_ms: int = 200) -
     return out
 
 
+def by_document(df: DataFrame) -> DataFrame:
+    """Documents dealt to four tasks a core: they are few bytes and much work, and would be put together in a few tasks otherwise."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "doc_id")
+
+
 def align_words(sentences: DataFrame, words: DataFrame, *, recover: int = 0) -> DataFrame:
     """(doc_id, idx, start_ms, end_ms) from sentences (doc_id, idx, text) and words (doc_id, pos, text, start_s, end_s).
 
@@ -170,7 +230,7 @@ def align_words(sentences: DataFrame, words: DataFrame, *, recover: int = 0) ->
         found = align([None if pd.isna(t) else t for t in s.text], list(zip(w.text, w.start_s, w.end_s, strict=True)), recover=recover)
         return pd.DataFrame({"doc_id": s.doc_id.to_numpy(), "idx": s.idx.to_numpy(), "start_ms": pd.array([a for a, _ in found], "Int64"), "end_ms": pd.array([b for _, b in found], "Int64")})
 
-    return sentences.groupBy("doc_id").cogroup(words.groupBy("doc_id")).applyInPandas(run, "doc_id long, idx int, start_ms long, end_ms long")
+    return by_document(sentences).groupBy("doc_id").cogroup(by_document(words).groupBy("doc_id")).applyInPandas(run, "doc_id long, idx int, start_ms long, end_ms long")
 
 
 def timed_words(docs: DataFrame, *, most: int | None = None) -> DataFrame:
