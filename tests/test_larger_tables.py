@@ -46,3 +46,36 @@ def test_graph_fold_of_users_without_some_nodes(spark, equals_sql):
     out = equals_sql("graph_fold", events=events(spark, rows))
     assert (1, "error", 0, "no such node: 9 (to)") in {(r[0], r[1], r[8], r[9]) for r in out}
     assert (9, "error", 5, "no such node: 8 (from)") in {(r[0], r[1], r[8], r[9]) for r in out}
+
+
+def test_a_waiting_sentence_scores_a_window_once(monkeypatch):
+    from weftline.operators import alignment as A
+    from weftline.operators.files_alignment import FileOfWords, Walk
+
+    scored = []
+    monkeypatch.setattr(A, "best_score", lambda a, b, *rest: scored.append((a, b)) or 0)
+    walk = Walk(["the mill stands behind the old bridge today"])
+    for n in range(40):
+        words = [(f"{a}{b}", 1.0, 1.2) for a in "qxzvkw" for b in (n, n + 100, n + 200)]
+        assert walk.feed(FileOfWords(n, 0, "f", 0, 1000, None, words)) == []
+    # forty files of 18 words: every window of the 12 lengths twice at most (as it is and compact), however many files came
+    assert len(walk.unread) == 720 and len(scored) <= 2 * 12 * 720
+
+
+def test_the_best_window_is_that_of_all_windows():
+    import random
+
+    from weftline.functions.fuzzy import best_score, lcs_length, partial_ratio
+
+    r = random.Random(3)
+    for alphabet in ("ab ", "abcdefgh  ") * 30:
+        short, long = ("".join(r.choice(alphabet) for _ in range(n)) for n in (r.randrange(1, 80), r.randrange(80, 220)))
+        n = len(short)
+        windows = [long[max(0, i) : i + n] for i in range(1 - n, len(long))]
+        want = max(200.0 * lcs_length(short, w) / (n + len(w)) for w in windows)
+        assert partial_ratio(short, long) == pytest.approx(want)
+        best = best_score(short, long)
+        assert best >= int(want)
+        for floor in (55, 70, 85):
+            got = best_score(short, long, 101, floor, floor + 5)
+            assert (got >= floor) == (best >= floor) and (got == best or best < floor + 5)

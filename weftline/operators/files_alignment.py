@@ -10,14 +10,14 @@ the file's end.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .alignment import Aligner, Options, spread
+from .alignment import Aligner, Options, by_document, spread
 
 #: Sentences among which an anchor is looked for.
 LOOKAHEAD = 8
@@ -46,24 +46,35 @@ class FileOfWords:
         return cls(int(row.number), 0 if pd.isna(row.version) else int(row.version), row.source if isinstance(row.source, str) else None, start, end, whole(row.chunk_end), words)
 
 
-@dataclass
 class Walk:
     """Where the alignment of a document stands: the next sentence, the end of the last one, and the words not read yet."""
 
-    sentences: list[str | None]
-    next: int = 0
-    last_end: int = -1
-    unread: list[tuple[str, float, float]] = field(default_factory=list)
-    options: Options = field(default_factory=Options)
-    lookahead: int = LOOKAHEAD
+    def __init__(self, sentences: list[str | None], next: int = 0, last_end: int = -1, unread: list[tuple[str, float, float]] | None = None, options: Options | None = None, lookahead: int = LOOKAHEAD):
+        self.sentences, self.next, self.lookahead = sentences, next, lookahead
+        self.options = options or Options()
+        self._aligner = Aligner(list(unread or []), self.options, 0, last_end)
+
+    @property
+    def last_end(self) -> int:
+        return self._aligner.last_end
+
+    @property
+    def left(self) -> int:
+        """How many words are not read yet."""
+        return len(self._aligner.words) - self._aligner.cursor
+
+    @property
+    def unread(self) -> list[tuple[str, float, float]]:
+        return self._aligner.words[self._aligner.cursor :]
 
     def feed(self, f: FileOfWords) -> list[tuple[int, int | None, int | None, str]]:
         """(sentence, start, end, how) of what the file settles, in order: match, placeholder, gap, anchor or rest."""
-        words = self.unread + f.words
-        a = Aligner(words, self.options, 0, self.last_end)
+        a = self._aligner
+        a.extend(f.words)
+        words, left = a.words, self.left
         stop = len(self.sentences) if f.chunk_end is None else min(len(self.sentences), f.chunk_end)
-        first = f.start_ms if f.start_ms is not None else round(words[0][1] * 1000) if words else 0
-        end = f.end_ms if f.end_ms is not None else max(first, round(words[-1][2] * 1000) if words else first)
+        first = f.start_ms if f.start_ms is not None else round(words[a.cursor][1] * 1000) if left else 0
+        end = f.end_ms if f.end_ms is not None else max(first, round(words[-1][2] * 1000) if left else first)
         out: list[tuple[int, int | None, int | None, str]] = []
         while True:
             while self.next < stop:
@@ -76,8 +87,6 @@ class Walk:
             if f.chunk_end is None or self.next >= stop:
                 break
             out += self._anchored(a, stop, first, end) or self._rest(a, stop, first, end)
-        self.last_end = a.last_end
-        self.unread = words[a.cursor :]
         return out
 
     def _shares(self, until: int, start: int, end: int, how: str) -> list[tuple[int, int | None, int | None, str]]:
@@ -108,7 +117,7 @@ class Walk:
         base = min(end, max(first, a.last_end + 1))
         out = self._shares(stop, base, end, "rest")
         self.next, a.last_end = stop, max(a.last_end, end)
-        a.cursor = next((i for i in range(a.cursor, len(a.words)) if round(a.words[i][1] * 1000) > a.last_end), len(a.words))
+        a.skip(next((i for i in range(a.cursor, len(a.words)) if round(a.words[i][1] * 1000) > a.last_end), len(a.words)))
         return out
 
 
@@ -132,7 +141,7 @@ def align_files(sentences: DataFrame, files: DataFrame, *, lookahead: int = LOOK
         return frame(rows, ["doc_id", "idx", "start_ms", "end_ms", "source", "how"])
 
     last = files.groupBy("doc_id", "number").agg(F.max_by(F.struct(*[c for c in files.columns if c not in ("doc_id", "number")]), "version").alias("f")).select("doc_id", "number", "f.*")
-    return sentences.groupBy("doc_id").cogroup(last.groupBy("doc_id")).applyInPandas(run, ALIGNED)
+    return by_document(sentences).groupBy("doc_id").cogroup(by_document(last).groupBy("doc_id")).applyInPandas(run, ALIGNED)
 
 
 def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
