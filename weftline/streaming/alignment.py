@@ -10,6 +10,8 @@ the last versions only, in order.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,39 +56,58 @@ class AlignmentState(StatefulProcessor):
         new = pd.concat(list(rows), ignore_index=True)
         out: list[tuple] = []
         stored = self._stored()
+        held: dict[int, tuple[FileOfWords, tuple[int, int, int, int]]] = {}  # files read or written in this call
+        walk, fed = None, None  # the walk behind the file of the number ``fed``
+
+        def file(number: int) -> tuple[FileOfWords, tuple[int, int, int, int]]:
+            if number not in held:
+                held[number] = self._file(number)
+            return held[number]
+
         for r in new.sort_values(["version", "number"], kind="stable").itertuples(index=False):
             f = FileOfWords.of(r)
             if f.number <= gone:
                 out.append((key[0], None, None, None, f.source, "late", revision))
                 continue
-            if f.number in stored and self._file(f.number)[0].version >= f.version:
+            known = bisect_left(stored, f.number)
+            there = known < len(stored) and stored[known] == f.number
+            if there and file(f.number)[0].version >= f.version:
                 continue  # it was delivered before
-            again = [n for n in stored if n >= f.number]
+            again = stored[known:]
             settled = upto
             if again:
                 revision += 1
-                upto, last_end, _, read = self._file(again[0])[1]
-            todo = [f, *(self._file(n)[0] for n in again if n != f.number)]
-            stored = sorted({*stored, f.number})
-            for g in todo:
-                before = [n for n in stored if n < g.number]
-                # words that earlier files left unread
-                unread, total = [], gone_words
-                for n in before:
-                    h, (_, _, at, _) = self._file(n)
-                    unread += h.words[max(0, read - at) :]
+                upto, last_end, _, read = file(again[0])[1]
+                walk = None
+            todo = [f, *(file(n)[0] for n in again if n != f.number)]
+            if not there:
+                stored.insert(known, f.number)
+            for place, g in enumerate(todo, known):
+                before = stored[place - 1] if place else None
+                total = gone_words
+                if before is not None:
+                    h, (_, _, at, _) = file(before)
                     total = at + len(h.words)
-                walk = Walk(sentences, upto, last_end, unread, lookahead=self.lookahead)
+                if walk is None or fed != before:
+                    # words that earlier files left unread, the last file's first
+                    unread: list[list] = []
+                    for n in reversed(stored[:place]):
+                        h, (_, _, at, _) = file(n)
+                        unread.append(h.words[max(0, read - at) :])
+                        if at <= read:
+                            break
+                    walk = Walk(sentences, upto, last_end, [w for ws in reversed(unread) for w in ws], lookahead=self.lookahead)
                 value = (g.version, g.source, g.start_ms, g.end_ms, g.chunk_end, *([w[k] for w in g.words] for k in range(3)), upto, last_end, total, read)
                 self.files.updateValue((g.number,), value)
+                held[g.number] = (g, (upto, last_end, total, read))
                 out += [(key[0], i, a, b, g.source, how, revision) for i, a, b, how in walk.feed(g)]
-                upto, last_end = walk.next, walk.last_end
-                read = total + len(g.words) - len(walk.unread)
+                upto, last_end, fed = walk.next, walk.last_end, g.number
+                read = total + len(g.words) - walk.left
             # what was settled before and is not any more
             out += [(key[0], i, None, None, None, "withdrawn", revision) for i in range(upto, settled)]
-            while self.keep is not None and len(stored) > self.keep and self._file(stored[1])[1][3] >= self._file(stored[1])[1][2]:
+            while self.keep is not None and len(stored) > self.keep and file(stored[1])[1][3] >= file(stored[1])[1][2]:
                 gone = stored.pop(0)
-                gone_words = self._file(stored[0])[1][2]
+                gone_words = file(stored[0])[1][2]
                 self.files.removeKey((gone,))
         self.standing.update((upto, last_end, read, revision, gone, gone_words))
         yield frame(out, _NAMES).astype({"revision": "int32"})
