@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Kinds of a group's rows, in their order.
+_FILE, _INDEX, _SEGMENT = range(3)
 
 
 def pick_exclusive(segments: DataFrame, files: DataFrame, by: list[str], *, index: str, order: list[str], file_index: str, file_id: str, file_order: list[str]) -> DataFrame:
@@ -16,67 +23,63 @@ def pick_exclusive(segments: DataFrame, files: DataFrame, by: list[str], *, inde
     first free one in ``file_order``. Segments behind the last free file get
     null and ``missing``; :func:`require_picked` makes that an error.
 
-    In most groups no choice depends on another: without files for all
-    indexes, segments and files meet by position, and with them, where no
-    index repeats, by index. Only groups that repeat one are walked through,
-    a group a task. Null indexes match nothing.
+    A group is a stream of rows in one task: its files, the indexes of its
+    segments, and the segments, each of which goes out as it comes. Only the
+    files of one group are kept. Null indexes match nothing.
     """
     clash = {"picked", "how"} & set(segments.columns)
     if clash:
         raise ValueError(f"segments have columns of the result's names: {sorted(clash)}")
-    kinds = dict(files.dtypes)
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in segments.dtypes), f"picked {kinds[file_id]}", "how string"])
-
-    def run(s: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values([f"_f_{c}" for c in file_order], kind="stable")
-        ids = f["_f_id"].tolist()
-        own: dict = {}
-        for place, i in enumerate(f["_f_index"]):
-            if not pd.isna(i):
-                own.setdefault(int(i), place)
-        s = s.sort_values(order, kind="stable")
-        wanted = [None if pd.isna(i) else int(i) for i in s[index]]
-        direct = bool(wanted) and all(i in own for i in wanted)
-        used, at, picked, how = [False] * len(ids), 0, [], []
-        for i in wanted:
-            place, kind = (own[i], "direct") if direct and not used[own[i]] else (None, "next")
-            if place is None:
-                while at < len(ids) and used[at]:
-                    at += 1
-                place = at if at < len(ids) else None
-            if place is None:
-                kind = "missing"
-            else:
-                used[place] = True
-            picked.append(None if place is None else ids[place])
-            how.append(kind)
-        return s.assign(picked=pd.array(picked, dtype="object"), how=how)[[*s.columns, "picked", "how"]]
-
     keys = [f"_by_{c}" for c in by]
-    f = files.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(file_id).alias("_f_id"), F.col(file_index).alias("_f_index"), *[F.col(c).alias(f"_f_{c}") for c in file_order])
-    in_order = [f"_f_{c}" for c in file_order]
-    group = Window.partitionBy(*by)
+    placed = [f"_f_{c}" for c in file_order]
+    ordered = [f"_s_{c}" for c in order]
+    f = files.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.lit(_FILE).alias("_kind"), F.col(file_index).alias("_index"), F.col(file_id).alias("_id"), *[F.col(c).alias(k) for c, k in zip(file_order, placed, strict=True)])
+    s = segments.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(index).alias("_index"), *[F.col(c).alias(k) for c, k in zip(order, ordered, strict=True)], F.struct(*segments.columns).alias("_row"))
+    both = f.unionByName(s.drop("_row", *ordered).withColumn("_kind", F.lit(_INDEX)), allowMissingColumns=True).unionByName(s.withColumn("_kind", F.lit(_SEGMENT)), allowMissingColumns=True)
+    # the window deals groups to tasks and puts each in order, which is the order in which its rows are read
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("_kind", *[F.col(c).asc_nulls_last() for c in (*placed, *ordered)]))
+    schema = T.StructType([*segments.schema.fields, T.StructField("picked", files.schema[file_id].dataType), T.StructField("how", T.StringType())])
+    return both.select("_kind", "_index", "_id", "_row", at.alias("_at")).mapInArrow(_walk, schema)
 
-    def meets(extra):
-        on = extra
-        for c, k in zip(by, keys, strict=True):
-            on = on & F.col(c).eqNullSafe(F.col(k))
-        return on
 
-    first = F.row_number().over(Window.partitionBy(*keys, "_f_index").orderBy(*in_order))
-    own = f.where("_f_index is not null").withColumn("_n", first).where("_n = 1").select(*keys, "_f_index", F.col("_f_id").alias("_own"), F.lit(True).alias("_has"))
-    s = segments.withColumns({"_pos": F.row_number().over(group.orderBy(*order)), "_same": F.when(F.col(index).isNotNull(), F.count("*").over(Window.partitionBy(*by, index)))})
-    s = s.join(own, meets(F.col(index) == F.col("_f_index")), "left").drop(*keys, "_f_index")
-    s = s.withColumns({"_direct": F.min(F.coalesce("_has", F.lit(False))).over(group), "_twice": F.max("_same").over(group) > 1})
-    cols = segments.columns
-    direct = s.where("_direct and not _twice").select(*cols, F.col("_own").alias("picked"), F.lit("direct").alias("how"))
-    place = f.select(*keys, F.col("_f_id"), F.row_number().over(Window.partitionBy(*keys).orderBy(*in_order)).alias("_at"), F.lit(True).alias("_there"))
-    there = s.where("not _direct").select(*cols, "_pos").join(place, meets(F.col("_pos") == F.col("_at")), "left")
-    there = there.select(*cols, F.col("_f_id").alias("picked"), F.when(F.col("_there"), "next").otherwise("missing").alias("how"))
-    walked = s.where("_direct and _twice").select(*cols)
-    mine = f.join(walked.select(*by).distinct(), meets(F.lit(True)), "left_semi")
-    walked = walked.groupBy(*by).cogroup(mine.groupBy(*keys)).applyInPandas(run, schema)
-    return direct.unionByName(there).unionByName(walked)
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Picks for groups one after the other; place 1 begins a group."""
+    ids, own, used, direct, at, last = [], {}, [], True, 0, 0
+    for batch in batches:
+        picked, how = [], []
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in ("_kind", "_index", "_id", "_at")]
+        for kind, i, file, place in zip(*(c.to_pylist() for c in columns), strict=True):
+            if place == 1:
+                ids, own, used, direct, at = [], {}, [], True, 0
+            elif place != last + 1:
+                raise AssertionError("rows of a group are not in order")
+            last = place
+            if kind == _FILE:
+                if i is not None:
+                    own.setdefault(i, len(ids))
+                ids.append(file)
+                used.append(False)
+                continue
+            if kind == _INDEX:
+                direct = direct and i in own
+                continue
+            if direct and not used[own[i]]:
+                used[own[i]] = True
+                picked.append(ids[own[i]])
+                how.append("direct")
+                continue
+            while at < len(ids) and used[at]:
+                at += 1
+            if at < len(ids):
+                used[at] = True
+                picked.append(ids[at])
+                how.append("next")
+            else:
+                picked.append(None)
+                how.append("missing")
+        if picked:
+            rows = batch.column(batch.schema.get_field_index("_row")).filter(pc.equal(columns[0], _SEGMENT))
+            yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(picked, columns[2].type), pa.array(how, pa.string())], names=[*(x.name for x in rows.type), "picked", "how"])
 
 
 def require_picked(picked: DataFrame, index: str) -> DataFrame:
