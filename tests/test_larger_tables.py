@@ -79,3 +79,15 @@ def test_the_best_window_is_that_of_all_windows():
         for floor in (55, 70, 85):
             got = best_score(short, long, 101, floor, floor + 5)
             assert (got >= floor) == (best >= floor) and (got == best or best < floor + 5)
+
+
+def test_batch_groups_is_batch_items_by_group(spark):
+    from weftline.functions import tables
+
+    tables.register(spark)
+    sizes = "cast(case when id % 11 = 0 then null else id % 23 - 3 end as bigint)"
+    spark.sql(f"SELECT cast(case when id % 500 < 400 then id % 7 end as bigint) AS g, id AS n, {sizes} AS s FROM range(30000)").createOrReplaceTempView("grouped")
+    want = spark.sql("SELECT g, n, batch, place, carried FROM batch_items(TABLE(grouped) PARTITION BY (g) ORDER BY (n), 40, 's')").collect()
+    dealt = spark.table("grouped").repartition(3, "g").sortWithinPartitions("g", "n")
+    got = spark.sql("SELECT key, n, batch, place, carried FROM batch_groups(TABLE(SELECT * FROM {t}), 40)", t=dealt).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want))) and len(got) == 30000

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, SkipRestOfInputTableException, udtf
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, SkipRestOfInputTableException, arrow_udtf, udtf
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 _ADDED = ("batch", "place", "carried")
@@ -57,6 +58,38 @@ class BatchItems:
             self.batch, self.place, self.sum = self.batch + 1, 0, 0
 
 
+@arrow_udtf(returnType="key long, n long, batch long, place long, carried long")
+class BatchGroups:
+    """As ``batch_items`` for a table of (key, n, size), many rows a call: (key, n, batch, place, carried).
+
+    The count begins again where the key changes. The table is dealt by the
+    key and sorted by key and n before, and has no PARTITION BY, which makes a call of each group.
+    """
+
+    def __init__(self):
+        self.key, self.state = None, (0, 0, 0, 0)
+
+    def eval(self, items: pa.RecordBatch, limit: pa.Array):
+        least = limit[0].as_py() if len(limit) else 1
+        if least is None or least < 1:
+            raise ValueError("limit must be positive")
+        last, (batch, place, total, carried) = self.key, self.state
+        batches, places, carries = [], [], []
+        for key, size in zip(items.column(0).to_pylist(), items.column(2).to_pylist(), strict=True):
+            if key != last:
+                last, batch, place, total, carried = key, 0, 0, 0, 0
+            batches.append(batch)
+            places.append(place)
+            carries.append(carried)
+            place += 1
+            total += max(0, size or 0)
+            if carried + total >= least:
+                carried, batch, place, total = (carried + total) % least, batch + 1, 0, 0
+        self.key, self.state = last, (batch, place, total, carried)
+        added = [pa.array(x, pa.int64()) for x in (batches, places, carries)]
+        yield pa.RecordBatch.from_arrays([items.column(0), items.column(1), *added], names=["key", "n", *_ADDED])
+
+
 @udtf
 class FirstItems:
     """The first ``n`` rows of each partition of a table; the rest of a partition is not read on."""
@@ -111,7 +144,7 @@ class HarvestItems:
                 pos += 1
 
 
-FUNCTIONS = {"batch_items": BatchItems, "first_items": FirstItems, "harvest_items": HarvestItems}
+FUNCTIONS = {"batch_items": BatchItems, "batch_groups": BatchGroups, "first_items": FirstItems, "harvest_items": HarvestItems}
 
 
 def register(spark: SparkSession) -> None:

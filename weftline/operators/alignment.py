@@ -212,10 +212,10 @@ def spread(texts: list[str | None], start: int, end: int, least_ms: int = 200) -
     return out
 
 
-def by_document(df: DataFrame) -> DataFrame:
-    """Documents dealt to four tasks a core: they are few bytes and much work, and would be put together in a few tasks otherwise."""
+def dealt(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Groups dealt to four tasks a core: they are few bytes and much work, and would be put together in a few tasks otherwise."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "doc_id")
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
 
 
 def align_words(sentences: DataFrame, words: DataFrame, *, recover: int = 0) -> DataFrame:
@@ -230,7 +230,7 @@ def align_words(sentences: DataFrame, words: DataFrame, *, recover: int = 0) ->
         found = align([None if pd.isna(t) else t for t in s.text], list(zip(w.text, w.start_s, w.end_s, strict=True)), recover=recover)
         return pd.DataFrame({"doc_id": s.doc_id.to_numpy(), "idx": s.idx.to_numpy(), "start_ms": pd.array([a for a, _ in found], "Int64"), "end_ms": pd.array([b for _, b in found], "Int64")})
 
-    return by_document(sentences).groupBy("doc_id").cogroup(by_document(words).groupBy("doc_id")).applyInPandas(run, "doc_id long, idx int, start_ms long, end_ms long")
+    return dealt(sentences).groupBy("doc_id").cogroup(dealt(words).groupBy("doc_id")).applyInPandas(run, "doc_id long, idx int, start_ms long, end_ms long")
 
 
 def timed_words(docs: DataFrame, *, most: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .alignment import Aligner, Options, by_document, spread
+from .alignment import Aligner, Options, dealt, spread
 
 #: Sentences among which an anchor is looked for.
 LOOKAHEAD = 8
@@ -141,7 +141,7 @@ def align_files(sentences: DataFrame, files: DataFrame, *, lookahead: int = LOOK
         return frame(rows, ["doc_id", "idx", "start_ms", "end_ms", "source", "how"])
 
     last = files.groupBy("doc_id", "number").agg(F.max_by(F.struct(*[c for c in files.columns if c not in ("doc_id", "number")]), "version").alias("f")).select("doc_id", "number", "f.*")
-    return by_document(sentences).groupBy("doc_id").cogroup(by_document(last).groupBy("doc_id")).applyInPandas(run, ALIGNED)
+    return dealt(sentences).groupBy("doc_id").cogroup(dealt(last).groupBy("doc_id")).applyInPandas(run, ALIGNED)
 
 
 def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:

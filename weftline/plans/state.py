@@ -253,8 +253,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
     U.register(spark)
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("bigint")
-    lines = table(spark, d, "lineitem").select("l_orderkey", n.alias("n"), F.col("l_quantity").cast("bigint").alias("q"))
-    return spark.sql("SELECT l_orderkey, n, batch, place, carried FROM batch_items(TABLE(SELECT * FROM {lines}) PARTITION BY (l_orderkey) ORDER BY (n), 60, 'q')", lines=lines)
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("q"))
+    lines = A.dealt(lines, "l_orderkey").select("l_orderkey", n.alias("n"), "q").sortWithinPartitions("l_orderkey", "n")
+    return spark.sql("SELECT key AS l_orderkey, n, batch, place, carried FROM batch_groups(TABLE(SELECT * FROM {lines}), 60)", lines=lines)
 
 
 _NESTED = """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, text AS value FROM conversations WHERE text IS NOT NULL"""
