@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Punctuation and spaces with their plain forms.
 PLAIN_PUNCTUATION = {
@@ -102,16 +100,11 @@ def hard_split(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, HARD_BREAK, -1), lambda x: F.trim(x)), lambda x: x != "")
 
 
-@F.pandas_udf(T.StringType())
-def decode_fallback(raw: pd.Series) -> pd.Series:
-    """UTF-8 if the bytes are that, else Windows-1251 with undecodable bytes dropped; Spark's own ``decode`` lacks that charset."""
+#: Fixed value: the upper half of Windows-1251 in the order of its bytes, without 0x98, which it does not have.
+_CP1251 = bytes([*range(0x80, 0x98), *range(0x99, 0x100)]).decode("cp1251")
 
-    def one(b: bytes | None) -> str | None:
-        if b is None:
-            return None
-        try:
-            return bytes(b).decode("utf-8")
-        except UnicodeDecodeError:
-            return bytes(b).decode("cp1251", "ignore")
 
-    return raw.map(one)
+def decode_fallback(raw: Column) -> Column:
+    """UTF-8 if the bytes are that, else Windows-1251 with undecodable bytes dropped; Spark's own ``decode`` lacks that charset."""
+    upper = "".join(map(chr, [*range(0x80, 0x98), *range(0x99, 0x100)])) + "\x98"
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.translate(F.decode(raw, "iso-8859-1"), upper, _CP1251))
