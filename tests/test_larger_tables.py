@@ -91,3 +91,38 @@ def test_batch_groups_is_batch_items_by_group(spark):
     dealt = spark.table("grouped").repartition(3, "g").sortWithinPartitions("g", "n")
     got = spark.sql("SELECT key, n, batch, place, carried FROM batch_groups(TABLE(SELECT * FROM {t}), 40)", t=dealt).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want))) and len(got) == 30000
+
+
+def test_decode_fallback_is_that_of_python_without_python_workers(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from weftline.functions.text import decode_fallback
+
+    def one(b):
+        try:
+            return b.decode("utf-8")
+        except UnicodeDecodeError:
+            return b.decode("cp1251", "ignore")
+
+    r = random.Random(9)
+    raw = [b"", b"abc", "\u043f\u0440\u0438\u0432\u0435\u0442".encode("cp1251"), "\u043f\u0440\U0001f600".encode(), bytes(range(256)), b"\xed\xa0\x80", b"\xc0\x80", b"\xf4\x90\x80\x80", b"\xe2\x82", b"a\x98\xe0"]
+    raw += [bytes(r.choice((0x41, 0x98, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0x9F)) for _ in range(r.randrange(6))) for _ in range(300)]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raw)] + [(-1, None)], "i int, b binary")
+    out = df.select("i", decode_fallback(F.col("b")).alias("t"))
+    got = {x.i: x.t for x in out.collect()}
+    assert got.pop(-1) is None and got == {i: one(b) for i, b in enumerate(raw)}
+    assert "Python" not in spark.createDataFrame([], "b binary").select(decode_fallback(F.col("b")))._jdf.queryExecution().toString()
+
+
+def test_balanced_chunks_of_a_batch_are_some_texts_at_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from weftline.functions import sequences as Q
+
+    texts = [None, "", *(f"One {n}. Two and three? " * (n % 9) for n in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = {r.i: r.c for r in df.select("i", Q.balanced_chunks_col(F.col("t"), 40).alias("c")).collect()}
+    assert got == {i: Q.balanced_chunks(t, 40) for i, t in enumerate(texts)}
+    assert Q._AT_ONCE < len(texts)
