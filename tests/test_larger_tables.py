@@ -126,3 +126,13 @@ def test_balanced_chunks_of_a_batch_are_some_texts_at_once(spark, monkeypatch):
     got = {r.i: r.c for r in df.select("i", Q.balanced_chunks_col(F.col("t"), 40).alias("c")).collect()}
     assert got == {i: Q.balanced_chunks(t, 40) for i, t in enumerate(texts)}
     assert Q._AT_ONCE < len(texts)
+
+
+def test_every_page_is_aligned_with_its_neighbour(spark):
+    from weftline.llm.html_extract import extract_main_text
+
+    own = ["<p>The harbour froze early that year.</p><p>Nobody sailed before April.</p>", "<p>A mill burned at night.</p><p>Its owner left the valley.</p>"]
+    pages = [(i, f"https://a.org/{kind}/{i % 2}", f"<main><p>Sign up for the weekly letter</p>{f'<article>{x}<p>Read on</p></article>' if kind == 'b' else x}</main>") for i, (kind, x) in enumerate([("b", own[0]), ("b", own[1]), ("m", own[0]), ("m", own[1])])]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = [x.replace("</p><p>", "\n").replace("<p>", "").replace("</p>", "") for x in own]
+    assert got == {0: want[0] + "\nRead on", 1: want[1] + "\nRead on", 2: want[0], 3: want[1]}

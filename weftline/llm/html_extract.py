@@ -239,33 +239,35 @@ def shared_lines(mine: list[int], other: list[int]) -> list[int]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages that have an article or main element get their text here; for the others the open lines go on."""
+    """The lines of each page that may be its text, those of article and main where it has any, else the open ones; ``firm`` are those of an article."""
     for batch in batches:
         for at in range(0, len(batch), 500):
             part = batch.slice(at, 500)
-            text, lines, hashes = [], [], []
+            lines, firm, hashes = [], [], []
             for page in part.column(2).to_pylist():
                 found = page_lines(page)
-                marked = [s for z, s in found if z >= MAIN]
-                rest = [s for z, s in found if z == OPEN]
-                text.append("\n".join(marked) if marked else None)
-                lines.append(None if marked else rest)
-                hashes.append([xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - 2**63 for s in rest])
+                found = [x for x in found if x[0] >= MAIN] or [x for x in found if x[0] == OPEN]
+                lines.append([s for _, s in found])
+                firm.append([z == ARTICLE for z, _ in found])
+                hashes.append([xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - 2**63 for _, s in found])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(text, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["page_id", "url", "text", "lines", "hashes"],
+                [part.column(0), part.column(1), pa.array(lines, pa.list_(pa.string())), pa.array(firm, pa.list_(pa.bool_())), pa.array(hashes, pa.list_(pa.int64()))],
+                names=["page_id", "url", "lines", "firm", "hashes"],
             )
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, positions of the lines that its neighbour shares and no article holds) of the pages that have such lines."""
     for batch in batches:
-        text = []
-        for lines, mine, other in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-            gone = set(shared_lines(mine, other or []))
+        rows, away = [], []
+        for row, firm, mine, other in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            gone = shared_lines(mine, other or [])
             if len(gone) * 10 >= len(mine) * 9:  # a copy
-                gone = set()
-            text.append("\n".join(s for i, s in enumerate(lines) if i not in gone))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
+                continue
+            if gone := [i for i in gone if not firm[i]]:
+                rows.append(row)
+                away.append(gone)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(away, pa.list_(pa.int32()))], names=["row", "gone"])
 
 
 def _nearest(pages: DataFrame) -> DataFrame:
@@ -299,8 +301,9 @@ def _nearest(pages: DataFrame) -> DataFrame:
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text (blocks joined by one newline; empty if none) and n_chars in code points.
 
-    Pages with ``article`` or ``main`` give all lines of these; else the open
-    lines that the nearest different page by URL does not share. Null or empty
+    Every page is paired with the nearest different page by URL and aligned
+    with it. Pages with ``article`` or ``main`` give the lines of these, else
+    the open lines; those that the other page shares go, but for the lines of an article. Null or empty
     html gives an empty text; a null or odd URL is a host of its own name
     (empty). Repeated pages keep their lines; an empty table gives no rows; no
     other column is looked at. Broken markup is read as a browser would: what a tag leaves
@@ -308,13 +311,12 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     """
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     kind = dict(src.dtypes)["page_id"]
-    parsed = cut(src.mapInArrow(_parse, f"page_id {kind}, url string, text string, lines array<string>, hashes array<long>"))
-    whole = parsed.where("text is not null").select("page_id", "url", "text")
-    rest = whole
-    if parsed.where("text is null").take(1):
-        url = F.coalesce(F.col("url"), F.lit(""))
-        keyed = parsed.withColumns({"host": F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), "path": F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)})
-        near = _nearest(keyed.select("page_id", "url", "host", "path", "lines", "hashes")).where("lines is not null")
-        open_ = near.select("page_id", "url", "lines", "hashes", "other").mapInArrow(_difference, f"page_id {kind}, url string, text string")
-        rest = whole.unionByName(open_)
+    parsed = src.mapInArrow(_parse, f"page_id {kind}, url string, lines array<string>, firm array<boolean>, hashes array<long>")
+    parsed = cut(parsed.withColumn("row", F.monotonically_increasing_id()))
+    url = F.coalesce(F.col("url"), F.lit(""))
+    keyed = parsed.select("row", "page_id", "firm", "hashes", F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"), F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"))
+    # lines stay where they are: only hashes are paired, and only positions of lines come back
+    gone = cut(_nearest(keyed).select("row", "firm", "hashes", "other").mapInArrow(_difference, "row long, gone array<int>"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i))
+    rest = parsed.join(gone, "row", "left").select("page_id", "url", F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept), "\n").alias("text"))
     return rest.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
