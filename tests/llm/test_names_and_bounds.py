@@ -66,3 +66,32 @@ def test_rows_of_one_id_with_different_texts_keep_their_links(spark):
     out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ngram=2).collect()
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.class_id) for r in out)
     assert got == [(3, 40, 3, 3), (5, 1, 5, 5), (5, 39, 5, 5), (7, 40, 5, 7), (9, 39, 3, 9), (9, 40, 3, 9), (11, 1, 5, 5), (12, 6, 12, 12)]
+
+
+def test_line_dedup_sorts_and_sends_no_more_than_it_must(spark, monkeypatch):
+    """Classes are summed up by hashing, and joins of a table with itself read one exchange; ids that do not fit beside a line's number in a long give the same lines."""
+    from weftline.llm import line_dedup
+
+    body = "\n".join(["one two three four five six seven eight nine ten", "Ten nine eight seven six five four three two one", "", "one two three four five six seven eight nine ten eleven", "something else"])
+    real = line_dedup.cut
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(line_dedup, "cut", cut)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for least in (-3, -(1 << 63)):
+            plans = []
+            docs = spark.createDataFrame([(least, body), (least + 1, body), (least + 2, None)], "doc_id long, text string")
+            got = {r.doc_id - least: (r.n_lines, r.removed) for r in deduplicate_lines(docs).collect()}
+            assert got == {0: (5, [1, 3]), 1: (5, [0, 1, 3, 4]), 2: (0, [])}
+            if abs(least) < 1 << 31:
+                assert not [p for p in plans if "SortAggregate" in p and "prefix" in p]
+            semi = [p for p in plans if "LeftSemi" in p and "key#" in p]
+            # no side of a join with itself has columns that the other lacks, or names of its own
+            assert len(semi) == 2 and not [p for p in semi if " AS n_b#" in p or " AS k1_b#" in p]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -21,6 +21,9 @@ candidates, not results.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +56,8 @@ def rarity(docs: DataFrame, text_col: str, bits: int = COUNTER_BITS):
     and goes into the plan as an array.
     """
     slot = lambda h: h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-    each = docs.select(F.lower(F.col(text_col)).alias("t")).select(F.explode(split_words(F.col("t"))).alias("w"))
+    flat = F.replace(F.lower(F.col(text_col)), F.lit("\n"), F.lit(" "))  # texts of one kind of white space are cut without a pattern
+    each = docs.select(flat.alias("t")).select(F.explode(split_words(F.col("t"))).alias("w"))
     by = each.groupBy(slot(F.xxhash64("w")).alias("at")).agg(F.count("*").alias("c"))
     ranks = _packed(by.select("at", F.least(F.lit(127), F.floor(3 * F.log2(F.col("c")))).cast("long").alias("w")), 1 << bits)
     table = F.split(F.lit(ranks.select(F.array_join(F.col("all").cast("array<string>"), ",")).first()[0]), ",").cast("array<tinyint>")
@@ -66,9 +70,19 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.where("id is not null")
 
 
-def _rank():
-    """Document first, then line: the order in which later matches go."""
-    return (F.col("id").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")).cast("decimal(31,0)")
+def _firsts(lines: DataFrame, by: list[str]) -> DataFrame:
+    """The groups with ``doc`` and ``line`` of their first row, document first, then line.
+
+    Both go into one long where ids are small enough, which Spark sums up by hashing; decimals have it sort all rows.
+    """
+    low, high = lines.agg(F.min("id"), F.max("id")).first()
+    small = low is None or -(1 << 31) <= low <= high < 1 << 31
+    kind, step = ("bigint", F.lit(1 << 32)) if small else ("decimal(31,0)", F.lit(10**10).cast("decimal(11,0)"))
+    rank = (F.col("id").cast("bigint" if small else "decimal(20,0)") * step + F.col("pos")).cast(kind)
+    out = lines.groupBy(*by).agg(F.min(rank).alias("at"))
+    at = F.pmod("at", step)
+    doc = F.shiftright("at", 32) if small else (F.col("at") - at) / step
+    return out.select(*by, doc.cast("long").alias("doc"), at.cast("int").alias("line"))
 
 
 def _need(n, percent: int):
@@ -76,10 +90,6 @@ def _need(n, percent: int):
     return F.floor((n * percent + 99) / F.lit(100)).cast("int")
 
 
-def _side(entry: DataFrame, end: str) -> DataFrame:
-    return entry.select("key", *[F.col(c).alias(f"{c}_{end}") for c in entry.columns if c != "key"])
-
-
 def _parities(toks, part: int | None = None):
     """64 parities of a set by its words' hashes; with ``part``, of one in four of 256."""
     flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int")))
@@ -89,16 +99,21 @@ def _parities(toks, part: int | None = None):
 
 
 def _close(percent: int, parities: tuple[str, ...] = ("parity",)):
-    """Length and parity filters on sets ``_a`` and ``_b``."""
-    na, nb = F.col("n_a"), F.col("n_b")
-    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in parities[1:]), F.bit_count(F.col(f"{parities[0]}_a").bitwiseXOR(F.col(f"{parities[0]}_b"))))
+    """Length and parity filters on sets ``a`` and ``b``."""
+    na, nb = F.col("a.n"), F.col("b.n")
+    apart = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in parities[1:]), F.bit_count(F.col(f"a.{parities[0]}").bitwiseXOR(F.col(f"b.{parities[0]}"))))
     # no more words may differ than both have beside those that they must share
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
+def _meet():
+    """Rows ``a`` and ``b`` of one word."""
+    return F.col("a.key") == F.col("b.key")
+
+
 def _candidate(percent: int, parities: tuple[str, ...] = ("parity",)):
-    """Length, parity and positional filters on rows ``_a`` and ``_b`` of one prefix word."""
-    na, nb, at_a, at_b = (F.col(c) for c in ("n_a", "n_b", "at_a", "at_b"))
+    """Length, parity and positional filters on rows ``a`` and ``b`` of one prefix word."""
+    na, nb, at_a, at_b = (F.col(c) for c in ("a.n", "b.n", "a.at", "b.at"))
     # so many words have to be before the shared one and from it on
     reach = F.least(at_a, at_b) + F.least(na - at_a, nb - at_b)
     return _close(percent, parities) & (reach * (100 + percent) >= (na + nb) * percent)
@@ -106,8 +121,8 @@ def _candidate(percent: int, parities: tuple[str, ...] = ("parity",)):
 
 def _verified(percent: int):
     """The threshold itself, on the full sets."""
-    both = F.size(F.array_intersect("toks_a", "toks_b"))
-    return both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent
+    both = F.size(F.array_intersect("a.toks", "b.toks"))
+    return both * 100 >= (F.col("a.n") + F.col("b.n") - both) * percent
 
 
 def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, bits: int = COUNTER_BITS) -> DataFrame:
@@ -127,19 +142,17 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     short = F.transform(prefix, lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))  # to meet on, 31 bits are enough: a pair too many is verified in vain
     written = cut(lines.select("id", "pos", "n", F.xxhash64("keys").alias("k1"), F.xxhash64(F.lit(7), "keys").alias("k2"), _parities(F.col("keys")).alias("parity"), short.alias("prefix")))
     lines = written.where("n > 0")  # blank ones have no set
-    classes = lines.groupBy(*name).agg(F.min(_rank()).alias("at"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    at = F.pmod("at", F.lit(10**10).cast("decimal(11,0)"))
-    classes = cut(classes.select(*name, ((F.col("at") - at) / F.lit(10**10).cast("decimal(11,0)")).cast("long").alias("doc"), at.cast("int").alias("line"), "parity", "prefix"))
+    classes = cut(_firsts(lines, [*name, "parity", "prefix"]).select(*name, *first, "parity", "prefix"))  # equal sets have equal parities and prefixes
     entry = classes.select("k1", "n", "parity", F.posexplode("prefix").alias("at", "key"))
-    # sets with any candidate; both sides are one exchange
-    x, y = _side(entry, "a"), _side(entry, "b")
-    found = cut(x.join(y, (x["key"] == y["key"]) & (F.col("k1_a") != F.col("k1_b")) & _candidate(percent), "left_semi").select(F.col("k1_a").alias("k1")).distinct())
+    # sets with any candidate; both sides are one exchange, which they are only under the same names and with the same columns
+    x, y = entry.alias("a"), entry.alias("b")
+    found = cut(x.join(y, _meet() & (F.col("a.k1") != F.col("b.k1")) & _candidate(percent), "left_semi").select("k1").distinct())
     small = found.count() <= _SENT  # 8 bytes each; more of them meet the classes in a shuffle
     active = cut(classes.join(F.broadcast(found) if small else found, "k1", "left_semi"))
     drop(found)
     # of each set's prefix words the one that most sets have in theirs
     each = active.select("k1", F.explode("prefix").alias("word"))
-    common = each.join(each.groupBy("word").agg(F.count("*").alias("c")).where("c > 1"), "word").groupBy("k1").agg(F.max(F.struct("c", "word"))["word"].alias("common"))
+    common = each.join(each.groupBy("word").agg(F.count("*").alias("c")).where("c > 1"), "word").groupBy("k1").agg(F.max(F.shiftleft("c", 32) + F.col("word")).bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("common"))
     before, active = active, cut(active.join(common, "k1", "left"))
     drop(before)
     # their words, looked up in the texts
@@ -160,18 +173,19 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     least = F.array_min(F.transform("prefix", lambda x: F.xxhash64(x)))
     few = F.array_distinct(F.array(least, F.coalesce(F.xxhash64("common"), least)))
     keyed = sets.select(*name, *first, "parity", "toks", F.explode(few).alias("key"))
-    x, y = _side(keyed, "a"), _side(keyed, "b")
-    earlier = (F.col("doc_b") < F.col("doc_a")) | ((F.col("doc_b") == F.col("doc_a")) & (F.col("line_b") < F.col("line_a")))
-    late = x.join(y, (x["key"] == y["key"]) & earlier & _close(percent) & _verified(percent), "left_semi").select(*[F.col(f"{c}_a").alias(c) for c in name]).distinct()
+    earlier = (F.col("b.doc") < F.col("a.doc")) | ((F.col("b.doc") == F.col("a.doc")) & (F.col("b.line") < F.col("a.line")))
+    other = (F.col("a.k1") != F.col("b.k1")) | (F.col("a.k2") != F.col("b.k2"))  # true of an earlier one: keeps the columns of both sides the same
+    late = keyed.alias("a").join(keyed.alias("b"), _meet() & earlier & other & _close(percent) & _verified(percent), "left_semi").select(*name).distinct()
     late = cut(late)
     # the others with every candidate
     entry = sets.select(*name, *first, "prefix", *wide)
     entry = entry.join(late.withColumn("late", F.lit(True)), name, "left").select(*name, *first, *wide, "late", F.posexplode("prefix").alias("at", "key"))
-    x, y = _side(entry.where("late is null").drop("late"), "a"), _side(entry.drop("late"), "b")
-    pairs = x.join(y, (x["key"] == y["key"]) & earlier & _candidate(percent, wide))
-    pairs = cut(pairs.select(*[f"{c}_{end}" for end in "ab" for c in name]).distinct())
-    sa, sb = (sets.select(*[F.col(c).alias(f"{c}_{end}") for c in (*name, "toks")]) for end in "ab")
-    more = pairs.join(sa, [f"{c}_a" for c in name]).join(sb, [f"{c}_b" for c in name]).where(_verified(percent)).select(*[F.col(f"{c}_a").alias(c) for c in name]).distinct()
+    x, y = entry.where("late is null").drop("late").alias("a"), entry.drop("late").alias("b")
+    pairs = x.join(y, _meet() & earlier & _candidate(percent, wide))
+    pairs = cut(pairs.select(*[F.col(f"{end}.{c}").alias(f"{c}_{end}") for end in "ab" for c in name]).distinct())
+    sa, sb = sets.select(*name, "toks").alias("a"), sets.select(*name, "toks").alias("b")
+    of = lambda end: reduce(and_, [F.col(f"{c}_{end}") == F.col(f"{end}.{c}") for c in name])
+    more = pairs.join(sa, of("a")).join(sb, of("b")).where(_verified(percent)).select(*[F.col(f"a.{c}").alias(c) for c in name]).distinct()
     before, late = late, cut(late.unionByName(more))
     drop(before, pairs, found)
     # classes of one line that nothing matches say nothing: what is left is joined to the lines
