@@ -5,7 +5,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
-from weftline.sources.documents import read_documents, write_documents
+from weftline.sources.documents import DocumentSource, list_documents, read_documents, write_documents
 from weftline.sources.versioned import VersionedTable
 
 
@@ -142,3 +142,21 @@ def test_a_failed_write_leaves_no_summary(spark, tmp_path):
         with pytest.raises(Exception, match="not a file's name"):
             write_documents(spark.createDataFrame([(name, "{}", None)], "name string, body string, error string"), path)
     assert not os.path.exists(f"{path}/_summary.json")
+
+
+def test_documents_in_folders_are_listed_and_read_by_tasks(spark, tmp_path):
+    path = str(tmp_path / "out")
+    df = spark.range(60).select(F.concat(F.lit("doc"), "id").alias("name"), F.when(F.col("id") % 5 > 0, F.to_json(F.struct("id"))).alias("body"), F.lit(None).cast("string").alias("error"))
+    for _ in range(2):  # a name that is written again goes to the same place
+        assert write_documents(df, path, folders=4)["total"] == 60
+    (tmp_path / "out" / "note.txt").write_bytes(b"12345")
+    found = {os.path.join(d, x): os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(path) for x in names}
+    assert len(found) == 62 and len({os.path.dirname(x) for x in found}) == 5
+    for at in (path, f"file://{path}", f"file:{path}"):
+        listed = list_documents(spark, at)
+        assert {r.path: r.size for r in listed.collect()} == found and listed.count() == 62
+    assert {r.mtime.timestamp() > 1e9 for r in listed.collect()} == {True}
+    assert rows(read_documents(spark, path)) == rows(df.where("body is not null")) and read_documents(spark, path, errors=True).count() == 12
+    # the driver does not list what is in the folders
+    parts = DocumentSource({"path": path}).reader(None).partitions()
+    assert [(len(p.paths), p.folder and p.folder[-5:]) for p in parts] == [(0, f"/{k:04d}") for k in range(4)]

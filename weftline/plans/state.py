@@ -123,13 +123,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return t.read().select("conv_id", "turn", "role", "text")
 
 
+#: Folders that documents are written to: a few thousand files each at some gigabytes.
+_FOLDERS = 256
+
+
 def _written(spark: SparkSession, d: str) -> str:
     """Every document as a file; those that no label says anything of, as files of errors. The folder."""
     docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality").dropDuplicates(["doc_id"]), "doc_id", "left")
     path = f"{files.scratch(spark, 'sink')}/d"
     name = F.concat(F.coalesce("source", F.lit("none")), F.lit("-part"), "doc_id")
     error = F.when(F.col("quality").isNull(), F.concat(F.lit("no label: "), F.coalesce("lang", F.lit("?"))))
-    DS.write_documents(docs.select(name.alias("name"), F.to_json(F.struct("doc_id", "lang", "quality", "n_chars")).alias("body"), error.alias("error")), path)
+    DS.write_documents(docs.select(name.alias("name"), F.to_json(F.struct("doc_id", "lang", "quality", "n_chars")).alias("body"), error.alias("error")), path, folders=_FOLDERS)
     return path
 
 
@@ -154,7 +158,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     """A folder as listed: files of each source in natural order, and whether none is a file of errors."""
-    f = files.list_files(spark, _written(spark, d)).where("ext = '.json' and not startswith(file_name, '_')")
+    f = files.with_names(DS.list_documents(spark, _written(spark, d))).where("ext = '.json' and not startswith(file_name, '_')")
     f = f.select(F.regexp_extract("file_name", "^(.*)-part", 1).alias("dir"), F.struct(S.natural_key(F.col("file_name")).alias("key"), "file_name").alias("f"), F.endswith("file_name", F.lit(DS.ERROR_ENDING)).alias("bad"))
     by = f.groupBy("dir").agg(F.count("*").alias("n"), F.count_if("bad").alias("failed"), F.array_sort(F.collect_list("f")).alias("f"))
     return by.select("dir", "n", "failed", (F.col("failed") == 0).alias("ready"), F.md5(F.array_join(F.col("f.file_name"), ",")).alias("names"))

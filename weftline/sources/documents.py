@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,8 @@ def _open(path: str):
 @dataclass
 class Files(InputPartition):
     paths: tuple[str, ...]
+    #: A folder that the task itself lists, with all below it, instead of paths.
+    folder: str | None = None
 
 
 class _Reader(DataSourceReader):
@@ -49,9 +52,9 @@ class _Reader(DataSourceReader):
 
         files, root = _open(self.path)
         info = files.get_file_info(root)
-        found = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(root, recursive=True))
-        wanted = sorted((f.path, f.size or 0) for f in found if f.type == fs.FileType.File and f.path.endswith(ENDING) and not f.path.rsplit("/", 1)[-1].startswith(("_", ".")) and f.path.endswith(ERROR_ENDING) == self.errors)
-        out, now, total = [], [], 0
+        found = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(root))
+        wanted = self._wanted(found)
+        out, now, total = [Files((), f) for f in sorted(f.path for f in found if f.type == fs.FileType.Directory)], [], 0
         for p, size in wanted:
             now.append(p)
             total += max(size, _FILE_BYTES)
@@ -60,10 +63,20 @@ class _Reader(DataSourceReader):
                 now, total = [], 0
         return [*out, Files(tuple(now))] if now or not out else out
 
+    def _wanted(self, found: list) -> list[tuple[str, int]]:
+        from pyarrow import fs
+
+        return sorted((f.path, f.size or 0) for f in found if f.type == fs.FileType.File and f.path.endswith(ENDING) and not f.path.rsplit("/", 1)[-1].startswith(("_", ".")) and f.path.endswith(ERROR_ENDING) == self.errors)
+
     def read(self, partition: Files) -> Iterator[tuple]:
+        from pyarrow import fs
+
         files, _ = _open(self.path)
         ending = ERROR_ENDING if self.errors else ENDING
-        for p in partition.paths:
+        paths = partition.paths
+        if partition.folder is not None:
+            paths = [p for p, _ in self._wanted(files.get_file_info(fs.FileSelector(partition.folder, recursive=True)))]
+        for p in paths:
             name = p.rsplit("/", 1)[-1].removesuffix(ending)
             try:
                 with files.open_input_stream(p) as f:
@@ -88,8 +101,8 @@ class Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.run = path, uuid.uuid4().hex
+    def __init__(self, path: str, overwrite: bool, folders: int = 0):
+        self.path, self.run, self.folders = path, uuid.uuid4().hex, folders
         if overwrite:
             files, root = _open(path)
             from pyarrow import fs
@@ -108,16 +121,23 @@ class _Writer(DataSourceWriter):
         files, root = _open(self.path)
         files.create_dir(root, recursive=True)
         ok = failed = 0
+        made = set()
         for name, body, error in rows:
             if not name or "/" in name or name.startswith(("_", ".")):
                 raise ValueError(f"not a file's name: {name!r}")
             if error is None and body is None:
                 error = "no document"
+            to = root
+            if self.folders:
+                to = f"{root}/{zlib.crc32(name.encode('utf-8', 'surrogatepass')) % self.folders:04d}"
+                if to not in made:
+                    files.create_dir(to, recursive=True)
+                    made.add(to)
             if error is None:
-                self._put(files, f"{root}/{name}{ENDING}", body)
+                self._put(files, f"{to}/{name}{ENDING}", body)
                 ok += 1
             else:
-                self._put(files, f"{root}/{name}{ERROR_ENDING}", json.dumps({"name": name, "error": error}, ensure_ascii=False))
+                self._put(files, f"{to}/{name}{ERROR_ENDING}", json.dumps({"name": name, "error": error}, ensure_ascii=False))
                 failed += 1
         return Written(ok, failed)
 
@@ -139,6 +159,10 @@ class DocumentSource(DataSource):
     cannot be read or is no JSON gives a row with the error, and no others are
     lost for it. Rows with an error, or without a body, are written as files
     of errors. Names must be unique: of rows of one name the last one written stays.
+    ``folders``: files are written to so many folders under the path, each to
+    the one that its name's hash tells, so that tasks do not wait for one
+    another at a single folder, and a task can list each. What is written
+    again has to be so with the same number.
     """
 
     @classmethod
@@ -155,7 +179,7 @@ class DocumentSource(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         if [f.name for f in schema.fields] != ["name", "body", "error"]:
             raise ValueError(f"rows to write are ({DOCUMENT})")
-        return _Writer(self.options["path"], overwrite)
+        return _Writer(self.options["path"], overwrite, int(self.options.get("folders", "0")))
 
 
 def read_documents(spark: SparkSession, path: str, keys: list[str] | None = None, *, errors: bool = False):
@@ -164,10 +188,40 @@ def read_documents(spark: SparkSession, path: str, keys: list[str] | None = None
     return spark.read.format("documents").option("path", path).option("keys", ",".join(keys or [])).option("errors", str(errors).lower()).load()
 
 
-def write_documents(df, path: str, *, mode: str = "append") -> dict:
+def _listing(recursive: bool, local: bool):
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                files, root = _open(folder)
+                found = files.get_file_info(fs.FileSelector(root, recursive=recursive))
+                for at in range(0, len(found), 10_000):
+                    some = found[at : at + 10_000]
+                    # paths of other systems come without their scheme, which the folder has
+                    head = "" if local else folder[: folder.index(root)] if root in folder else ""
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([head + f.path for f in some], pa.string()), pa.array([f.size for f in some], pa.int64()), pa.array([f.mtime for f in some], pa.timestamp("us", "UTC")), pa.array([f.type == fs.FileType.Directory for f in some], pa.bool_())],
+                        names=["path", "size", "mtime", "folder"],
+                    )
+
+    return run
+
+
+def list_documents(spark: SparkSession, path: str):
+    """(path, size, mtime) of all files under a path, listed by tasks: the folder itself by one, each folder in it by another."""
+    kind = "path string, size long, mtime timestamp, folder boolean"
+    local = "://" not in path or path.startswith("file:")
+    top = spark.createDataFrame([(path,)], "path string").mapInArrow(_listing(False, local), kind)
+    below = top.where("folder").select("path").repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInArrow(_listing(True, local), kind)
+    return top.unionByName(below).where("not folder").drop("folder")
+
+
+def write_documents(df, path: str, *, mode: str = "append", folders: int = 0) -> dict:
     """Writes (name, body, error) rows as files; returns the summary."""
     df.sparkSession.dataSource.register(DocumentSource)
-    df.select("name", "body", "error").write.format("documents").option("path", path).mode(mode).save()
+    df.select("name", "body", "error").write.format("documents").option("path", path).option("folders", str(folders)).mode(mode).save()
     files, root = _open(path)
     with files.open_input_stream(f"{root}/{SUMMARY}") as f:
         return json.loads(f.read())

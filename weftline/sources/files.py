@@ -56,6 +56,11 @@ def list_files(spark: SparkSession, *roots: str, content: bool = False) -> DataF
         f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         f = f.select(F.lit(rank).alias("rank"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *(["content"] if content else []))
         out = f if out is None else out.unionByName(f)
+    return with_names(out)
+
+
+def with_names(out: DataFrame) -> DataFrame:
+    """Listed files with what their paths tell: dir, file_name, stem, ext."""
     name = F.regexp_extract("path", "([^/]*)$", 1)
     out = out.withColumns({"dir": F.regexp_extract("path", "^(.*)/[^/]*$", 1), "file_name": name})
     return out.withColumns({"stem": F.regexp_replace("file_name", r"\.[^.]*$", ""), "ext": F.lower(F.regexp_extract("file_name", r"(\.[^.]*)$", 1))})
