@@ -95,3 +95,29 @@ def test_line_dedup_sorts_and_sends_no_more_than_it_must(spark, monkeypatch):
             assert len(semi) == 2 and not [p for p in semi if " AS n_b#" in p or " AS k1_b#" in p]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_line_dedup_looks_up_only_lines_that_may_match(spark, monkeypatch):
+    """Long lines that share many words, but too few to match, are told apart before their words are looked up; texts are cut into words once for all lines."""
+    import random
+
+    from weftline.llm import line_dedup
+
+    rng = random.Random(4)
+    vocabulary = [f"{'long' * (i % 2)}w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.sample(vocabulary, 120))) for i in range(200)]
+    rows += [(200 + i, " ".join([*rows[i][1].split()[:107], *(f"x{i}y{k}" for k in range(13))])) for i in range(3)]  # 107 of 133
+    rows += [(300 + i, " ".join([*rows[i][1].split()[:106], *(f"x{i}y{k}" for k in range(14))])) for i in range(3, 6)]  # 106 of 134
+    rows += [(400, "a b c d e f g h i j"), (401, "a b c d e f g h i longest"), (402, "b c d e f g h i longest")]
+    real, found = line_dedup.cut, []
+
+    def cut(df):
+        out = real(df)
+        if out.columns == ["k1"]:
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", cut)
+    got = {r.doc_id: r.removed for r in deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sorted(i for i in got if got[i]) == [200, 201, 202, 401, 402]
+    assert found and found[0] < 30

@@ -1,10 +1,10 @@
 """Near-duplicate lines by an exact set-similarity join; later matches are removed.
 
 A line's set is its distinct lower-cased words. Words are ordered by rarity,
-and two sets can only reach the threshold if they share a word among the
-first few of each (prefix filter), where enough words stand before and behind
-it (positional filter), their sizes are close (length filter) and few of 64
-parities differ (two sets differ in at least as many words as parities). What
+and two sets can only reach the threshold if the first word that they share
+has enough words from it on in each (prefix filter for the two sizes), their
+sizes are close (length filter) and few of 64 parities differ, or of 256 in
+longer lines (two sets differ in at least as many words as parities). What
 passes is verified on the full sets.
 
 A line goes if *any* earlier line matches it, so no list of all pairs is made:
@@ -12,11 +12,14 @@ semi-joins, which stop at a row's first partner, find the sets that have a
 candidate at all, then those with a verified earlier match under two of their
 prefix words. Only what has candidates but no such match is paired one by one.
 
-The order has to be the same everywhere, not exact: word counts over all
-documents, in a table of fixed size indexed by hash, rank the words, and equal
-ranks go by hash. Words above one in 2^18 have a counter that
-they dominate at any scale; rarer ones may share theirs, which costs
-candidates, not results.
+The order has to be the same everywhere, not exact. Long words stand before
+short ones, as they are rarer, and a line that has enough of them for its
+prefix keeps only those beside its name and parities; the text need not be cut
+into words again to count them. Among long ones, and among short ones, counts
+of the words kept, in a table of fixed size indexed by hash, rank the words,
+and equal ranks go by hash. Words above one in 2^17 have a counter that they
+dominate at any scale; rarer ones may share theirs, which costs candidates,
+not results.
 """
 
 from __future__ import annotations
@@ -31,15 +34,21 @@ from .common import cut, drop, free_names, split_words
 
 #: Counters of the table of word counts, as a power of two: one for each value of a hash's low bits.
 COUNTER_BITS = 18
+#: Words of so many bytes stand before all shorter ones.
+_LONG = 6
+#: Sets of more words have 256 parities instead of 64, which nearly all differ in where they are large.
+_WIDE = 64
 #: Bits of the table that tells which lines take part in a candidate pair (by hash).
-_MARKS = 1 << 20
+_MARKS = 1 << 22
 #: Classes that have a candidate, of which at most so many are sent to every task.
 _SENT = 500_000
 
 
 def _tokens(line):
-    """Distinct 64-bit hashes of the words of a lower-cased line."""
-    return F.array_distinct(F.array_remove(F.transform(split_words(line), lambda x: F.xxhash64(x)), F.xxhash64(F.lit(""))))
+    """Distinct words of a lower-cased line, sorted: 63 bits of their hashes; long words have the bit of the sign, and so come first."""
+    sign = lambda x: F.when(F.octet_length(x) >= _LONG, F.lit(-(1 << 63))).otherwise(F.lit(0).cast("bigint"))
+    each = F.transform(F.array_remove(split_words(line), ""), lambda x: F.shiftrightunsigned(F.xxhash64(x), 1).bitwiseOR(sign(x)))
+    return F.sort_array(F.array_distinct(each))
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
@@ -48,21 +57,20 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
     return cut(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w")))), lambda s: s.w).alias("all")))
 
 
-def rarity(docs: DataFrame, text_col: str, bits: int = COUNTER_BITS):
-    """A function from a word's hash to its key: the rank of rarity in the high 8 bits, 56 bits of the hash below.
+def rarity(kept: DataFrame, bits: int = COUNTER_BITS):
+    """A function from a word of ``kept`` (31 bits of its token) to its key: long words first, then by the rank of rarity, then by the 31 bits below.
 
     Three steps of rank for each doubling of the counter, which is summed over
-    all documents. The table is of fixed size, whatever the number of words,
+    all lines. The table is of fixed size, whatever the number of words,
     and goes into the plan as an array.
     """
-    slot = lambda h: h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-    flat = F.replace(F.lower(F.col(text_col)), F.lit("\n"), F.lit(" "))  # texts of one kind of white space are cut without a pattern
-    each = docs.select(flat.alias("t")).select(F.explode(split_words(F.col("t"))).alias("w"))
-    by = each.groupBy(slot(F.xxhash64("w")).alias("at")).agg(F.count("*").alias("c"))
-    ranks = _packed(by.select("at", F.least(F.lit(127), F.floor(3 * F.log2(F.col("c")))).cast("long").alias("w")), 1 << bits)
-    table = F.split(F.lit(ranks.select(F.array_join(F.col("all").cast("array<string>"), ",")).first()[0]), ",").cast("array<tinyint>")
+    slot = lambda x: F.shiftright(x, 31 - bits)
+    by = kept.select(F.explode("kept").alias("x")).groupBy(slot(F.col("x")).alias("at")).agg(F.count("*").alias("c"))
+    short = F.when(F.col("at") < 1 << (bits - 1), 128).otherwise(0)  # the bit of the sign is the highest
+    ranks = _packed(by.select("at", (F.least(F.lit(127), F.floor(3 * F.log2(F.col("c")))) + short).cast("long").alias("w")), 1 << bits)
+    table = F.split(F.lit(ranks.select(F.array_join(F.col("all").cast("array<string>"), ",")).first()[0]), ",").cast("array<bigint>")
     drop(ranks)
-    return lambda h: F.shiftleft(F.get(table, slot(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    return lambda x: F.shiftleft(F.coalesce(F.get(table, slot(x)), F.lit(0).cast("bigint")), 31).bitwiseOR(x)  # arrays without nulls are sorted several times faster
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -90,20 +98,38 @@ def _need(n, percent: int):
     return F.floor((n * percent + 99) / F.lit(100)).cast("int")
 
 
-def _parities(toks, part: int | None = None):
-    """64 parities of a set by its words' hashes; with ``part``, of one in four of 256."""
-    flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int")))
-    if part is not None:
-        toks = F.filter(toks, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == part)
-    return F.aggregate(toks, F.lit(0).cast("bigint"), flip)
+def _parities(words):
+    """64 parities of a set by the low bits of its words."""
+    flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x))  # noqa: E731  shifts of a long go by the low six bits
+    return F.aggregate(words, F.lit(0).cast("bigint"), flip)
 
 
-def _close(percent: int, parities: tuple[str, ...] = ("parity",)):
+#: 64 parities of the whole set and, where it is large, of its words in three of four ranges; what is left of the first are those of the fourth.
+_PARITIES = ("parity", "w1", "w2", "w3")
+
+
+def _sketched(lines: DataFrame) -> DataFrame:
+    """With ``n``, ``words`` (31 bits of each token of ``toks``, as is enough to meet on: a pair too many is verified in vain), the number of long ones and the parities, for which each is looked at once."""
+    own = lines.columns
+    out = lines.withColumn("words", F.transform("toks", lambda x: F.shiftrightunsigned(x, 33).cast("int")))
+    ends = [F.lit(i << 29).cast("int") for i in (1, 2, 3)]
+    out = out.withColumn("u", F.sort_array(F.concat("words", F.array(*ends))))  # the ranges' ends among the words
+    out = out.select(*own, "words", F.size("words").alias("n"), "u", *[F.array_position("u", x).cast("int").alias(f"p{i}") for i, x in enumerate(ends, 1)])
+    starts, stops = [F.lit(0), F.col("p1"), F.col("p2"), F.col("p3")], [F.col("p1"), F.col("p2"), F.col("p3"), F.size("u") + 1]
+    parts = [_parities(F.slice("u", x + 1, y - x - 1)).alias(f"q{i}") for i, (x, y) in enumerate(zip(starts, stops, strict=True))]
+    out = out.select(*own, "words", "n", (F.col("n") - F.col("p2") + 2).alias("n_long"), *parts)
+    whole = F.col("q0").bitwiseXOR(F.col("q1")).bitwiseXOR(F.col("q2")).bitwiseXOR(F.col("q3"))
+    return out.select(*own, "words", "n", "n_long", whole.alias("parity"), *[F.when(F.col("n") > _WIDE, F.col(f"q{i}")).alias(f"w{i}") for i in (1, 2, 3)])
+
+
+def _close(percent: int):
     """Length and parity filters on sets ``a`` and ``b``."""
     na, nb = F.col("a.n"), F.col("b.n")
-    apart = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in parities[1:]), F.bit_count(F.col(f"a.{parities[0]}").bitwiseXOR(F.col(f"b.{parities[0]}"))))
-    # no more words may differ than both have beside those that they must share
-    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
+    whole, *parts = [F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in _PARITIES]
+    few = lambda apart: apart * (100 + percent) <= (na + nb) * (100 - percent)  # noqa: E731  no more words may differ than both have beside those that they must share
+    rest = reduce(lambda x, y: x.bitwiseXOR(y), parts, whole)
+    wide = reduce(lambda x, y: x + y, [F.bit_count(x) for x in parts], F.bit_count(rest))
+    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & few(F.bit_count(whole)) & F.coalesce(few(wide), F.lit(True))
 
 
 def _meet():
@@ -111,12 +137,11 @@ def _meet():
     return F.col("a.key") == F.col("b.key")
 
 
-def _candidate(percent: int, parities: tuple[str, ...] = ("parity",)):
-    """Length, parity and positional filters on rows ``a`` and ``b`` of one prefix word."""
-    na, nb, at_a, at_b = (F.col(c) for c in ("a.n", "b.n", "a.at", "b.at"))
-    # so many words have to be before the shared one and from it on
-    reach = F.least(at_a, at_b) + F.least(na - at_a, nb - at_b)
-    return _close(percent, parities) & (reach * (100 + percent) >= (na + nb) * percent)
+def _candidate(percent: int):
+    """Length, parity and prefix filters on rows ``a`` and ``b`` of one prefix word."""
+    na, nb = F.col("a.n"), F.col("b.n")
+    # the first word that both share has all that they share from it on, in each
+    return _close(percent) & (F.least(na - F.col("a.at"), nb - F.col("b.at")) * (100 + percent) >= (na + nb) * percent)
 
 
 def _verified(percent: int):
@@ -130,20 +155,22 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     Lines of one set are a class from the start, which its first line stands
     for: only first lines are joined, all later ones are matches. A class is
-    named by its size and two hashes of 64 bits; words are compared by 56 bits of
-    their hashes to find candidates, and by 64 to verify them.
+    named by its size and two hashes of 64 bits; words are compared by 31 bits
+    to find candidates, and by their length and 63 bits of their hashes to verify them.
     """
     name, first = ["k1", "k2", "n"], ["doc", "line"]
-    rarest = rarity(docs, text_col, bits)
     # what is used more than once stands in a step of its own, or each use would work it out again
-    lines = _lines(docs, id_col, text_col).withColumn("line", F.lower("line"))
-    lines = lines.select("id", "pos", F.sort_array(F.transform(_tokens(F.col("line")), rarest)).alias("keys")).select("*", F.size("keys").alias("n"))
-    prefix = F.slice("keys", F.lit(1), F.col("n") - _need(F.col("n"), percent) + 1)
-    short = F.transform(prefix, lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))  # to meet on, 31 bits are enough: a pair too many is verified in vain
-    written = cut(lines.select("id", "pos", "n", F.xxhash64("keys").alias("k1"), F.xxhash64(F.lit(7), "keys").alias("k2"), _parities(F.col("keys")).alias("parity"), short.alias("prefix")))
-    lines = written.where("n > 0")  # blank ones have no set
-    classes = cut(_firsts(lines, [*name, "parity", "prefix"]).select(*name, *first, "parity", "prefix"))  # equal sets have equal parities and prefixes
-    entry = classes.select("k1", "n", "parity", F.posexplode("prefix").alias("at", "key"))
+    lines = _sketched(_lines(docs, id_col, text_col).withColumn("line", F.lower("line")).select("id", "pos", _tokens(F.col("line")).alias("toks")))
+    length = F.col("n") - _need(F.col("n"), percent) + 1  # of the prefix
+    kept = F.slice("words", F.lit(1), F.when(F.col("n_long") >= length, F.col("n_long")).otherwise(F.col("n")))
+    written = cut(lines.select("id", "pos", "n", F.xxhash64("toks").alias("k1"), F.xxhash64(F.lit(7), "toks").alias("k2"), *_PARITIES, kept.alias("kept")))
+    rarest = rarity(written, bits)
+    prefix = F.transform(F.slice(F.sort_array(F.transform("kept", rarest)), F.lit(1), length), lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    ranked = written.where("n > 0").select("id", "pos", *name, *_PARITIES, prefix.alias("prefix"))  # blank ones have no set
+    classes = cut(_firsts(ranked, [*name, *_PARITIES, "prefix"]).select(*name, *first, *_PARITIES, "prefix"))  # equal sets have equal parities and prefixes
+    lines = cut(written.where("n > 0").select("id", "pos", *name))
+    drop(written)
+    entry = classes.select("k1", "n", *_PARITIES, F.posexplode("prefix").alias("at", "key"))
     # sets with any candidate; both sides are one exchange, which they are only under the same names and with the same columns
     x, y = entry.alias("a"), entry.alias("b")
     found = cut(x.join(y, _meet() & (F.col("a.k1") != F.col("b.k1")) & _candidate(percent), "left_semi").select("k1").distinct())
@@ -161,27 +188,24 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     marks = _packed(active.groupBy(F.shiftright(mark, 6).alias("at")).agg(F.bit_or(bit).alias("w")), _MARKS // 64)
     seen = _lines(docs, id_col, text_col).select(F.col("id").alias("doc"), F.col("pos").alias("line"), F.col("line").alias("text"))
     seen = seen.where(F.get(marks.scalar(), F.shiftright(mark, 6).cast("int")).bitwiseAND(bit) != 0)
-    sets = seen.join(active, first).select(*active.columns, _tokens(F.lower("text")).alias("toks"))
-    wide = tuple(f"parity{j}" for j in range(4))
-    found = cut(sets.select("*", *[_parities(F.col("toks"), j).alias(c) for j, c in enumerate(wide)]))
-    # where rows repeat an id, of the lines of one number that which names the class; asked of what is written, or it would be worked out for the filter once more
-    same = F.col("parity") == F.col("parity0").bitwiseXOR(F.col("parity1")).bitwiseXOR(F.col("parity2")).bitwiseXOR(F.col("parity3"))
-    sets = found.where((F.size("toks") == F.col("n")) & same)
+    sets = seen.join(active, first).withColumn("text", F.lower("text")).select(*active.columns, _tokens(F.col("text")).alias("toks"))
+    found = cut(sets.select("*", F.xxhash64("toks").alias("own")))
+    sets = found.where("own = k1")  # where rows repeat an id, of the lines of one number that which names the class; asked of what is written, or it would be worked out for the filter once more
     drop(active, marks)
     # a verified earlier match under two prefix words, the same for sets alike: the least by hash, and the commonest,
     # as the rarest words of an edited copy are those of the edit, which no other set has
     least = F.array_min(F.transform("prefix", lambda x: F.xxhash64(x)))
     few = F.array_distinct(F.array(least, F.coalesce(F.xxhash64("common"), least)))
-    keyed = sets.select(*name, *first, "parity", "toks", F.explode(few).alias("key"))
+    keyed = sets.select(*name, *first, *_PARITIES, "toks", F.explode(few).alias("key"))
     earlier = (F.col("b.doc") < F.col("a.doc")) | ((F.col("b.doc") == F.col("a.doc")) & (F.col("b.line") < F.col("a.line")))
     other = (F.col("a.k1") != F.col("b.k1")) | (F.col("a.k2") != F.col("b.k2"))  # true of an earlier one: keeps the columns of both sides the same
     late = keyed.alias("a").join(keyed.alias("b"), _meet() & earlier & other & _close(percent) & _verified(percent), "left_semi").select(*name).distinct()
     late = cut(late)
     # the others with every candidate
-    entry = sets.select(*name, *first, "prefix", *wide)
-    entry = entry.join(late.withColumn("late", F.lit(True)), name, "left").select(*name, *first, *wide, "late", F.posexplode("prefix").alias("at", "key"))
+    entry = sets.select(*name, *first, "prefix", *_PARITIES)
+    entry = entry.join(late.withColumn("late", F.lit(True)), name, "left").select(*name, *first, *_PARITIES, "late", F.posexplode("prefix").alias("at", "key"))
     x, y = entry.where("late is null").drop("late").alias("a"), entry.drop("late").alias("b")
-    pairs = x.join(y, _meet() & earlier & _candidate(percent, wide))
+    pairs = x.join(y, _meet() & earlier & _candidate(percent))
     pairs = cut(pairs.select(*[F.col(f"{end}.{c}").alias(f"{c}_{end}") for end in "ab" for c in name]).distinct())
     sa, sb = sets.select(*name, "toks").alias("a"), sets.select(*name, "toks").alias("b")
     of = lambda end: reduce(and_, [F.col(f"{c}_{end}") == F.col(f"{end}.{c}") for c in name])
@@ -192,7 +216,7 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     status = classes.select(*name, *first).join(late.withColumn("late", F.lit(True)), name, "left")
     out = lines.select("id", "pos", *name).join(status, name).where(F.coalesce("late", F.lit(False)) | (F.col("id") != F.col("doc")) | (F.col("pos") != F.col("line")))
     out = cut(out.select("id", "pos"))
-    drop(written, classes, late)
+    drop(lines, classes, late)
     return out
 
 
@@ -216,7 +240,8 @@ def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col(gone_), s.i)), lambda s: s.x), "\n")
     text = F.when(F.col(gone_).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept)
-    n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
+    whole = F.col(text_col).cast("string")
+    n_lines = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
     cols = [text.alias(c) if c == text_col else F.col(c) for c in own]
     return out.select(*cols, F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(gone_, F.array().cast("array<int>")).alias("removed"))
 
