@@ -3,7 +3,7 @@
 A line's set is its distinct lower-cased words. Words are ordered by rarity,
 and two sets can only reach the threshold if the first word that they share
 has enough words from it on in each (prefix filter for the two sizes), their
-sizes are close (length filter) and few of 64 parities differ, or of 256 in
+sizes are close (length filter) and few of 64 parities differ, or of 128 in
 longer lines (two sets differ in at least as many words as parities). What
 passes is verified on the full sets.
 
@@ -36,7 +36,7 @@ from .common import cut, drop, free_names, split_words
 COUNTER_BITS = 18
 #: Words of so many bytes stand before all shorter ones.
 _LONG = 6
-#: Sets of more words have 256 parities instead of 64, which nearly all differ in where they are large.
+#: Sets of more words have 128 parities instead of 64, which are too few to tell them apart.
 _WIDE = 64
 #: Bits of the table that tells which lines take part in a candidate pair (by hash).
 _MARKS = 1 << 22
@@ -104,8 +104,8 @@ def _parities(words):
     return F.aggregate(words, F.lit(0).cast("bigint"), flip)
 
 
-#: 64 parities of the whole set and, where it is large, of its words in three of four ranges; what is left of the first are those of the fourth.
-_PARITIES = ("parity", "w1", "w2", "w3")
+#: 64 parities of the whole set and, where it is large, of one half of all words; what is left of the first are those of the other.
+_PARITIES = ("parity", "half")
 
 
 def _sketched(lines: DataFrame) -> DataFrame:
@@ -119,17 +119,16 @@ def _sketched(lines: DataFrame) -> DataFrame:
     parts = [_parities(F.slice("u", x + 1, y - x - 1)).alias(f"q{i}") for i, (x, y) in enumerate(zip(starts, stops, strict=True))]
     out = out.select(*own, "words", "n", (F.col("n") - F.col("p2") + 2).alias("n_long"), *parts)
     whole = F.col("q0").bitwiseXOR(F.col("q1")).bitwiseXOR(F.col("q2")).bitwiseXOR(F.col("q3"))
-    return out.select(*own, "words", "n", "n_long", whole.alias("parity"), *[F.when(F.col("n") > _WIDE, F.col(f"q{i}")).alias(f"w{i}") for i in (1, 2, 3)])
+    half = F.when(F.col("n") > _WIDE, F.col("q1").bitwiseXOR(F.col("q3")))  # of long and of short words
+    return out.select(*own, "words", "n", "n_long", whole.alias("parity"), half.alias("half"))
 
 
-def _close(percent: int):
-    """Length and parity filters on sets ``a`` and ``b``."""
-    na, nb = F.col("a.n"), F.col("b.n")
-    whole, *parts = [F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in _PARITIES]
+def _close(percent: int, na, nb):
+    """Length and parity filters on sets ``a`` and ``b`` of ``na`` and ``nb`` words."""
+    whole, half = (F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in _PARITIES)
     few = lambda apart: apart * (100 + percent) <= (na + nb) * (100 - percent)  # noqa: E731  no more words may differ than both have beside those that they must share
-    rest = reduce(lambda x, y: x.bitwiseXOR(y), parts, whole)
-    wide = reduce(lambda x, y: x + y, [F.bit_count(x) for x in parts], F.bit_count(rest))
-    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & few(F.bit_count(whole)) & F.coalesce(few(wide), F.lit(True))
+    both = F.bit_count(half) + F.bit_count(half.bitwiseXOR(whole))
+    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & few(F.bit_count(whole)) & F.coalesce(few(both), F.lit(True))
 
 
 def _meet():
@@ -137,11 +136,17 @@ def _meet():
     return F.col("a.key") == F.col("b.key")
 
 
+def _entries(sets: DataFrame, *cols: str) -> DataFrame:
+    """A row for each prefix word ``key``; its place and the number of words are one long, as rows that are sorted and kept in memory had better be short."""
+    each = sets.select(*cols, F.col("n").alias("size"), F.posexplode("prefix").alias("at", "key"))
+    return each.select(*cols, "key", (F.shiftleft(F.col("size").cast("bigint"), 32) + F.col("at")).alias("place"))
+
+
 def _candidate(percent: int):
-    """Length, parity and prefix filters on rows ``a`` and ``b`` of one prefix word."""
-    na, nb = F.col("a.n"), F.col("b.n")
+    """Prefix, length and parity filters on rows ``a`` and ``b`` of one prefix word."""
+    (na, at_a), (nb, at_b) = ((F.shiftright(f"{x}.place", 32), F.col(f"{x}.place").bitwiseAND(F.lit(2**32 - 1))) for x in "ab")
     # the first word that both share has all that they share from it on, in each
-    return _close(percent) & (F.least(na - F.col("a.at"), nb - F.col("b.at")) * (100 + percent) >= (na + nb) * percent)
+    return (F.least(na - at_a, nb - at_b) * (100 + percent) >= (na + nb) * percent) & _close(percent, na, nb)
 
 
 def _verified(percent: int):
@@ -170,7 +175,7 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     classes = cut(_firsts(ranked, [*name, *_PARITIES, "prefix"]).select(*name, *first, *_PARITIES, "prefix"))  # equal sets have equal parities and prefixes
     lines = cut(written.where("n > 0").select("id", "pos", *name))
     drop(written)
-    entry = classes.select("k1", "n", *_PARITIES, F.posexplode("prefix").alias("at", "key"))
+    entry = _entries(classes, "k1", *_PARITIES)
     # sets with any candidate; both sides are one exchange, which they are only under the same names and with the same columns
     x, y = entry.alias("a"), entry.alias("b")
     found = cut(x.join(y, _meet() & (F.col("a.k1") != F.col("b.k1")) & _candidate(percent), "left_semi").select("k1").distinct())
@@ -199,11 +204,11 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     keyed = sets.select(*name, *first, *_PARITIES, "toks", F.explode(few).alias("key"))
     earlier = (F.col("b.doc") < F.col("a.doc")) | ((F.col("b.doc") == F.col("a.doc")) & (F.col("b.line") < F.col("a.line")))
     other = (F.col("a.k1") != F.col("b.k1")) | (F.col("a.k2") != F.col("b.k2"))  # true of an earlier one: keeps the columns of both sides the same
-    late = keyed.alias("a").join(keyed.alias("b"), _meet() & earlier & other & _close(percent) & _verified(percent), "left_semi").select(*name).distinct()
+    late = keyed.alias("a").join(keyed.alias("b"), _meet() & earlier & other & _close(percent, F.col("a.n"), F.col("b.n")) & _verified(percent), "left_semi").select(*name).distinct()
     late = cut(late)
     # the others with every candidate
     entry = sets.select(*name, *first, "prefix", *_PARITIES)
-    entry = entry.join(late.withColumn("late", F.lit(True)), name, "left").select(*name, *first, *_PARITIES, "late", F.posexplode("prefix").alias("at", "key"))
+    entry = _entries(entry.join(late.withColumn("late", F.lit(True)), name, "left"), *name, *first, *_PARITIES, "late")
     x, y = entry.where("late is null").drop("late").alias("a"), entry.drop("late").alias("b")
     pairs = x.join(y, _meet() & earlier & _candidate(percent))
     pairs = cut(pairs.select(*[F.col(f"{end}.{c}").alias(f"{c}_{end}") for end in "ab" for c in name]).distinct())
