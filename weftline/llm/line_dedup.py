@@ -104,23 +104,18 @@ def _parities(words):
     return F.aggregate(words, F.lit(0).cast("bigint"), flip)
 
 
-#: 64 parities of the whole set and, where it is large, of one half of all words; what is left of the first are those of the other.
+#: 64 parities of the whole set and, where it is large, of its long words; what is left of the first are those of the short ones.
 _PARITIES = ("parity", "half")
 
 
 def _sketched(lines: DataFrame) -> DataFrame:
     """With ``n``, ``words`` (31 bits of each token of ``toks``, as is enough to meet on: a pair too many is verified in vain), the number of long ones and the parities, for which each is looked at once."""
     own = lines.columns
-    out = lines.withColumn("words", F.transform("toks", lambda x: F.shiftrightunsigned(x, 33).cast("int")))
-    ends = [F.lit(i << 29).cast("int") for i in (1, 2, 3)]
-    out = out.withColumn("u", F.sort_array(F.concat("words", F.array(*ends))))  # the ranges' ends among the words
-    out = out.select(*own, "words", F.size("words").alias("n"), "u", *[F.array_position("u", x).cast("int").alias(f"p{i}") for i, x in enumerate(ends, 1)])
-    starts, stops = [F.lit(0), F.col("p1"), F.col("p2"), F.col("p3")], [F.col("p1"), F.col("p2"), F.col("p3"), F.size("u") + 1]
-    parts = [_parities(F.slice("u", x + 1, y - x - 1)).alias(f"q{i}") for i, (x, y) in enumerate(zip(starts, stops, strict=True))]
-    out = out.select(*own, "words", "n", (F.col("n") - F.col("p2") + 2).alias("n_long"), *parts)
-    whole = F.col("q0").bitwiseXOR(F.col("q1")).bitwiseXOR(F.col("q2")).bitwiseXOR(F.col("q3"))
-    half = F.when(F.col("n") > _WIDE, F.col("q1").bitwiseXOR(F.col("q3")))  # of long and of short words
-    return out.select(*own, "words", "n", "n_long", whole.alias("parity"), half.alias("half"))
+    zero = F.lit(0).cast("bigint")
+    n_long = F.array_position(F.sort_array(F.concat("toks", F.array(zero))), zero).cast("int") - 1
+    out = lines.select(*own, F.transform("toks", lambda x: F.shiftrightunsigned(x, 33).cast("int")).alias("words"), F.size("toks").alias("n"), n_long.alias("n_long"))
+    out = out.select("*", *[_parities(F.slice("words", x + 1, y - x)).alias(z) for x, y, z in ((F.lit(0), F.col("n_long"), "p"), (F.col("n_long"), F.col("n"), "q"))])
+    return out.select(*own, "words", "n", "n_long", F.col("p").bitwiseXOR(F.col("q")).alias("parity"), F.when(F.col("n") > _WIDE, F.col("p")).alias("half"))
 
 
 def _close(percent: int, na, nb):
@@ -173,8 +168,6 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     prefix = F.transform(F.slice(F.sort_array(F.transform("kept", rarest)), F.lit(1), length), lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
     ranked = written.where("n > 0").select("id", "pos", *name, *_PARITIES, prefix.alias("prefix"))  # blank ones have no set
     classes = cut(_firsts(ranked, [*name, *_PARITIES, "prefix"]).select(*name, *first, *_PARITIES, "prefix"))  # equal sets have equal parities and prefixes
-    lines = cut(written.where("n > 0").select("id", "pos", *name))
-    drop(written)
     entry = _entries(classes, "k1", *_PARITIES)
     # sets with any candidate; both sides are one exchange, which they are only under the same names and with the same columns
     x, y = entry.alias("a"), entry.alias("b")
@@ -185,8 +178,6 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # of each set's prefix words the one that most sets have in theirs
     each = active.select("k1", F.explode("prefix").alias("word"))
     common = each.join(each.groupBy("word").agg(F.count("*").alias("c")).where("c > 1"), "word").groupBy("k1").agg(F.max(F.shiftleft("c", 32) + F.col("word")).bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("common"))
-    before, active = active, cut(active.join(common, "k1", "left"))
-    drop(before)
     # their words, looked up in the texts
     mark = F.xxhash64("doc", "line").bitwiseAND(F.lit(_MARKS - 1))
     bit = F.expr("shiftleft(1L, cast(xxhash64(doc, line) & 63 as int))")
@@ -194,7 +185,7 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     seen = _lines(docs, id_col, text_col).select(F.col("id").alias("doc"), F.col("pos").alias("line"), F.col("line").alias("text"))
     seen = seen.where(F.get(marks.scalar(), F.shiftright(mark, 6).cast("int")).bitwiseAND(bit) != 0)
     sets = seen.join(active, first).withColumn("text", F.lower("text")).select(*active.columns, _tokens(F.col("text")).alias("toks"))
-    found = cut(sets.select("*", F.xxhash64("toks").alias("own")))
+    found = cut(sets.select("*", F.xxhash64("toks").alias("own")).join(common, "k1", "left"))
     sets = found.where("own = k1")  # where rows repeat an id, of the lines of one number that which names the class; asked of what is written, or it would be worked out for the filter once more
     drop(active, marks)
     # a verified earlier match under two prefix words, the same for sets alike: the least by hash, and the commonest,
@@ -219,9 +210,9 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     drop(before, pairs, found)
     # classes of one line that nothing matches say nothing: what is left is joined to the lines
     status = classes.select(*name, *first).join(late.withColumn("late", F.lit(True)), name, "left")
-    out = lines.select("id", "pos", *name).join(status, name).where(F.coalesce("late", F.lit(False)) | (F.col("id") != F.col("doc")) | (F.col("pos") != F.col("line")))
+    out = written.where("n > 0").select("id", "pos", *name).join(status, name).where(F.coalesce("late", F.lit(False)) | (F.col("id") != F.col("doc")) | (F.col("pos") != F.col("line")))
     out = cut(out.select("id", "pos"))
-    drop(lines, classes, late)
+    drop(written, classes, late)
     return out
 
 
