@@ -136,3 +136,55 @@ def test_every_page_is_aligned_with_its_neighbour(spark):
     got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     want = [x.replace("</p><p>", "\n").replace("<p>", "").replace("</p>", "") for x in own]
     assert got == {0: want[0] + "\nRead on", 1: want[1] + "\nRead on", 2: want[0], 3: want[1]}
+
+
+def test_many_windows_are_compared_at_once_with_the_same_verdicts():
+    import random
+
+    from weftline.functions.fuzzy import best_score
+    from weftline.functions.windows import Windows
+
+    r, verdicts = random.Random(4), []
+    for round_ in range(60):
+        letters = r.choice(["ab", "abc'", "abcdefghij"])
+        mine = ["".join(r.choice(letters) for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 24))]
+        text = ["".join(r.choice(letters) for _ in range(r.randrange(0 if n % 9 == 5 else 1, 9))) for n in range(r.randrange(1, 40))]
+        if round_ % 2:
+            text[len(text) // 2 : len(text) // 2] = [w[::-1] if n % 5 == 2 else w for n, w in enumerate(mine)]
+        norm, compact, bare = ", ".join(mine) + ".", "".join(mine).replace("'", ""), [w.replace("'", "") for w in text]
+        if not compact:
+            continue
+        enough = r.choice([62, 75, 90, 100])
+        each = [(i, k) for k in sorted({max(1, int(len(mine) * x)) for x in (0.48, 0.8, 1.0, 1.3)}) for i in range(len(text) - k + 1)]
+        r.shuffle(each)
+
+        def score(i, k):
+            other = "".join(bare[i : i + k])
+            return max(best_score(norm, " ".join(text[i : i + k])), best_score(compact, other) if other else 0)
+
+        want = [score(i, k) >= enough for i, k in each]
+        if each:
+            windows = Windows(norm, compact, text, bare, enough, max(k for _, k in each), r.randrange(len(text)))
+            assert [windows.first([w]) == 0 for w in each[:20]] == want[:20]
+            assert windows.first(each) == (want.index(True) if any(want) else len(each))
+        verdicts += want
+    assert 100 < sum(verdicts) < len(verdicts) - 100
+
+
+def test_a_sentence_scores_some_windows_singly(monkeypatch):
+    from weftline.operators import alignment as A
+
+    scored = []
+    whole = A.best_score
+    monkeypatch.setattr(A, "best_score", lambda a, b, *rest: scored.append((a, b)) or whole(a, b, *rest))
+    noise = [f"{a}{b}{c}" for a in "qxzvkw" for b in "jpyfg" for c in "qzxvk"]
+    sentence = "the mill stands behind the old bridge today"
+    words = [(w, n * 0.4, n * 0.4 + 0.3) for n, w in enumerate([*noise, *sentence.split(), *noise])]
+    for aggressive in (False, True):
+        del scored[:]
+        found = A.Aligner(list(words)).match(sentence, aggressive)
+        assert found and A.Aligner(words[: len(noise)]).match(sentence, aggressive) is None
+        assert len(scored) <= 4 * A._SINGLY + 8  # more than a thousand windows, each as it is and compact
+        with monkeypatch.context() as m:
+            m.setattr(A, "_SINGLY", 10**9)
+            assert A.Aligner(list(words)).match(sentence, aggressive) == found

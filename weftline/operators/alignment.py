@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
+from functools import lru_cache
+from itertools import islice, repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.fuzzy import best_score
 from ..functions.sequences import _words, transliterate, weighted_durations
+from ..functions.windows import Windows
 
+#: Windows of a sentence that are scored one by one before many are at once, and how many are then, the first time and later.
+_SINGLY, _TOGETHER = 8, (256, 2048)
 _ODD = str.maketrans("", "", "".join(c for c in map(chr, range(128)) if not c.isalnum()))
 
 
@@ -20,6 +25,13 @@ def _compact(text: str) -> str:
     return transliterate(text).lower().translate(_ODD).replace(" ", "")
 
 
+@lru_cache(maxsize=1 << 14)
+def _spelt(word: str) -> tuple[str, str]:
+    """A word as it is compared, and compact."""
+    text = " ".join(_words(word))
+    return text, _compact(text)
+
+
 @dataclass
 class Options:
     """Scores that are enough, the shortest match, and bounds of the search."""
@@ -37,7 +49,9 @@ class Aligner:
     """Walks through the words once: each sentence takes the first window that scores enough, from the cursor on.
 
     Words may come later. What a sentence that waits for them has been compared with is kept, so that
-    a window is scored once however often the sentence is looked for.
+    a window is scored once however often the sentence is looked for. The first
+    windows are scored one by one, as most sentences are among them; the others
+    are compared with the threshold many at once.
     """
 
     words: list[tuple[str, float, float]]
@@ -49,14 +63,16 @@ class Aligner:
         self.text: list[str] = []
         self.bare: list[str] = []
         self.places: dict[str, list[int]] = {}
+        self._widest = 0
         self._prepare()
         self._forget()
 
     def _prepare(self) -> None:
         for i in range(len(self.text), len(self.words)):
-            text = " ".join(_words(self.words[i][0]))
+            text, bare = _spelt(self.words[i][0])
             self.text.append(text)
-            self.bare.append(bare := _compact(text))
+            self._widest = max(self._widest, len(text))
+            self.bare.append(bare)
             self.places.setdefault(bare, []).append(i)
 
     def _forget(self) -> None:
@@ -64,6 +80,7 @@ class Aligner:
         self._waiting: tuple[str, bool] | None = None
         self._failed: dict[int, int] = {}
         self._scored: dict[tuple[int, int], int] = {}
+        self._base = self.cursor  # where the first window begins that may not have been scored
 
     def extend(self, words: list[tuple[str, float, float]]) -> None:
         self.words += words
@@ -92,7 +109,7 @@ class Aligner:
 
     def _end(self, tokens: list[str], at: int, k: int) -> int:
         """End of the window after its last word that the sentence has, two or three joined on either side if need be."""
-        mine, theirs = [_compact(t) for t in tokens], self.bare[at : at + k]
+        mine, theirs = [_spelt(t)[1] for t in tokens], self.bare[at : at + k]
         i = j = 0
         last = None
         while i < len(mine) and j < len(theirs):
@@ -124,14 +141,54 @@ class Aligner:
             self._waiting = (text, aggressive)
         ends = self.places.get(last, []) if len(tokens) >= 8 and len(last) >= 3 else []
         first = bisect_left(ends, self.cursor)
-        for lengths in self._lengths(max(1, len(tokens)), aggressive):
+        widths = self._lengths(max(1, len(tokens)), aggressive)
+        longest = max((k for lengths in widths for k in lengths), default=0)
+        stride = 10 if aggressive else 6
+        singly = _SINGLY if norm and Windows.fit(norm, bare, longest, self._widest) else None
+        low: set[tuple[int, int]] = set()  # windows that score too little, beside those in _scored
+        ahead: Iterator[list[tuple[int, int]]] | None = None
+
+        def in_order() -> Iterator[tuple[int, int]]:
+            """Windows in the order in which they are looked at, but for those that ended the same way before."""
+            for lengths in widths:
+                yield from ((tail - k + 1, k) for tail in islice(ends, first, None) for k in lengths if tail - k + 1 >= self.cursor)
+                for k in lengths:
+                    each = range(self.cursor, len(self.words) - k + 1, max(1, k // stride))
+                    yield from zip(each[self._failed.get(k, 0) :], repeat(k))
+
+        def many() -> Iterator[list[tuple[int, int]]]:
+            """Windows that come before the first that scores enough, stretch by stretch."""
+            windows = Windows(norm, bare, self.text, self.bare, enough, longest, max(self.cursor, self._base))
+            todo = (w for w in in_order() if w not in self._scored and w not in low)
+            size = _TOGETHER[0]
+            while some := list(dict.fromkeys(islice(todo, size))):
+                yield some[: (failed := windows.first(some))]
+                if failed < len(some):
+                    return
+                size = _TOGETHER[1]
+
+        def fails(window: tuple[int, int]) -> bool:
+            """Whether the window is known to score too little, once those that are scored singly are used up."""
+            nonlocal singly, ahead
+            if window in low:
+                return True
+            if singly is None:
+                return False
+            singly -= 1
+            if singly >= 0:
+                return False
+            ahead = ahead or many()
+            low.update(next(ahead, ()))
+            return window in low
+
+        for lengths in widths:
             for tail in islice(ends, first, None):  # windows that end with the sentence's last word: the best of the lengths
                 starts = [(tail - k + 1, k) for k in lengths if tail - k + 1 >= self.cursor][: max(0, left)]
                 left -= len(starts)
                 best, place = enough - 1, None
                 for i, k in starts:
                     if (i, k) not in self._scored:
-                        found = self._score(norm, bare, i, k, enough, worth=best + 1)
+                        found = 0 if fails((i, k)) else self._score(norm, bare, i, k, enough, worth=best + 1)
                         if found < enough:  # else the window is taken, or a better one of the same place
                             self._scored[i, k] = found
                     else:
@@ -143,7 +200,7 @@ class Aligner:
                 if place:
                     return self._take(tokens, *place)
             for k in lengths:
-                each = range(self.cursor, len(self.words) - k + 1, max(1, k // (10 if aggressive else 6)))
+                each = range(self.cursor, len(self.words) - k + 1, max(1, k // stride))
                 known = min(self._failed.get(k, 0), len(each))
                 if known > left + 1:
                     return None
@@ -153,9 +210,14 @@ class Aligner:
                         self._failed[k] = n
                         return None
                     left -= 1
-                    if self._score(norm, bare, each[n], k, enough, enough) >= enough:
-                        return self._take(tokens, each[n], k)
+                    i = each[n]
+                    if (i, k) in self._scored or fails((i, k)):
+                        continue
+                    if self._score(norm, bare, i, k, enough, enough) >= enough:
+                        return self._take(tokens, i, k)
+                    low.add((i, k))
                 self._failed[k] = len(each)
+        self._base = max(self.cursor, len(self.words) - longest)
         return None
 
     def _take(self, tokens: list[str], at: int, k: int) -> tuple[int, int]:
