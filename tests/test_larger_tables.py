@@ -188,3 +188,29 @@ def test_a_sentence_scores_some_windows_singly(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(A, "_SINGLY", 10**9)
             assert A.Aligner(list(words)).match(sentence, aggressive) == found
+
+
+def test_the_sentences_of_a_document_are_one_message_to_the_state():
+    import pandas as pd
+
+    from weftline.streaming.alignment import AlignmentState
+
+    class Handle:
+        def __init__(self):
+            self.calls = []
+
+        def state(self, *_):
+            return self
+
+        getListState = getValueState = getMapState = state  # noqa: N815  names of the interface
+
+        def appendValue(self, row):  # noqa: N802
+            self.calls.append([row])
+
+        def appendList(self, rows):  # noqa: N802
+            self.calls.append(rows)
+
+    handle, state = Handle(), AlignmentState()
+    state.init(handle)
+    state.handleInitialState((1,), pd.DataFrame({"idx": [2, 0, 1], "text": ["c", "a", None]}), None)
+    assert handle.calls == [[(0, "a"), (1, None), (2, "c")]]

@@ -37,8 +37,8 @@ class AlignmentState(StatefulProcessor):
         self.files = handle.getMapState("files", "number int", _FILE)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803  names of the interface
-        for r in initialState.sort_values("idx").itertuples(index=False):
-            self.sentences.appendValue((int(r.idx), None if pd.isna(r.text) else r.text))
+        rows = initialState.sort_values("idx")
+        self.sentences.appendList([(int(i), None if pd.isna(t) else t) for i, t in zip(rows.idx, rows.text, strict=True)])  # one message for all
 
     def _stored(self) -> list[int]:
         return sorted(k[0] for k in self.files.keys()) if self.files.exists() else []  # noqa: SIM118  no mapping
@@ -49,7 +49,7 @@ class AlignmentState(StatefulProcessor):
         return FileOfWords(number, v[0], v[1], v[2], v[3], v[4], list(zip(texts, starts, ends, strict=True))), (v[8], v[9], v[10], v[11])
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        if (s := self.standing.get() if self.standing.exists() else None) is None:
+        if (s := self.standing.get()) is None:
             s = (0, -1, 0, 0, -1, 0)
         upto, last_end, read, revision, gone, gone_words = s
         sentences = [t for _, t in sorted((tuple(x) for x in self.sentences.get()), key=lambda x: x[0])] if self.sentences.exists() else []
